@@ -94,7 +94,7 @@ def upload_match_first(staged: DataFrame, targets: DataFrame) -> DataFrame:
         .select("request_id", "file_name", "target.*")
     )
     return lookup_join(
-        staged, first, ["request_id", "file_name"], spread_by=["request_id", "file_key"], how="inner"
+        staged, first, ["request_id", "file_name"], how="inner"
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 from stackroom.functions.naming import LOCAL_PREFIX
@@ -23,17 +21,21 @@ def saved_flag(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     return catalog.join(marked, "id", "left").withColumn("is_saved", F.coalesce("is_saved", F.lit(False)))
 
 
-def content_fetch(wanted: DataFrame, contents: DataFrame, spread_by: Sequence[str]) -> DataFrame:
+def content_fetch(wanted: DataFrame, contents: DataFrame) -> DataFrame:
     """Bytes by address; ``fetched`` is false where the store has nothing there."""
     found = contents.select("url", "content").withColumn("fetched", F.lit(True))
-    return lookup_join(wanted, found, ["url"], spread_by).withColumn(
+    return lookup_join(wanted, found, ["url"]).withColumn(
         "fetched", F.coalesce("fetched", F.lit(False))
     )
 
 
-def content_store(fetched: DataFrame) -> DataFrame:
-    """Records to save: what was fetched, under the user and document it was fetched for."""
-    return fetched.where("fetched").select(*KEY, "title", "content")
+def content_store(wanted: DataFrame, contents: DataFrame) -> DataFrame:
+    """Records to save, one per user and document; what cannot be fetched is left out.
+
+    Repeated wishes are folded before any bytes are attached.
+    """
+    once = wanted.select(*KEY, "title", "url").dropDuplicates(list(KEY))
+    return content_fetch(once, contents).where("fetched").select(*KEY, "title", "content")
 
 
 def saved_upsert(saved: DataFrame, puts: DataFrame) -> DataFrame:
@@ -60,7 +62,9 @@ def saved_fold(events: DataFrame, previous: DataFrame | None = None) -> DataFram
     is ``(ts, seq)``.  Only aggregates that combine before the shuffle and a join
     that spreads hot keys are used, so no key's steps meet in one task.
     """
-    steps = events.where(F.col("op").isin("put", "delete", "toggle"))
+    # said here for both uses of the last sets, whose shuffle Spark can then share
+    has_key = F.col("user_id").isNotNull() & F.col("id").isNotNull()
+    steps = events.where(has_key & F.col("op").isin("put", "delete", "toggle"))
     sets = steps.where(F.col("op") != "toggle").select(*KEY, "ts", "seq", (F.col("op") == "put").alias("saved"))
     if previous is not None:
         before = previous.select(
@@ -84,7 +88,7 @@ def saved_fold(events: DataFrame, previous: DataFrame | None = None) -> DataFram
         | ((F.col("ts") == F.col("set_ts")) & (F.col("seq") > F.col("set_seq")))
     )
     flips = (
-        lookup_join(toggles, last_set, KEY, spread_by=["seq"])
+        lookup_join(toggles, last_set, KEY)
         .groupBy(*KEY)
         .agg((F.count_if(is_later) % 2 == 1).alias("flipped"))
     )
@@ -103,7 +107,7 @@ def content_resolve(opens: DataFrame, catalog: DataFrame, saved: DataFrame) -> D
     documents = catalog.select("id", "title", "url")
     copies = saved.where(F.col("content").isNotNull()).select(*KEY, F.lit(True).alias("copy"))
     resolved = lookup_join(
-        lookup_join(opens, documents, ["id"], spread_by=["seq"], how="inner"), copies, KEY, spread_by=["seq"]
+        lookup_join(opens, documents, ["id"], how="inner"), copies, KEY
     )
     local = F.col("copy").isNotNull()
     return resolved.select(

@@ -6,56 +6,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-_SALT = "_salt"
-_SALTS = "_salts"
-_ROWS = "_rows"
+_HASH = "_key_hash"
 
 
-def hot_keys(facts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that hold more rows than an average shuffle partition.
-
-    With P shuffle partitions such a key has more than 1/P of all rows, so there
-    are fewer than P of them: the result is small enough to broadcast whatever
-    the size of ``facts``.  ``_salts`` says how many average partitions the
-    key's rows fill.  The count is combined before it is shuffled.
-    """
-    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias(_ROWS))
-    total = counts.agg(F.sum(_ROWS)).scalar()
-    share = F.col(_ROWS) * F.lit(partitions) / total
-    return counts.where(share > 1).select(*on, F.ceil(share).cast("int").alias(_SALTS))
-
-
-def lookup_join(
-    facts: DataFrame,
-    rows: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "left",
-) -> DataFrame:
+def lookup_join(facts: DataFrame, rows: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join of ``facts`` with ``rows``, which has at most one row per key.
 
-    Rows of a hot key are spread over as many partitions as they fill, by a hash
-    of ``spread_by`` (columns that tell the facts apart); the one matching row
-    is repeated once per part.  All parts together are fewer than twice the
-    shuffle partitions.  NULL keys match nothing and are spread as well.
+    One key, or NULL, may hold a large part of all facts.  Adaptive execution
+    splits such a partition over many tasks and reads the matching part of
+    ``rows`` in each, but only where both inputs were shuffled for this very
+    join.  ``rows`` often comes out of a grouping by the same keys, whose
+    partitioning Spark would use as it is.  A hash of the keys as one more join
+    key makes it shuffle both: one more shuffle of one row per key, and no task
+    with all facts of a key.  Where ``rows`` turns out small, Spark broadcasts it.
     """
-    on = list(on)
-    hot = F.broadcast(hot_keys(facts, on))
-    spread = F.xxhash64(*[F.col(name) for name in spread_by])
-
-    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    no_key = F.lit(False)
-    for name in on:
-        no_key = no_key | F.col(name).isNull()
-    parts = F.when(no_key, F.lit(partitions)).otherwise(F.coalesce(F.col(_SALTS), F.lit(1)))
-
-    salted_facts = (
-        facts.join(hot, on, "left").withColumn(_SALT, F.pmod(spread, parts).cast("int")).drop(_SALTS)
-    )
-    salted_rows = (
-        rows.join(hot, on, "left")
-        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)))
-        .drop(_SALTS)
+    key_hash = F.xxhash64(*on)
+    return (
+        facts.withColumn(_HASH, key_hash)
+        .join(rows.withColumn(_HASH, key_hash), [*on, _HASH], how)
+        .drop(_HASH)
     )
-    return salted_facts.join(salted_rows, [*on, _SALT], how).drop(_SALT)

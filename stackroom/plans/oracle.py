@@ -240,7 +240,7 @@ SELECTS: dict[str, str] = {
     "content_fetch": """
         SELECT user_id, o.id, seq, true AS fetched, content_bytes, content_md5 FROM opens o JOIN bytes b ON o.id = b.id""",
     "content_store": """
-        SELECT user_id, o.id, title, content_bytes, content_md5 FROM opens o JOIN bytes b ON o.id = b.id""",
+        SELECT DISTINCT user_id, o.id, title, content_bytes, content_md5 FROM opens o JOIN bytes b ON o.id = b.id""",
     "content_resolve": """
         SELECT o.user_id, o.id, o.seq, c.title,
                CASE WHEN s.content_md5 IS NULL THEN c.url ELSE 'blob:/' || o.user_id || '/' || o.id END AS read_url,

@@ -86,6 +86,11 @@ class Library:
     def gated_edits(self) -> DataFrame:
         return gate.gate_edits(views.edits(self.table("events")), self.users, self.catalog)
 
+    @property
+    def good_edits(self) -> DataFrame:
+        """Edits to apply; those of missing documents fall away in the join with the catalog."""
+        return gate.accepted(gate.gate_edits(views.edits(self.table("events")), self.users))
+
     @property
     def gated_grants(self) -> DataFrame:
         return gate.gate_grants(views.grants(self.table("orders")), self.users)
@@ -101,11 +106,9 @@ class Library:
         return ingest.upload_window(matches, put_at)
 
     @property
-    def fetched(self) -> DataFrame:
-        """Bytes for every document that somebody opens."""
-        documents = self.catalog.select("id", "title", "url")
-        wanted = lookup_join(self.opens, documents, ["id"], spread_by=["seq"], how="inner")
-        return saved.content_fetch(wanted, self.contents, spread_by=["seq"])
+    def wanted(self) -> DataFrame:
+        """Every document that somebody opens, with its address."""
+        return lookup_join(self.opens, self.catalog.select("id", "title", "url"), ["id"], how="inner")
 
     def run_dir(self, name: str) -> str:
         return new_run_dir(self.spark, name)
@@ -278,12 +281,12 @@ def upload_content(lib: Library) -> DataFrame:
 
 @query
 def edits_apply(lib: Library) -> DataFrame:
-    return edits.edits_apply(lib.catalog, gate.accepted(lib.gated_edits))
+    return edits.edits_apply(lib.catalog, lib.good_edits)
 
 
 @query
 def edit_overlay(lib: Library) -> DataFrame:
-    return edits.edit_overlay(browse.catalog_recent(lib.catalog), gate.accepted(lib.gated_edits))
+    return edits.edit_overlay(browse.catalog_recent(lib.catalog), lib.good_edits)
 
 
 @query
@@ -336,13 +339,13 @@ def saved_set_toggle(lib: Library) -> DataFrame:
 
 @query
 def content_fetch(lib: Library) -> DataFrame:
-    return lib.fetched.select("user_id", "id", "seq", "fetched", "content")
+    return saved.content_fetch(lib.wanted, lib.contents).select("user_id", "id", "seq", "fetched", "content")
 
 
 @query
 def content_store(lib: Library) -> DataFrame:
     path = lib.run_dir("content_store")
-    write_bucketed(saved.content_store(lib.fetched), path, list(saved.KEY))
+    write_bucketed(saved.content_store(lib.wanted, lib.contents), path, list(saved.KEY))
     return lib.spark.read.parquet(path).drop("bucket")
 
 

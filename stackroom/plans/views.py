@@ -247,7 +247,7 @@ def puts(events: DataFrame, documents: DataFrame) -> DataFrame:
         F.concat(F.lit("Copy of "), F.substring_index("text", "\n", 1)).alias("title"),
         F.encode("text", "UTF-8").alias("content"),
     )
-    return lookup_join(opens(events), record, ["id"], spread_by=["seq"], how="inner")
+    return lookup_join(opens(events), record, ["id"], how="inner")
 
 
 def _with_record(keys: DataFrame, documents: DataFrame) -> DataFrame:
@@ -256,4 +256,4 @@ def _with_record(keys: DataFrame, documents: DataFrame) -> DataFrame:
         F.substring_index("text", "\n", 1).alias("title"),
         F.when(F.col("lang") != "de", F.encode("text", "UTF-8")).alias("content"),
     )
-    return lookup_join(keys, record, ["id"], spread_by=["user_id"], how="inner")
+    return lookup_join(keys, record, ["id"], how="inner")

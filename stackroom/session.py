@@ -8,24 +8,22 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings the operators rely on for right results.  All are runtime SQL
+# Settings the operators rely on.  All are runtime SQL
 # settings, so they can be applied to a session somebody else built.
 REQUIRED_SQL_SETTINGS = {
     # epoch milliseconds in storage paths and zone-free timestamps are UTC
     "spark.sql.session.timeZone": "UTC",
     # a repeated JSON key keeps its last value instead of failing the parse
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # hot keys of a join are split at run time
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
 
 def build_session(app_name: str = "stackroom", master: str | None = None, **settings: str) -> SparkSession:
     """Session for tests and benchmarks; a cluster passes its own settings in."""
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.ui.enabled", "false")
-    )
+    builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
     if master is not None:
         builder = builder.master(master)
     for key, value in {**REQUIRED_SQL_SETTINGS, **settings}.items():

@@ -1,0 +1,78 @@
+from helpers import at, catalog, rows
+
+from stackroom.operators import browse
+
+
+def library(spark):
+    return catalog(
+        spark,
+        {"id": "1", "title": "One", "url": "u1", "created_at": at(1), "writer": "", "categories": []},
+        {"id": "2", "title": "two", "url": "u2", "created_at": at(9), "writer": "W", "categories": ["a", None, "b"]},
+        {"id": "3", "title": "Öne", "url": "blob:3", "created_at": at(9), "tikakar": ["t"]},
+        {"id": "4", "title": "none", "url": "u 4", "created_at": None},
+        {"id": "5", "title": None, "url": "u5", "created_at": at(0)},
+    )
+
+
+def ids(frame):
+    return [row.id for row in frame.collect()]
+
+
+def test_recent_is_newest_first_and_ties_go_by_id(spark):
+    assert ids(browse.catalog_recent(library(spark))) == ["3", "2", "1", "5"]
+    assert ids(browse.catalog_recent(library(spark), limit=2)) == ["3", "2"]
+
+
+def test_first_page_is_a_top_k_plan(spark):
+    plan = browse.catalog_recent(library(spark), limit=2)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_search_keeps_the_order_and_drops_missing_titles(spark):
+    assert ids(browse.catalog_search(library(spark), "NE")) == ["3", "1"]
+    assert ids(browse.catalog_search(library(spark), "")) == ["3", "2", "1"]
+    assert ids(browse.catalog_search(library(spark), "%")) == []
+
+
+def test_display(spark):
+    assert rows(browse.catalog_display(library(spark)))[:3] == [
+        ("1", "One", "-", "-"), ("2", "two", "W", "a, , b"), ("3", "Öne", "-", "-"),
+    ]
+
+
+def test_edit_form(spark):
+    assert rows(browse.edit_form(library(spark)))[2:] == [
+        ("3", "Öne", "", "", "", "t"), ("4", "none", "", "", "", ""), ("5", "", "", "", "", ""),
+    ]
+
+
+def test_download_export(spark):
+    exported = rows(browse.download_export(library(spark)))
+    assert exported[2] == ("3", "Öne.pdf", None)
+    assert exported[3][2].endswith("&url=u%204")
+
+
+def test_object_listing(spark):
+    names = [("uploads/",), ("uploads/1-a.pdf",), ("other/x.pdf",), ("uploads/sub/",), ("Uploads/x",)]
+    listed = rows(browse.object_listing(spark.createDataFrame(names, "name string")), "id", "title")
+    assert listed == [("uploads/1-a.pdf", "a.pdf"), ("uploads/sub/", "sub/")]
+
+
+def test_point_lookup(spark):
+    assert ids(browse.point_lookup(library(spark), "2")) == ["2"]
+    assert ids(browse.point_lookup(library(spark), "x")) == []
+
+
+def test_lookup_many_takes_the_first_listed_of_equal_ids(spark):
+    twice = library(spark).union(
+        catalog(spark, {"id": "2", "title": "older", "url": "z", "created_at": at(3)})
+    )
+    keys = spark.createDataFrame([("2",), ("2",), ("4",), ("x",)], "id string")
+    found = browse.lookup_many(twice, keys)
+    assert rows(found, "id", "title") == [("2", "two"), ("4", "none")]
+    assert found.columns == twice.columns
+
+
+def test_is_empty(spark):
+    assert rows(browse.is_empty(library(spark))) == [(False,)]
+    assert rows(browse.is_empty(library(spark).where("false"))) == [(True,)]

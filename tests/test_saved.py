@@ -1,0 +1,130 @@
+import random
+
+import pytest
+from helpers import at, catalog, rows
+
+from stackroom.operators import saved
+
+KEYS = "user_id bigint, id string"
+
+
+def keys(spark, *pairs):
+    return spark.createDataFrame(list(pairs), KEYS)
+
+
+def events(spark, table):
+    return spark.createDataFrame(
+        [(user, item, op, at(second), seq) for user, item, op, second, seq in table],
+        KEYS + ", op string, ts timestamp, seq bigint",
+    )
+
+
+def replay(table, previous=()):
+    """Plain row-by-row run of the steps."""
+    members = set(previous)
+    for user, item, op, _, _ in sorted(table, key=lambda step: (step[3], step[4])):
+        key = (user, item)
+        if op == "put" or (op == "toggle" and key not in members):
+            members.add(key)
+        elif op in ("delete", "toggle"):
+            members.discard(key)
+    return sorted(members)
+
+
+def random_steps(count, seed):
+    draw = random.Random(seed)
+    ops = ["put", "delete", "toggle", "toggle", "toggle", "open"]
+    # few distinct times, so that seq decides often
+    return [
+        (draw.randrange(4), f"d{draw.randrange(6)}", draw.choice(ops), draw.randrange(40), seq) for seq in range(count)
+    ]
+
+
+@pytest.mark.parametrize("count,seed", [(5, 1), (60, 2), (600, 3)])
+def test_fold_equals_a_replay(spark, count, seed):
+    steps = random_steps(count, seed)
+    folded = saved.saved_fold(events(spark, steps))
+    assert rows(folded.where("saved"), "user_id", "id") == replay(steps)
+    assert folded.count() == len({(u, i) for u, i, op, _, _ in steps if op != "open"})
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_fold_from_an_earlier_state(spark, seed):
+    steps = random_steps(40, seed)
+    previous = [(user, f"d{item}") for user in range(4) for item in range(0, 6, 2)] + [(9, "kept")]
+    folded = saved.saved_fold(events(spark, steps), keys(spark, *previous))
+    assert rows(folded.where("saved"), "user_id", "id") == replay(steps, previous)
+
+
+def test_fold_in_two_batches_equals_one(spark):
+    steps = sorted(random_steps(300, 6), key=lambda step: (step[3], step[4]))
+    first = saved.saved_fold(events(spark, steps[:150])).where("saved").select(*saved.KEY)
+    both = saved.saved_fold(events(spark, steps[150:]), first)
+    assert rows(both.where("saved"), "user_id", "id") == replay(steps)
+
+
+def copies(spark, *table):
+    return spark.createDataFrame(list(table), KEYS + ", title string, content binary")
+
+
+def puts(spark, *table):
+    return spark.createDataFrame(list(table), KEYS + ", title string, content binary, ts timestamp, seq bigint")
+
+
+def test_upsert_replaces_the_whole_record_and_the_last_put_wins(spark):
+    before = copies(spark, (1, "a", "A", b"old"), (1, "b", "B", b"b"))
+    batch = puts(
+        spark,
+        (1, "a", "A3", None, at(5), 2),
+        (1, "a", "A2", b"new", at(5), 1),
+        (2, "a", "other user", b"x", at(0), 0),
+    )
+    after = saved.saved_upsert(before, batch)
+    wanted = [(1, "a", "A3", None), (1, "b", "B", bytearray(b"b")), (2, "a", "other user", bytearray(b"x"))]
+    assert rows(after) == wanted
+    assert rows(saved.saved_upsert(after, batch)) == wanted
+
+
+def test_delete_of_an_absent_key_changes_nothing(spark):
+    before = copies(spark, (1, "a", "A", b"a"), (1, "b", "B", None))
+    after = saved.saved_delete(before, keys(spark, (1, "b"), (1, "b"), (7, "z")))
+    assert rows(after, *saved.KEY) == [(1, "a")]
+
+
+def test_sets(spark):
+    members, other = keys(spark, (1, "a"), (1, "b"), (2, "a")), keys(spark, (1, "b"), (1, "b"), (3, "c"))
+    assert rows(saved.saved_set_add(members, other)) == [(1, "a"), (1, "b"), (2, "a"), (3, "c")]
+    assert rows(saved.saved_set_remove(members, other)) == [(1, "a"), (2, "a")]
+    toggled = saved.saved_set_toggle(members, other)
+    assert rows(toggled) == [(1, "a"), (2, "a"), (3, "c")]
+    assert rows(saved.saved_set_toggle(toggled, other)) == rows(members)
+
+
+def test_flag_tests_the_key_and_resolve_tests_the_bytes(spark):
+    documents = catalog(spark, {"id": "1", "title": "One", "url": "u1"}, {"id": "2", "title": "Two", "url": "u2"})
+    kept = copies(spark, (1, "1", "One", b"x"), (1, "2", "Two", None))
+    flagged = saved.saved_flag(documents, saved.saved_ids(kept))
+    assert rows(flagged, "id", "is_saved") == [("1", True), ("2", True)]
+    opens = spark.createDataFrame([(1, "1", 0), (1, "2", 1), (2, "1", 2), (1, "9", 3)], KEYS + ", seq bigint")
+    resolved = saved.content_resolve(opens, documents, kept)
+    assert rows(resolved, "seq", "read_url", "status") == [
+        (0, "blob:/1/1", "Reading One (Offline)"),
+        (1, "u2", "Reading Two (Online)"),
+        (2, "u1", "Reading One (Online)"),
+    ]
+
+
+def test_saved_ids_are_distinct_text_and_read_one_column(spark, tmp_path):
+    path = str(tmp_path / "saved")
+    spark.sql("select 1 user_id, 7 id, 't' title, x'00' content union all select 2, 7, 't', x'00'").write.parquet(path)
+    ids = saved.saved_ids(spark.read.parquet(path))
+    assert rows(ids) == [("7",)]
+    assert "ReadSchema: struct<id:int>" in ids._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fetch_and_store(spark):
+    wanted = spark.createDataFrame([(1, "1", "One", "u1"), (1, "2", "Two", "u2")], KEYS + ", title string, url string")
+    contents = spark.createDataFrame([("u1", b"x")], "url string, content binary")
+    fetched = saved.content_fetch(wanted, contents)
+    assert rows(fetched, "id", "fetched") == [("1", True), ("2", False)]
+    assert rows(saved.content_store(wanted.union(wanted), contents)) == [(1, "1", "One", bytearray(b"x"))]
