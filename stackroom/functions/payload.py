@@ -6,24 +6,41 @@ stay apart, and so that a value's own JSON type can be tested before it is used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def parse_body(body: Column) -> Column:
-    """VARIANT of a whole JSON text; NULL when the text is not exactly one JSON value.
+def with_payload(requests: DataFrame) -> DataFrame:
+    """Add ``payload``, the parsed ``body``: NULL when the text is not exactly one JSON value.
 
     Spark's parser stops after the first value and ignores what follows it, so the
     text is parsed as the first of two array elements, the second being its own
-    digest: text after the value then breaks the array or shifts the digest.
+    digest: text after the value then breaks the array or shifts the digest.  The
+    pair is kept as it is, since cutting the value out would copy it;
+    :func:`body_field` reads from it.  The steps are separate columns, which Spark
+    computes once each.
     """
-    digest = F.md5(F.encode(body, "UTF-8"))
-    pair = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), digest, F.lit('"]')))
-    whole = F.try_variant_get(pair, "$[1]", "string") == digest
-    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+    pair = F.concat(F.lit("["), F.col("body"), F.lit(',"'), F.col("_digest"), F.lit('"]'))
+    is_whole = F.try_variant_get("_pair", "$[1]", "string") == F.col("_digest")
+    return (
+        requests.withColumn("_digest", F.md5(F.col("body").cast("binary")))
+        .withColumn("_pair", F.try_parse_json(pair))
+        .withColumn("payload", F.when(is_whole, F.col("_pair")))
+        .drop("_digest", "_pair")
+    )
+
+
+def body(payload: Column) -> Column:
+    """The whole body as VARIANT."""
+    return F.try_variant_get(payload, "$[0]", "variant")
+
+
+def body_field(payload: Column, name: str) -> Column:
+    """Field of the body as VARIANT: NULL when absent, a JSON null when null."""
+    return F.try_variant_get(payload, f"$[0].{name}", "variant")
 
 
 def field(value: Column, name: str) -> Column:
-    """Field as VARIANT: NULL when absent, a JSON null when null."""
+    """Field of any VARIANT: NULL when absent, a JSON null when null."""
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
@@ -37,7 +54,9 @@ def is_json_null(value: Column) -> Column:
 
 
 def is_array(value: Column) -> Column:
-    return F.coalesce(F.startswith(json_type(value), F.lit("ARRAY")), F.lit(False))
+    """Looks at the first element only; the type text would be made from all of them."""
+    has_first = F.try_variant_get(value, "$[0]", "variant").isNotNull()
+    return F.coalesce(has_first | (F.to_json(value) == "[]"), F.lit(False))
 
 
 def string_value(value: Column) -> Column:

@@ -23,7 +23,7 @@ def fold_edits(edits: DataFrame) -> DataFrame:
     """
     columns: list[Column] = [F.max("ts").alias("edited_at")]
     for name in EDIT_FIELDS:
-        given = P.field(F.col("payload"), name)
+        given = P.body_field(F.col("payload"), name)
         value = P.string_list(given) if name in LIST_FIELDS else P.string_value(given)
         step = F.when(given.isNotNull(), F.struct("ts", "request_id", value.alias("value")))
         columns.append(F.max(step).alias(f"new_{name}"))

@@ -1,7 +1,9 @@
 """Outcome of each request, decided in the order the service checks them.
 
 A gated table is the request table plus ``status`` (200 for good requests),
-``reason`` and ``payload``, the parsed body.
+``reason`` and ``payload``, the parsed body.  Bodies are parsed before the joins:
+after them, Spark would repeat the parse in a filter on the outcome, which it moves
+below the parsing step.
 """
 
 from __future__ import annotations
@@ -20,12 +22,6 @@ LIST_FIELDS = ["categories", "tikakar"]
 EDIT_FIELDS = ["title", "writer", "categories", "tikakar", "description"]
 
 
-def _with_payload(requests: DataFrame) -> DataFrame:
-    """Parse each body once, before the joins: a parse after them would be repeated in
-    the filter on the outcome, which Spark moves below it."""
-    return requests.withColumn("payload", P.parse_body(F.col("body")))
-
-
 def _with_caller(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Add what is known of the caller: ``_maintainer`` is NULL for an unknown one."""
     callers = users.select(
@@ -42,7 +38,7 @@ def _ladder(requests: DataFrame, checks: list[tuple[Column, int, str]]) -> DataF
         (F.col("_maintainer").isNull(), 500, "invalid token"),
         (~F.col("_maintainer"), 403, "maintainers only"),
         (F.col("payload").isNull(), 500, "malformed body"),
-        (P.is_json_null(F.col("payload")), 500, "body is null"),
+        (P.is_json_null(P.body(F.col("payload"))), 500, "body is null"),
         *checks,
     ]
     outcome = F.struct(F.lit(200).alias("status"), F.lit("ok").alias("reason"))
@@ -58,8 +54,8 @@ def _ladder(requests: DataFrame, checks: list[tuple[Column, int, str]]) -> DataF
 
 def gate_uploads(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Upload requests: the body must hold an array ``files`` (which may be empty)."""
-    known = _with_caller(_with_payload(requests), users)
-    files = P.field(F.col("payload"), "files")
+    known = _with_caller(P.with_payload(requests), users)
+    files = P.body_field(F.col("payload"), "files")
     return _ladder(known, [(~P.is_array(files), 400, "files is not an array")])
 
 
@@ -69,14 +65,14 @@ def gate_edits(requests: DataFrame, users: DataFrame, catalog: DataFrame | None
     Without ``catalog`` the target is not looked for, which saves a join where the
     edits are only applied: an edit of a missing document then changes nothing.
     """
-    known = _with_caller(_with_payload(requests), users)
+    known = _with_caller(P.with_payload(requests), users)
     checks = []
     if catalog is not None:
         targets = catalog.select(F.col("id").alias("target_id")).withColumn("_found", F.lit(True))
         known = lookup_join(known, targets, ["target_id"])
         checks.append((F.col("_found").isNull(), 404, "no such document"))
     for name in EDIT_FIELDS:
-        given = P.field(F.col("payload"), name)
+        given = P.body_field(F.col("payload"), name)
         typed = P.string_list(given) if name in LIST_FIELDS else P.string_value(given)
         wrong = given.isNotNull() & ~P.is_json_null(given) & typed.isNull()
         checks.append((wrong, 422, f"wrong type for {name}"))
@@ -88,8 +84,8 @@ def gate_grants(requests: DataFrame, users: DataFrame) -> DataFrame:
 
     Adds the email and the ``uid`` found for it.
     """
-    email = P.field(F.col("payload"), "email")
-    known = _with_caller(_with_payload(requests).withColumn("email", P.string_value(email)), users)
+    email = P.body_field(F.col("payload"), "email")
+    known = _with_caller(P.with_payload(requests).withColumn("email", P.string_value(email)), users)
     known = user_by_email(known, users)
     return _ladder(
         known,

@@ -20,7 +20,7 @@ def manifest_files(uploads: DataFrame) -> DataFrame:
     """
     spark = uploads.sparkSession
     files = uploads.select(
-        "request_id", "issued_at", P.field(F.col("payload"), "files").alias("files")
+        "request_id", "issued_at", P.body_field(F.col("payload"), "files").alias("files")
     ).alias("u")
     entries = files.lateralJoin(spark.tvf.variant_explode(F.col("u.files").outer()).alias("f"))
     value = F.col("f.value")

@@ -51,7 +51,8 @@ upload_gate AS (
               WHEN o_totalprice < 45000 THEN 'files is not an array' ELSE 'ok' END AS reason
   FROM calls),
 files AS (
-  SELECT request_id, issued_at, CAST(i - 1 AS INTEGER) AS pos, 'part' || ((i + 1) // 2) || '.scan.pdf' AS file_name,
+  SELECT request_id, issued_at, CAST(i - 1 AS INTEGER) AS pos,
+         request_id || '.part' || ((i + 1) // 2) || '.pdf' AS file_name,
          CASE WHEN i = 3 THEN 'image/png' ELSE 'application/pdf' END AS file_type
   FROM upload_gate, range(1, 6) AS n(i)
   WHERE status = 200 AND o_totalprice >= 60000 AND i <= CAST(left(o_orderpriority, 1) AS INTEGER)
@@ -64,7 +65,7 @@ targets AS (
   FROM files),
 staged AS (
   SELECT l_orderkey AS request_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS file_key,
-         'part' || l_linenumber || '.scan.pdf' AS file_name,
+         l_orderkey || '.part' || l_linenumber || '.pdf' AS file_name,
          CASE WHEN l_returnflag = 'A' THEN 'image/png' ELSE 'application/pdf' END AS file_type,
          CAST(l_quantity * 30 AS INTEGER) AS delay_seconds,
          l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || l_linestatus AS content

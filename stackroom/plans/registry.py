@@ -364,8 +364,8 @@ def role_label(lib: Library) -> DataFrame:
 
 @query
 def user_by_email(lib: Library) -> DataFrame:
-    email = P.string_value(P.field(P.parse_body(F.col("body")), "email"))
-    requests = views.grants(lib.table("orders")).select("request_id", email.alias("email"))
+    email = P.string_value(P.body_field(F.col("payload"), "email"))
+    requests = P.with_payload(views.grants(lib.table("orders"))).select("request_id", email.alias("email"))
     return gate.user_by_email(requests, lib.users)
 
 

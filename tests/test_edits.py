@@ -1,7 +1,6 @@
 from helpers import at, catalog, rows
-from pyspark.sql import functions as F
 
-from stackroom.functions.payload import parse_body
+from stackroom.functions.payload import with_payload
 from stackroom.operators import browse, edits
 
 
@@ -16,8 +15,8 @@ def library(spark):
 
 def accepted(spark, *table):
     numbered = [(i, at(100 + second), target, body) for i, (target, second, body) in enumerate(table)]
-    return spark.createDataFrame(numbered, "request_id int, ts timestamp, target_id string, body string").withColumn(
-        "payload", parse_body(F.col("body"))
+    return with_payload(
+        spark.createDataFrame(numbered, "request_id int, ts timestamp, target_id string, body string")
     )
 
 

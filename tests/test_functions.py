@@ -80,7 +80,9 @@ def test_contains_text_is_literal_and_folds_case(spark):
 
 def test_parse_body_takes_exactly_one_json_value(spark):
     bodies = ["{}", " 5 ", "null", "{bad", "", "{} x", "1,2", "1],[2", '1,"end"],[5', "NaN", None, '{"a":1,"a":2}']
-    parsed = column(spark, bodies, lambda v: F.to_json(payload.parse_body(v)))
+    table = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    parsed = payload.with_payload(table).orderBy("i").select(F.to_json(payload.body(F.col("payload"))))
+    parsed = [row[0] for row in parsed.collect()]
     assert parsed == ["{}", "5", "null", None, None, None, None, None, None, None, None, '{"a":2}']
 
 
@@ -105,3 +107,8 @@ def test_strict_and_truthy_claims(spark):
     assert column(spark, claims, lambda v: payload.is_truthy(F.parse_json(v))) == [
         True, True, False, False, False, True, False, False, True, True, True, False, True,
     ]
+
+
+def test_is_array(spark):
+    values = ["[]", "[null]", "[[]]", '"[]"', "{}", "null", "5", None]
+    assert column(spark, values, lambda v: payload.is_array(F.parse_json(v))) == [True] * 3 + [False] * 5
