@@ -23,7 +23,12 @@ REQUIRED_SQL_SETTINGS = {
 
 def build_session(app_name: str = "stackroom", master: str | None = None, **settings: str) -> SparkSession:
     """Session for tests and benchmarks; a cluster passes its own settings in."""
-    builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+    builder = (
+        SparkSession.builder.appName(app_name)
+        .config("spark.ui.enabled", "false")
+        # no stack trace for every column expression: plans are built several times faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    )
     if master is not None:
         builder = builder.master(master)
     for key, value in {**REQUIRED_SQL_SETTINGS, **settings}.items():

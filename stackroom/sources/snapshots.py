@@ -18,12 +18,15 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("timestampFormat", TIME_FORMAT).json(path)
 
 
-def write_bucketed(rows: DataFrame, path: str, key: list[str], buckets: int = 64) -> None:
+def write_bucketed(rows: DataFrame, path: str, key: list[str], buckets: int | None = None) -> None:
     """Write rows in folders by key hash, so that a few keys can be read or replaced cheaply.
 
+    There are as many folders as shuffle partitions, unless ``buckets`` says else.
     Spark's rebalance keeps a folder's rows together but splits one that is too
     big for a task and joins small ones.
     """
+    if buckets is None:
+        buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
     rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy(
         "bucket"
