@@ -35,7 +35,8 @@ def content_store(wanted: DataFrame, contents: DataFrame) -> DataFrame:
     Repeated wishes are folded before any bytes are attached.
     """
     once = wanted.select(*KEY, "title", "url").dropDuplicates(list(KEY))
-    return content_fetch(once, contents).where("fetched").select(*KEY, "title", "content")
+    size = F.octet_length("content").cast("bigint").alias("size")
+    return content_fetch(once, contents).where("fetched").select(*KEY, "title", "content", size)
 
 
 def saved_upsert(saved: DataFrame, puts: DataFrame) -> DataFrame:
@@ -101,11 +102,11 @@ def saved_fold(events: DataFrame, previous: DataFrame | None = None) -> DataFram
 def content_resolve(opens: DataFrame, catalog: DataFrame, saved: DataFrame) -> DataFrame:
     """Address from which each opened document is read, with the status line.
 
-    The saved copy is used when there is a record *and* it has bytes.  ``opens``
-    is (user_id, id, seq); a document that is not in the catalog cannot be opened.
+    The saved copy is used when there is a record *and* it has bytes, which its
+    ``size`` tells.  A document that is not in the catalog cannot be opened.
     """
     documents = catalog.select("id", "title", "url")
-    copies = saved.where(F.col("content").isNotNull()).select(*KEY, F.lit(True).alias("copy"))
+    copies = saved.where(F.col("size").isNotNull()).select(*KEY, F.lit(True).alias("copy"))
     resolved = lookup_join(
         lookup_join(opens, documents, ["id"], how="inner"), copies, KEY
     )

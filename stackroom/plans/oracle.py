@@ -101,11 +101,11 @@ opens AS (
   SELECT user_id, id, seq, ts FROM steps WHERE event_type = 'view'),
 bytes AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS title, lang,
-         strlen(text) AS content_bytes, md5(text) AS content_md5
+         strlen(text) AS content_bytes, md5(text) AS content_md5, strlen(text) AS size
   FROM documents),
 saved AS (
   SELECT f.user_id, f.id, b.title, CASE WHEN lang <> 'de' THEN content_bytes END AS content_bytes,
-         CASE WHEN lang <> 'de' THEN content_md5 END AS content_md5
+         CASE WHEN lang <> 'de' THEN content_md5 END AS content_md5, CASE WHEN lang <> 'de' THEN size END AS size
   FROM fold f JOIN bytes b ON f.id = b.id WHERE f.saved),
 edit_calls AS (
   SELECT s.seq AS request_id, s.ts, s.user_id, s.event_type, s.value,
@@ -227,7 +227,7 @@ SELECTS: dict[str, str] = {
     "saved_flag": "SELECT id, title, id IN (SELECT id FROM saved) AS is_saved FROM catalog",
     "saved_fold": "SELECT * FROM fold",
     "saved_upsert": """
-        SELECT DISTINCT o.user_id, o.id, 'Copy of ' || title AS title, content_bytes, content_md5
+        SELECT DISTINCT o.user_id, o.id, 'Copy of ' || title AS title, content_bytes, content_md5, size
         FROM opens o JOIN bytes b ON o.id = b.id
         UNION ALL
         SELECT * FROM saved s WHERE NOT EXISTS (SELECT 1 FROM opens o WHERE o.user_id = s.user_id AND o.id = s.id)""",
@@ -241,7 +241,7 @@ SELECTS: dict[str, str] = {
     "content_fetch": """
         SELECT user_id, o.id, seq, true AS fetched, content_bytes, content_md5 FROM opens o JOIN bytes b ON o.id = b.id""",
     "content_store": """
-        SELECT DISTINCT user_id, o.id, title, content_bytes, content_md5 FROM opens o JOIN bytes b ON o.id = b.id""",
+        SELECT DISTINCT user_id, o.id, title, content_bytes, content_md5, size FROM opens o JOIN bytes b ON o.id = b.id""",
     "content_resolve": """
         SELECT o.user_id, o.id, o.seq, c.title,
                CASE WHEN s.content_md5 IS NULL THEN c.url ELSE 'blob:/' || o.user_id || '/' || o.id END AS read_url,

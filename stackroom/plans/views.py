@@ -262,6 +262,7 @@ def puts(events: DataFrame, documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("string").alias("id"),
         F.concat(F.lit("Copy of "), F.substring_index("text", "\n", 1)).alias("title"),
         F.encode("text", "UTF-8").alias("content"),
+        F.octet_length("text").cast("bigint").alias("size"),
     )
     return lookup_join(opens(events), record, ["id"], how="inner")
 
@@ -271,5 +272,6 @@ def _with_record(keys: DataFrame, documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("string").alias("id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.when(F.col("lang") != "de", F.encode("text", "UTF-8")).alias("content"),
+        F.when(F.col("lang") != "de", F.octet_length("text").cast("bigint")).alias("size"),
     )
     return lookup_join(keys, record, ["id"], how="inner")

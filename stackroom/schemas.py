@@ -36,12 +36,14 @@ SAVED_EVENTS = T.StructType(
     ]
 )
 
-#: One saved copy of a document.
+#: One saved copy of a document.  ``size`` is NULL where there are no bytes, which can
+#: thus be told without reading ``content``.
 SAVED = T.StructType(
     [
         T.StructField("user_id", T.LongType()),
         T.StructField("id", T.StringType()),
         T.StructField("title", T.StringType()),
         T.StructField("content", T.BinaryType()),
+        T.StructField("size", T.LongType()),
     ]
 )

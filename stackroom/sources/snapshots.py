@@ -33,6 +33,17 @@ def write_bucketed(rows: DataFrame, path: str, key: list[str], buckets: int | No
     ).parquet(path)
 
 
+def save_keyed(rows: DataFrame, table: str, path: str, key: list[str], buckets: int) -> DataFrame:
+    """Save as a table bucketed and sorted by its key.
+
+    Joins of such a table by its key leave it where it is: deleting or replacing
+    records, or applying edits, then shuffles only the keys or edits.
+    """
+    spread = rows.repartition(buckets, *key)
+    spread.write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).option("path", path).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 class VersionedTable:
     """A table whose every change is a whole new version.
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import at, catalog, rows
+from pyspark.sql import functions as F
 
 from stackroom.operators import saved
 
@@ -64,11 +65,13 @@ def test_fold_in_two_batches_equals_one(spark):
 
 
 def copies(spark, *table):
-    return spark.createDataFrame(list(table), KEYS + ", title string, content binary")
+    table = spark.createDataFrame(list(table), KEYS + ", title string, content binary")
+    return table.withColumn("size", F.octet_length("content").cast("bigint"))
 
 
 def puts(spark, *table):
-    return spark.createDataFrame(list(table), KEYS + ", title string, content binary, ts timestamp, seq bigint")
+    table = spark.createDataFrame(list(table), KEYS + ", title string, content binary, ts timestamp, seq bigint")
+    return table.withColumn("size", F.octet_length("content").cast("bigint"))
 
 
 def test_upsert_replaces_the_whole_record_and_the_last_put_wins(spark):
@@ -80,7 +83,7 @@ def test_upsert_replaces_the_whole_record_and_the_last_put_wins(spark):
         (2, "a", "other user", b"x", at(0), 0),
     )
     after = saved.saved_upsert(before, batch)
-    wanted = [(1, "a", "A3", None), (1, "b", "B", bytearray(b"b")), (2, "a", "other user", bytearray(b"x"))]
+    wanted = [(1, "a", "A3", None, None), (1, "b", "B", bytearray(b"b"), 1), (2, "a", "other user", bytearray(b"x"), 1)]
     assert rows(after) == wanted
     assert rows(saved.saved_upsert(after, batch)) == wanted
 
@@ -127,4 +130,4 @@ def test_fetch_and_store(spark):
     contents = spark.createDataFrame([("u1", b"x")], "url string, content binary")
     fetched = saved.content_fetch(wanted, contents)
     assert rows(fetched, "id", "fetched") == [("1", True), ("2", False)]
-    assert rows(saved.content_store(wanted.union(wanted), contents)) == [(1, "1", "One", bytearray(b"x"))]
+    assert rows(saved.content_store(wanted.union(wanted), contents)) == [(1, "1", "One", bytearray(b"x"), 1)]

@@ -7,7 +7,7 @@ from stackroom.operators import browse, saved
 from stackroom.schemas import CATALOG, SAVED
 from stackroom.sources.catalog import append_batch, read_catalog, with_document_ids
 from stackroom.sources.objects import list_objects, read_objects
-from stackroom.sources.snapshots import VersionedTable, read_snapshot, write_bucketed, write_snapshot
+from stackroom.sources.snapshots import VersionedTable, read_snapshot, save_keyed, write_bucketed, write_snapshot
 
 
 def library(spark):
@@ -41,7 +41,7 @@ def test_appending_a_batch_again_adds_nothing(spark, tmp_path):
 def test_versions(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "saved"), SAVED)
     assert table.latest() is None and table.read().isEmpty()
-    first = spark.createDataFrame([(1, "a", "A", b"x")], SAVED)
+    first = spark.createDataFrame([(1, "a", "A", b"x", 1)], SAVED)
     assert table.write(first) == 1
     assert table.write(saved.saved_delete(table.read(), first)) == 2
     assert table.read().isEmpty()
@@ -70,3 +70,22 @@ def test_bucketed_write_keeps_all_rows(spark, tmp_path):
     back = spark.read.parquet(path)
     assert back.count() == 1000
     assert back.select("bucket").distinct().count() == 4
+
+
+def test_changes_of_a_keyed_table_do_not_shuffle_it(spark, tmp_path):
+    rows_ = spark.range(100).selectExpr(
+        "id user_id", "cast(id as string) id", "'t' title", "x'00' content", "cast(1 as bigint) size"
+    )
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = save_keyed(rows_, "kept", str(tmp_path / "kept"), ["user_id", "id"], 8)
+        gone = rows_.where("user_id < 10").select("user_id", "id")
+        after = saved.saved_delete(kept, gone)
+        assert after.count() == 90
+        plan = after._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        scan = plan.split("SortMergeJoin")[1].split("Exchange")[0]
+        assert "FileScan" in scan and "content" in scan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("drop table if exists kept")
