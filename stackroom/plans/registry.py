@@ -17,7 +17,8 @@ from stackroom.plans import views
 from stackroom.schemas import CATALOG
 from stackroom.session import new_run_dir, prepare
 from stackroom.sources.catalog import read_catalog
-from stackroom.sources.snapshots import VersionedTable, read_snapshot, write_bucketed, write_snapshot
+from stackroom.sources.membership import MembershipLog
+from stackroom.sources.snapshots import read_snapshot, write_bucketed, write_snapshot
 from stackroom.streaming import backfill as backfill_runs
 from stackroom.streaming import saved_state as saved_state_runs
 
@@ -29,8 +30,6 @@ SEARCH_TERM = "É"
 FLAGSHIP_TERM = "the"
 AS_OF = dt.datetime(2024, 6, 1)
 
-MEMBERS = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("id", T.StringType())])
-
 
 class Library:
     """The derived input tables of one folder."""
@@ -70,6 +69,11 @@ class Library:
     def opens(self) -> DataFrame:
         return views.opens(self.table("events"))
 
+    @property
+    def members(self) -> DataFrame:
+        """Keys of the saved table, for what needs no more than keys."""
+        return saved.saved_fold(self.saved_events).where("saved").select(*saved.KEY)
+
     @property
     def saved(self) -> DataFrame:
         return views.saved(self.table("events"), self.table("documents"))
@@ -150,7 +154,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest titles that hold a term, with the saved flag: the first page."""
     library = Library(prepare(spark), sf_dir)
     found = browse.catalog_search(library.catalog.select("id", "title", "url", "created_at"), FLAGSHIP_TERM, limit=20)
-    return flat(browse.catalog_recent(saved.saved_flag(found, saved.saved_ids(library.saved))))
+    return flat(browse.catalog_recent(saved.saved_flag(found, saved.saved_ids(library.members))))
 
 
 # --- browsing ------------------------------------------------------------------
@@ -169,7 +173,7 @@ def catalog_search(lib: Library) -> DataFrame:
 @query
 def catalog_search_flagged(lib: Library) -> DataFrame:
     found = browse.title_matches(lib.catalog.select("id", "title", "url", "created_at"), FLAGSHIP_TERM)
-    return browse.catalog_recent(saved.saved_flag(found, saved.saved_ids(lib.saved)))
+    return browse.catalog_recent(saved.saved_flag(found, saved.saved_ids(lib.members)))
 
 
 @query
@@ -299,12 +303,12 @@ def edits_rejected(lib: Library) -> DataFrame:
 
 @query
 def saved_ids(lib: Library) -> DataFrame:
-    return saved.saved_ids(lib.saved)
+    return saved.saved_ids(lib.members)
 
 
 @query
 def saved_flag(lib: Library) -> DataFrame:
-    return saved.saved_flag(lib.catalog.select("id", "title"), saved.saved_ids(lib.saved))
+    return saved.saved_flag(lib.catalog.select("id", "title"), saved.saved_ids(lib.members))
 
 
 @query
@@ -324,17 +328,17 @@ def saved_delete(lib: Library) -> DataFrame:
 
 @query
 def saved_set_add(lib: Library) -> DataFrame:
-    return saved.saved_set_add(lib.saved.select(*saved.KEY), lib.opens)
+    return saved.saved_set_add(lib.members, lib.opens)
 
 
 @query
 def saved_set_remove(lib: Library) -> DataFrame:
-    return saved.saved_set_remove(lib.saved.select(*saved.KEY), lib.opens)
+    return saved.saved_set_remove(lib.members, lib.opens)
 
 
 @query
 def saved_set_toggle(lib: Library) -> DataFrame:
-    return saved.saved_set_toggle(lib.saved.select(*saved.KEY), lib.opens)
+    return saved.saved_set_toggle(lib.members, lib.opens)
 
 
 @query
@@ -408,7 +412,7 @@ def backfill_stream(lib: Library) -> DataFrame:
 def saved_state_stream(lib: Library) -> DataFrame:
     path = lib.run_dir("saved_state")
     steps = views.saved_events(views.stream(lib.spark, lib.sf_dir, "events"))
-    members = VersionedTable(lib.spark, f"{path}/members", MEMBERS)
+    members = MembershipLog(lib.spark, f"{path}/members")
     saved_state_runs.saved_state_stream(steps, members, f"{path}/checkpoint").awaitTermination()
     return members.read()
 

@@ -25,6 +25,9 @@ CATALOG = T.StructType(
 #: One entry of an object-store listing.
 OBJECTS = T.StructType([T.StructField("name", T.StringType())])
 
+#: One document saved by one user.
+MEMBERS = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("id", T.StringType())])
+
 #: One step in a user's saved set: op is put, delete or toggle.
 SAVED_EVENTS = T.StructType(
     [

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stackroom.functions.naming import UPLOAD_PREFIX
+from stackroom.functions.naming import UPLOAD_PREFIX, Bucket
 
 # Spark's own schema of a file listing; a stream needs it spelled out.
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -37,6 +37,6 @@ def stream_objects(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark.readStream, root).select(object_name(F.col("path"), root).alias("name"))
 
 
-def read_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Names and bytes."""
-    return _files(spark.read, root).select(object_name(F.col("path"), root).alias("name"), "content")
+def read_contents(spark: SparkSession, root: str, bucket: Bucket = Bucket()) -> DataFrame:
+    """Bytes of the uploaded objects under their public address."""
+    return _files(spark.read, root).select(bucket.url(object_name(F.col("path"), root)).alias("url"), "content")

@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from stackroom.operators.saved import KEY, saved_fold
-from stackroom.sources.snapshots import VersionedTable
+from stackroom.sources.membership import MembershipLog
 
 
-def saved_state_stream(events: DataFrame, members: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Fold each micro-batch into the last membership and publish the next version.
+def saved_state_stream(events: DataFrame, members: MembershipLog, checkpoint: str) -> StreamingQuery:
+    """Fold each micro-batch into the membership before it and write the touched keys.
 
-    Version n+1 belongs to batch n: should a batch run again after a failure, it
-    starts from the version before it and writes the same version once more.
-    Steps of a later batch count as later, whatever their time.
+    Should a batch run again after a failure, it starts from the batches before it
+    and replaces what it wrote.  Steps of a later batch count as later, whatever
+    their time.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        previous = members.read(before=batch_id + 1)
-        members.write(saved_fold(batch, previous).where("saved").select(*KEY), version=batch_id + 1)
+        touched = batch.select(*KEY).distinct()
+        previous = members.read(before=batch_id).join(touched, list(KEY), "left_semi")
+        members.write(saved_fold(batch, previous), batch_id)
 
     return (
         events.writeStream.foreachBatch(fold)

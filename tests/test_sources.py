@@ -3,10 +3,11 @@ import datetime as dt
 from helpers import at, catalog, rows
 from pyspark.sql import functions as F
 
+from stackroom.functions.naming import Bucket
 from stackroom.operators import browse, saved
 from stackroom.schemas import CATALOG, SAVED
 from stackroom.sources.catalog import append_batch, read_catalog, with_document_ids
-from stackroom.sources.objects import list_objects, read_objects
+from stackroom.sources.objects import list_objects, read_contents
 from stackroom.sources.snapshots import VersionedTable, read_snapshot, save_keyed, write_bucketed, write_snapshot
 
 
@@ -61,7 +62,11 @@ def test_objects_from_files(spark, tmp_path):
         file.write_bytes(data)
     assert rows(list_objects(spark, str(root))) == [("uploads/1-a b%.pdf",), ("uploads/1-uploads/y.pdf",)]
     assert rows(browse.object_listing(list_objects(spark, f"file://{root}/")), "title") == [("a b%.pdf",), ("uploads/y.pdf",)]
-    assert rows(read_objects(spark, str(root)).select(F.length("content").alias("n")), "n") == [(1,), (2,)]
+    contents = read_contents(spark, str(root), Bucket("shelf", "https://host"))
+    assert rows(contents) == [
+        ("https://host/shelf/uploads/1-a b%.pdf", bytearray(b"x")),
+        ("https://host/shelf/uploads/1-uploads/y.pdf", bytearray(b"yy")),
+    ]
 
 
 def test_bucketed_write_keeps_all_rows(spark, tmp_path):

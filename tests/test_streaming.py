@@ -4,11 +4,10 @@ from helpers import rows
 from test_saved import events, random_steps, replay
 
 from stackroom.operators.reconcile import backfill
-from stackroom.plans.registry import MEMBERS
 from stackroom.schemas import CATALOG, OBJECTS, SAVED_EVENTS
 from stackroom.sources.catalog import read_batches, read_catalog
+from stackroom.sources.membership import MembershipLog
 from stackroom.sources.objects import stream_objects
-from stackroom.sources.snapshots import VersionedTable
 from stackroom.streaming.backfill import backfill_stream
 from stackroom.streaming.saved_state import saved_state_stream
 
@@ -17,26 +16,41 @@ AS_OF = dt.datetime(2024, 6, 1)
 
 def test_saved_state_over_several_runs_equals_a_replay(spark, tmp_path):
     steps = sorted(random_steps(300, 7), key=lambda step: (step[3], step[4]))
-    source, members = str(tmp_path / "events"), VersionedTable(spark, str(tmp_path / "members"), MEMBERS)
+    source, members = str(tmp_path / "events"), MembershipLog(spark, str(tmp_path / "members"))
 
     def run():
         stream = spark.readStream.schema(SAVED_EVENTS).parquet(source)
         saved_state_stream(stream, members, str(tmp_path / "checkpoint")).awaitTermination()
 
-    for part in range(3):
-        events(spark, steps[part * 100 : part * 100 + 100]).coalesce(1).write.mode("append").parquet(source)
+    for part in range(4):
+        events(spark, steps[part * 75 : part * 75 + 75]).coalesce(1).write.mode("append").parquet(source)
         run()
-        assert rows(members.read()) == replay(steps[: part * 100 + 100])
-    assert members.latest() == 3
+        assert rows(members.read()) == replay(steps[: part * 75 + 75])
+        if part == 1:
+            members.compact()
+            assert rows(members.read()) == replay(steps[:150])
     run()
-    assert members.latest() == 3
+    assert rows(members.read()) == replay(steps)
+    assert rows(members.read(before=3)) == replay(steps[:225])
 
 
-def test_a_batch_that_runs_again_gives_the_same_version(spark, tmp_path):
+def test_a_batch_writes_the_keys_it_touches(spark, tmp_path):
+    members = MembershipLog(spark, str(tmp_path / "members"))
+    members.write(spark.sql("select 1L user_id, 'a' id, true saved"), 0)
+    source = str(tmp_path / "events")
+    events(spark, [(2, "b", "toggle", 0, 0)]).write.parquet(source)
+    stream = spark.readStream.schema(SAVED_EVENTS).parquet(source)
+    # the stream's own first batch is number 0 as well: it replaces the change written above
+    saved_state_stream(stream, members, str(tmp_path / "checkpoint")).awaitTermination()
+    assert rows(members.read()) == [(2, "b")]
+    assert rows(members.read(before=0)) == []
+
+
+def test_a_batch_that_runs_again_gives_the_same_members(spark, tmp_path):
     """A lost commit makes the stream hand over its last batch once more."""
     steps = random_steps(80, 8)
     source, checkpoint = str(tmp_path / "events"), tmp_path / "checkpoint"
-    members = VersionedTable(spark, str(tmp_path / "members"), MEMBERS)
+    members = MembershipLog(spark, str(tmp_path / "members"))
     events(spark, steps).coalesce(1).write.parquet(source)
     for _ in range(2):
         stream = spark.readStream.schema(SAVED_EVENTS).parquet(source)
@@ -44,7 +58,6 @@ def test_a_batch_that_runs_again_gives_the_same_version(spark, tmp_path):
         assert rows(members.read()) == replay(steps)
         for mark in (checkpoint / "commits").iterdir():
             mark.unlink()
-    assert members.latest() == 1
 
 
 def test_backfill_registers_each_object_once(spark, tmp_path):
