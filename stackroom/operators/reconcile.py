@@ -26,10 +26,10 @@ def backfill(objects: DataFrame, catalog: DataFrame, as_of: dt.datetime, bucket:
     """Catalog rows for :func:`unregistered` objects, ready to be appended.
 
     Titles equal those of a registered upload; the creation time is the upload
-    time in the name, or ``as_of`` where the name has none.
+    time in the name, or ``as_of`` (UTC, if it has no zone) where the name has none.
     """
     name = F.col("name")
-    created_at = F.coalesce(upload_time(name), F.lit(as_of).cast("timestamp"))
+    created_at = F.coalesce(upload_time(name), F.lit(as_of.isoformat()).cast("timestamp"))
     return unregistered(objects, catalog).select(
         row_key(name).alias("id"),
         *new_document(title_of_file(title_of_object(name)), name, created_at, bucket),

@@ -1,7 +1,14 @@
+import os
+import time
+
 import pytest
 
 from stackroom.session import build_session, prepare
 
+# Python's own conversion of times in test tables
+os.environ["TZ"] = "UTC"
+time.tzset()
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
