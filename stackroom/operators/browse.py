@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stackroom.functions.naming import UPLOAD_PREFIX, Bucket, download_name, title_of_object, viewer_link
 from stackroom.functions.text import contains_text, format_list, or_default
+from stackroom.functions.wording import MISSING
 
 
 def catalog_recent(catalog: DataFrame, limit: int | None = None) -> DataFrame:
@@ -33,8 +34,8 @@ def catalog_display(catalog: DataFrame) -> DataFrame:
     return catalog.select(
         "id",
         "title",
-        or_default(F.col("writer"), "-").alias("writer"),
-        or_default(format_list(F.col("categories")), "-").alias("categories"),
+        or_default(F.col("writer"), MISSING).alias("writer"),
+        or_default(format_list(F.col("categories")), MISSING).alias("categories"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stackroom.functions import payload as P
+from stackroom.functions import wording as W
 from stackroom.operators.gate import ROLE
 
 
@@ -15,7 +16,7 @@ def role_label(users: DataFrame) -> DataFrame:
         "uid",
         "display_name",
         "email",
-        F.when(truthy, F.lit("Maintainer")).otherwise(F.lit("Reader")).alias("role"),
+        F.when(truthy, F.lit(W.MAINTAINER)).otherwise(F.lit(W.READER)).alias("role"),
     )
 
 
@@ -23,7 +24,7 @@ def grant_messages(grants: DataFrame) -> DataFrame:
     """Answer to each accepted grant."""
     return grants.select(
         "request_id",
-        F.concat(F.lit("Successfully made "), "email", F.lit(" a maintainer.")).alias("message"),
+        F.concat(F.lit(W.GRANTED_BEFORE), "email", F.lit(W.GRANTED_AFTER)).alias("message"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from stackroom.functions import wording as W
 from stackroom.functions.naming import LOCAL_PREFIX
 from stackroom.operators.skew import lookup_join
 
@@ -118,7 +119,7 @@ def content_resolve(opens: DataFrame, catalog: DataFrame, saved: DataFrame) -> D
         .otherwise(F.col("url"))
         .alias("read_url"),
         F.concat(
-            F.lit("Reading "), "title", F.when(local, F.lit(" (Offline)")).otherwise(F.lit(" (Online)"))
+            F.lit(W.READING), "title", F.when(local, F.lit(W.OFFLINE)).otherwise(F.lit(W.ONLINE))
         ).alias("status"),
     )
 

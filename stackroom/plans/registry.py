@@ -290,7 +290,7 @@ def edits_apply(lib: Library) -> DataFrame:
 
 @query
 def edit_overlay(lib: Library) -> DataFrame:
-    return edits.edit_overlay(browse.catalog_recent(lib.catalog), lib.good_edits)
+    return browse.catalog_recent(edits.edit_overlay(lib.catalog, lib.good_edits))
 
 
 @query

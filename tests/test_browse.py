@@ -76,3 +76,20 @@ def test_lookup_many_takes_the_first_listed_of_equal_ids(spark):
 def test_is_empty(spark):
     assert rows(browse.is_empty(library(spark))) == [(False,)]
     assert rows(browse.is_empty(library(spark).where("false"))) == [(True,)]
+
+
+def pushed(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("PushedFilters") :]
+
+
+def test_filters_reach_the_files_and_columns_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    library(spark).write.parquet(path)
+    stored = spark.read.parquet(path)
+    scan = pushed(browse.catalog_search(stored.select("id", "title", "created_at"), "x"))
+    assert "IsNotNull(created_at)" in scan and "IsNotNull(title)" in scan
+    assert "ReadSchema: struct<id:string,title:string,created_at:timestamp>" in scan
+    assert "EqualTo(id,2)" in pushed(browse.point_lookup(stored, "2"))
+    listing = stored.selectExpr("url as name")
+    assert "StringStartsWith(url,uploads/)" in pushed(browse.object_listing(listing))
