@@ -6,11 +6,12 @@ row, so that it works on a stream of that table as well.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stackroom.functions.naming import Bucket
 from stackroom.operators.saved import saved_fold
 from stackroom.operators.skew import lookup_join
+from stackroom.schemas import CATALOG
 
 FIRST_UPLOAD_MS = 1704067200000
 
@@ -39,46 +40,36 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def _path(key: Column, file_name: Column) -> Column:
+def _path(key: str, file_name: str) -> str:
     """Storage path of an upload made ``key`` seconds after the first one."""
-    return F.concat(F.lit("uploads/"), (F.lit(FIRST_UPLOAD_MS) + key * 1000).cast("string"), F.lit("-"), file_name)
+    return f"concat('uploads/', {FIRST_UPLOAD_MS} + {key} * 1000, '-', {file_name})"
 
 
-def _document_path() -> Column:
-    name = F.concat("lang", F.lit("."), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return _path(F.col("doc_id"), name)
+DOCUMENT_PATH = _path("doc_id", "concat(lang, '.', source, '_', doc_id, '.pdf')")
+DOCUMENT_TITLE = r"substring_index(text, '\n', 1)"
 
 
 def catalog(documents: DataFrame) -> DataFrame:
     """One catalog row per document; the title is its heading, the whole first line."""
-    path = _document_path()
-    started = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    return documents.select(
-        F.col("doc_id").cast("string").alias("id"),
-        F.substring_index("text", "\n", 1).alias("title"),
-        Bucket().url(path).alias("url"),
-        path.alias("gcs_path"),
-        F.array("lang", "source").alias("categories"),
-        F.when(F.col("lang") == "es", F.lit("")).when(F.col("lang") != "de", F.col("source")).alias("writer"),
-        F.when(F.col("lang") == "de", F.array().cast("array<string>"))
-        .when(F.col("lang") != "fr", F.array("source", "lang"))
-        .alias("tikakar"),
-        F.when(F.col("source") != "src2", F.concat(F.col("n_chars").cast("string"), F.lit(" characters"))).alias(
-            "description"
-        ),
-        F.when(
-            F.col("source") != "src13", F.timestamp_add("second", F.col("n_chars").cast("int"), started)
-        ).alias("created_at"),
-        F.lit(None).cast("timestamp").alias("updated_at"),
-    )
+    return documents.selectExpr(
+        "cast(doc_id as string) as id",
+        f"{DOCUMENT_TITLE} as title",
+        f"{DOCUMENT_PATH} as gcs_path",
+        "array(lang, source) as categories",
+        "case lang when 'es' then '' when 'de' then null else source end as writer",
+        "case lang when 'fr' then null when 'de' then cast(array() as array<string>) else array(source, lang) end"
+        " as tikakar",
+        "case when source <> 'src2' then concat(n_chars, ' characters') end as description",
+        "case when source <> 'src13' then timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, n_chars) end"
+        " as created_at",
+        "cast(null as timestamp) as updated_at",
+    ).select("id", "title", Bucket().url(F.col("gcs_path")).alias("url"), *CATALOG.names[3:])
 
 
 def contents(documents: DataFrame) -> DataFrame:
     """Bytes of each stored document: its whole text."""
     return documents.select(
-        F.col("doc_id").cast("string").alias("id"),
-        Bucket().url(_document_path()).alias("url"),
-        F.encode("text", "UTF-8").alias("content"),
+        Bucket().url(F.expr(DOCUMENT_PATH)).alias("url"), F.encode("text", "UTF-8").alias("content")
     )
 
 
@@ -89,127 +80,102 @@ def objects(documents: DataFrame, pages: DataFrame, regions: DataFrame) -> DataF
 
 
 def document_objects(documents: DataFrame) -> DataFrame:
-    return documents.select(_document_path().alias("name"))
+    return documents.selectExpr(f"{DOCUMENT_PATH} as name")
 
 
 def page_objects(pages: DataFrame) -> DataFrame:
-    page = F.concat(F.lit("page."), F.col("page_id").cast("string"), F.lit(".html.pdf"))
-    timed = F.startswith("url", F.lit("https:"))
-    return pages.select(
-        F.when(timed, _path(F.col("page_id"), page)).otherwise(F.concat(F.lit("uploads/"), page)).alias("name")
+    page = "concat('page.', page_id, '.html.pdf')"
+    return pages.selectExpr(
+        f"if(startswith(url, 'https:'), {_path('page_id', page)}, concat('uploads/', {page})) as name"
     )
 
 
 def other_objects(regions: DataFrame) -> DataFrame:
-    other = F.concat(F.lit("other/"), "r_name", F.lit(".pdf"))
-    return regions.select(F.when(F.col("r_regionkey") == 0, F.lit("uploads/")).otherwise(other).alias("name"))
+    return regions.selectExpr("if(r_regionkey = 0, 'uploads/', concat('other/', r_name, '.pdf')) as name")
 
 
 def users(customers: DataFrame) -> DataFrame:
-    segment = F.col("c_mktsegment")
-    claims = (
-        F.when(segment == "MACHINERY", '{"maintainer":true}')
-        .when(segment == "FURNITURE", '{"maintainer":"true"}')
-        .when(segment == "HOUSEHOLD", '{"maintainer":false}')
-        .otherwise("{}")
-    )
-    return customers.select(
-        F.col("c_custkey").alias("uid"),
-        F.col("c_name").alias("display_name"),
-        F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
-        F.parse_json(claims).alias("claims"),
+    return customers.selectExpr(
+        "c_custkey as uid",
+        "c_name as display_name",
+        "concat(lower(c_name), '@example.com') as email",
+        """parse_json(case c_mktsegment
+             when 'MACHINERY' then '{"maintainer":true}'
+             when 'FURNITURE' then '{"maintainer":"true"}'
+             when 'HOUSEHOLD' then '{"maintainer":false}'
+             else '{}' end) as claims""",
     )
 
 
-def _header_by_price() -> Column:
-    price = F.col("o_totalprice")
-    return (
-        F.when(price < 10000, F.lit(None).cast("string"))
-        .when(price < 20000, "Basic x")
-        .when(price < 25000, "bearer t")
-        .otherwise("Bearer t")
-    )
+HEADER_BY_PRICE = """case when o_totalprice < 10000 then null
+    when o_totalprice < 20000 then 'Basic x'
+    when o_totalprice < 25000 then 'bearer t'
+    else 'Bearer t' end as auth_header"""
 
 
 def uploads(orders: DataFrame) -> DataFrame:
     """One upload request per order.  Its priority says how many files it lists; some
     names are listed twice."""
-    price = F.col("o_totalprice")
-    count = F.substring("o_orderpriority", 1, 1).cast("int")
-    entries = [
-        f'{{"fileName":"#.part{(i + 1) // 2}.pdf","fileType":"{"image/png" if i == 3 else "application/pdf"}"}}'
+    entries = ", ".join(
+        f"""'{{"fileName":"#.part{(i + 1) // 2}.pdf","fileType":"{"image/png" if i == 3 else "application/pdf"}"}}'"""
         for i in range(1, 6)
-    ]
-    listed = F.array_join(F.slice(F.array(*[F.lit(entry) for entry in entries]), F.lit(1), count), ",")
-    files = F.replace(listed, F.lit("#"), F.col("o_orderkey").cast("string"))
-    body = (
-        F.when(price < 30000, "{bad")
-        .when(price < 35000, "null")
-        .when(price < 40000, "{}")
-        .when(price < 45000, '{"files":"x"}')
-        .when(price < 50000, '{"files":[]}')
-        .when(price < 55000, '{"files":[5]}')
-        .when(price < 60000, '{"files":[{"fileName":5},{"fileName":"ok.pdf","fileType":"application/pdf"}]}')
-        .otherwise(F.concat(F.lit('{"files":['), files, F.lit("]}")))
     )
-    return orders.select(
-        F.col("o_orderkey").alias("request_id"),
-        F.col("o_orderdate").cast("timestamp").alias("issued_at"),
-        _header_by_price().alias("auth_header"),
-        F.col("o_custkey").alias("caller_uid"),
-        body.alias("body"),
+    listed = f"array_join(slice(array({entries}), 1, cast(left(o_orderpriority, 1) as int)), ',')"
+    return orders.selectExpr(
+        "o_orderkey as request_id",
+        "cast(o_orderdate as timestamp) as issued_at",
+        HEADER_BY_PRICE,
+        "o_custkey as caller_uid",
+        f"""case when o_totalprice < 30000 then '{{bad'
+              when o_totalprice < 35000 then 'null'
+              when o_totalprice < 40000 then '{{}}'
+              when o_totalprice < 45000 then '{{"files":"x"}}'
+              when o_totalprice < 50000 then '{{"files":[]}}'
+              when o_totalprice < 55000 then '{{"files":[5]}}'
+              when o_totalprice < 60000
+              then '{{"files":[{{"fileName":5}},{{"fileName":"ok.pdf","fileType":"application/pdf"}}]}}'
+              else concat('{{"files":[', replace({listed}, '#', o_orderkey), ']}}') end as body""",
     )
 
 
 def staged(lineitem: DataFrame) -> DataFrame:
     """The files that the client of each upload request holds, one per order line."""
-    parts = ["l_linenumber", "l_partkey", "l_suppkey"]
-    return lineitem.select(
-        F.col("l_orderkey").alias("request_id"),
-        F.concat_ws("-", *parts).alias("file_key"),
-        F.concat(
-            F.col("l_orderkey").cast("string"), F.lit(".part"), F.col("l_linenumber").cast("string"), F.lit(".pdf")
-        ).alias("file_name"),
-        F.when(F.col("l_returnflag") == "A", "image/png").otherwise("application/pdf").alias("file_type"),
-        (F.col("l_quantity") * 30).cast("int").alias("delay_seconds"),
-        F.encode(F.concat_ws("|", *parts, "l_linestatus"), "UTF-8").alias("content"),
+    return lineitem.selectExpr(
+        "l_orderkey as request_id",
+        "concat_ws('-', l_linenumber, l_partkey, l_suppkey) as file_key",
+        "concat(l_orderkey, '.part', l_linenumber, '.pdf') as file_name",
+        "if(l_returnflag = 'A', 'image/png', 'application/pdf') as file_type",
+        "cast(l_quantity * 30 as int) as delay_seconds",
+        "encode(concat_ws('|', l_linenumber, l_partkey, l_suppkey, l_linestatus), 'UTF-8') as content",
     )
 
 
 def grants(orders: DataFrame) -> DataFrame:
     """One role grant request per order."""
-    email = F.concat(F.lit("customer#"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit("@example.com"))
-    priority = F.col("o_orderpriority")
-    body = (
-        F.when(priority == "5-LOW", "{}")
-        .when(priority == "4-NOT SPECIFIED", '{"email":""}')
-        .when(priority == "3-MEDIUM", '{"email":5}')
-        .otherwise(F.to_json(F.struct(email.alias("email"))))
-    )
-    return orders.select(
-        F.col("o_orderkey").alias("request_id"),
-        _header_by_price().alias("auth_header"),
-        F.col("o_custkey").alias("caller_uid"),
-        body.alias("body"),
+    return orders.selectExpr(
+        "o_orderkey as request_id",
+        HEADER_BY_PRICE,
+        "o_custkey as caller_uid",
+        """case o_orderpriority
+             when '5-LOW' then '{}'
+             when '4-NOT SPECIFIED' then '{"email":""}'
+             when '3-MEDIUM' then '{"email":5}'
+             else concat('{"email":"customer#', lpad(o_orderkey, 9, '0'), '@example.com"}') end as body""",
     )
 
 
-def _item() -> Column:
-    return F.get_json_object("props", "$.k")
+ITEM = "get_json_object(props, '$.k')"
 
 
 def saved_events(events: DataFrame) -> DataFrame:
     """Steps in the users' saved sets; a view is an opening, not a step."""
-    kind = F.col("event_type")
-    op = (
-        F.when(kind.isin("signup", "purchase"), "put")
-        .when(kind == "error", "delete")
-        .when(kind == "click", "toggle")
-        .otherwise("open")
-    )
-    return events.select(
-        "user_id", _item().alias("id"), op.alias("op"), F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_id").alias("seq"),
+    return events.selectExpr(
+        "user_id",
+        f"{ITEM} as id",
+        """case event_type when 'signup' then 'put' when 'purchase' then 'put' when 'error' then 'delete'
+             when 'click' then 'toggle' else 'open' end as op""",
+        "cast(ts as timestamp) as ts",
+        "event_id as seq",
     )
 
 
@@ -219,59 +185,44 @@ def opens(events: DataFrame) -> DataFrame:
 
 def edits(events: DataFrame) -> DataFrame:
     """One edit request per event, many to each of the documents edited."""
-    value = F.col("value")
-    kind = F.col("event_type")
-    number = F.col("event_id").cast("string")
-    user = F.col("user_id").cast("string")
-    body = (
-        F.when(kind == "view", "{}")
-        .when(kind == "click", F.to_json(F.struct(F.concat(F.lit("Edited "), number).alias("title"))))
-        .when(
-            kind == "signup",
-            F.concat(
-                F.lit('{"description":"by '), user, F.lit('","tikakar":["u'), user, F.lit('",null]}'),
-            ),
-        )
-        .when((kind == "purchase") & (value < 30), '{"writer":null,"categories":[]}')
-        .when(kind == "purchase", F.concat(F.lit('{"writer":null,"categories":["c'), number, F.lit('"]}')))
-        .when(value < 10, "{bad")
-        .when(value < 20, '{"title":5}')
-        .when(value < 30, "null")
-        .when(value < 40, '{"categories":"x"}')
-        .otherwise("5")
-    )
-    return events.select(
-        F.col("event_id").alias("request_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(value >= 1, F.when(value < 3, "Basic x").otherwise("Bearer t")).alias("auth_header"),
-        F.when(value <= 300, F.col("user_id")).alias("caller_uid"),
-        F.when(value > 150, F.concat(F.lit("missing-"), _item())).otherwise(_item()).alias("target_id"),
-        body.alias("body"),
+    return events.selectExpr(
+        "event_id as request_id",
+        "cast(ts as timestamp) as ts",
+        "case when value < 1 then null when value < 3 then 'Basic x' else 'Bearer t' end as auth_header",
+        "case when value <= 300 then user_id end as caller_uid",
+        f"if(value > 150, concat('missing-', {ITEM}), {ITEM}) as target_id",
+        """case when event_type = 'view' then '{}'
+             when event_type = 'click' then concat('{"title":"Edited ', event_id, '"}')
+             when event_type = 'signup'
+             then concat('{"description":"by ', user_id, '","tikakar":["u', user_id, '",null]}')
+             when event_type = 'purchase' and value < 30 then '{"writer":null,"categories":[]}'
+             when event_type = 'purchase' then concat('{"writer":null,"categories":["c', event_id, '"]}')
+             when value < 10 then '{bad'
+             when value < 20 then '{"title":5}'
+             when value < 30 then 'null'
+             when value < 40 then '{"categories":"x"}'
+             else '5' end as body""",
     )
 
 
 def saved(events: DataFrame, documents: DataFrame) -> DataFrame:
     """The saved table after all steps; German documents were saved without bytes."""
     kept = saved_fold(saved_events(events)).where("saved").select("user_id", "id")
-    return _with_record(kept, documents)
+    record = documents.selectExpr(
+        "cast(doc_id as string) as id",
+        f"{DOCUMENT_TITLE} as title",
+        "case when lang <> 'de' then encode(text, 'UTF-8') end as content",
+        "case when lang <> 'de' then cast(octet_length(text) as bigint) end as size",
+    )
+    return lookup_join(kept, record, ["id"], how="inner")
 
 
 def puts(events: DataFrame, documents: DataFrame) -> DataFrame:
     """Every opening saves the document once more, with its bytes."""
-    record = documents.select(
-        F.col("doc_id").cast("string").alias("id"),
-        F.concat(F.lit("Copy of "), F.substring_index("text", "\n", 1)).alias("title"),
-        F.encode("text", "UTF-8").alias("content"),
-        F.octet_length("text").cast("bigint").alias("size"),
+    record = documents.selectExpr(
+        "cast(doc_id as string) as id",
+        f"concat('Copy of ', {DOCUMENT_TITLE}) as title",
+        "encode(text, 'UTF-8') as content",
+        "cast(octet_length(text) as bigint) as size",
     )
     return lookup_join(opens(events), record, ["id"], how="inner")
-
-
-def _with_record(keys: DataFrame, documents: DataFrame) -> DataFrame:
-    record = documents.select(
-        F.col("doc_id").cast("string").alias("id"),
-        F.substring_index("text", "\n", 1).alias("title"),
-        F.when(F.col("lang") != "de", F.encode("text", "UTF-8")).alias("content"),
-        F.when(F.col("lang") != "de", F.octet_length("text").cast("bigint")).alias("size"),
-    )
-    return lookup_join(keys, record, ["id"], how="inner")
