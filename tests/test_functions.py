@@ -56,7 +56,7 @@ def test_viewer_link_leaves_local_copies_alone(spark):
 
 
 def test_parse_list(spark):
-    values = [" a , ,b,", "", ",", "\t x　", "﻿", "in  side", None]
+    values = [" a , ,b,", "", ",", "\t\u00a0x\u3000", "\ufeff", "in  side", None]
     assert column(spark, values, text.parse_list) == [["a", "b"], [], [], ["x"], [], ["in  side"], None]
 
 
