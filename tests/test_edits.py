@@ -59,7 +59,7 @@ def test_overlay_leaves_times_alone_and_ignores_unknown_documents(spark):
 
 
 def test_form_round_trip(spark):
-    forms = spark.createDataFrame([("1", " a, ,b ", "")], "id string, categories string, tikakar string")
+    forms = spark.createDataFrame([("1", " a, ,b\u00a0", "")], "id string, categories string, tikakar string")
     assert rows(edits.edit_normalize(forms)) == [("1", ("a", "b"), ())]
     normal = edits.edit_normalize(browse.edit_form(library(spark)))
     assert rows(normal, "id", "categories", "tikakar") == [("1", ("a",), ("t",)), ("2", (), ())]

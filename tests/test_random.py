@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from stackroom.functions import naming, payload, text
 
 # what a browser's trim() removes
-SPACE = "\t\n\v\f\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
-ALPHABET = "ab.,/-7 Éß日😀%_+!~*'()&=?#" + SPACE + "​\u0085᠎"
+SPACE = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+ALPHABET = "ab.,/-7 Éß日😀%_+!~*'()&=?#" + SPACE + "\u200b\u0085\u180e"
 
 
 def strings(seed, count=400):
