@@ -1,7 +1,8 @@
 from helpers import at, catalog, rows, users
 from pyspark.sql import functions as F
 
-from stackroom.operators import gate
+from stackroom.operators import gate, ingest
+from stackroom.sources.outcomes import read_outcomes, write_outcomes
 
 STAFF = {"ann": '{"maintainer":true}', "bob": '{"maintainer":"true"}', "cat": "{}"}
 
@@ -69,3 +70,18 @@ def test_grants(spark):
     gated = gate.gate_grants(requests(spark, *[("Bearer t", 0, b) for b in bodies]), users(spark, **STAFF))
     assert statuses(gated) == [400, 400, 400, 400, 500, 200, 500, 500]
     assert rows(gate.accepted(gated), "email", "uid") == [("cat@example.com", 2)]
+
+
+def test_outcomes_are_written_in_one_pass_and_read_by_folder(spark, tmp_path):
+    bodies = ['{"files":[{"fileName":"a.pdf"}]}', "{bad", "{}", '{"files":[]}']
+    gated = gate.gate_uploads(requests(spark, *[("Bearer t", 0, b) for b in bodies]), users(spark, **STAFF))
+    path = str(tmp_path / "outcomes")
+    for _ in range(2):
+        write_outcomes(gated, path, 0)
+    stored = read_outcomes(spark, path)
+    assert rows(stored, "request_id", "status", "reason") == rows(gated, "request_id", "status", "reason")
+    good = gate.accepted(stored)
+    assert rows(ingest.manifest_files(good), "request_id", "file_name") == [(0, "a.pdf")]
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status" in plan
+    assert rows(gate.rejected(stored), "request_id", "body") == [(1, "{bad"), (2, "{}")]

@@ -4,7 +4,8 @@ from helpers import at, catalog, rows
 from pyspark.sql import functions as F
 
 from stackroom.functions.naming import Bucket
-from stackroom.operators import browse, saved
+from stackroom.functions.payload import with_payload
+from stackroom.operators import browse, edits, saved
 from stackroom.schemas import CATALOG, SAVED
 from stackroom.sources.catalog import append_batch, read_catalog, with_document_ids
 from stackroom.sources.objects import list_objects, read_contents
@@ -77,20 +78,35 @@ def test_bucketed_write_keeps_all_rows(spark, tmp_path):
     assert back.select("bucket").distinct().count() == 4
 
 
+def unshuffled_left_side(frame):
+    """The part of the final plan between its join and the join's first shuffle."""
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.split("SortMergeJoin")[1].split("Exchange")[0]
+
+
 def test_changes_of_a_keyed_table_do_not_shuffle_it(spark, tmp_path):
-    rows_ = spark.range(100).selectExpr(
+    copies = spark.range(100).selectExpr(
         "id user_id", "cast(id as string) id", "'t' title", "x'00' content", "cast(1 as bigint) size"
     )
+    requests = spark.range(10).selectExpr(
+        "id request_id", "timestamp_seconds(id) ts", "cast(id as string) target_id", """'{"title":"new"}' body"""
+    )
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        kept = save_keyed(rows_, "kept", str(tmp_path / "kept"), ["user_id", "id"], 8)
-        gone = rows_.where("user_id < 10").select("user_id", "id")
-        after = saved.saved_delete(kept, gone)
-        assert after.count() == 90
-        plan = after._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-        scan = plan.split("SortMergeJoin")[1].split("Exchange")[0]
+        kept = save_keyed(copies, "kept", str(tmp_path / "kept"), ["user_id", "id"], 8)
+        after = saved.saved_delete(kept, copies.where("user_id < 10"))
+        assert len(after.collect()) == 90
+        scan = unshuffled_left_side(after)
         assert "FileScan" in scan and "content" in scan
+
+        documents = save_keyed(library(spark), "documents", str(tmp_path / "documents"), ["id"], 8)
+        edited = edits.edits_apply(documents, with_payload(requests))
+        assert rows(edited, "id", "title") == [("1", "new"), ("2", "new")]
+        edited.collect()
+        scan = unshuffled_left_side(edited)
+        assert "FileScan" in scan and "description" in scan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.sql("drop table if exists kept")
+        spark.sql("drop table if exists documents")
