@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackroom.llm import bpe, packing
+from stackroom.llm import bpe, near, packing, substring
 from stackroom.llm.common import table
 from stackroom.session import prepare
 
@@ -30,3 +30,13 @@ def op1_packing(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query
 def op2_bpe(docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs)
+
+
+@query
+def op6_substring_dedup(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring.drop_repeats(docs)
+
+
+@query
+def op10_near_dedup(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.classes(docs)
