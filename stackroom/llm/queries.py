@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stackroom.llm import bpe, near, packing, substring
+from stackroom.llm import bpe, lines, near, packing, substring
 from stackroom.llm.common import table
 from stackroom.session import prepare
 
@@ -40,3 +40,35 @@ def op6_substring_dedup(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query
 def op10_near_dedup(docs: DataFrame, sf_dir: str) -> DataFrame:
     return near.classes(docs)
+
+
+@query
+def op9_line_dedup(docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = lines.drop_runs(docs)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", digest)
+
+
+ORACLE_SQL["op9_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL
+), runs AS (
+  SELECT doc_id, i, line, lead(line, 1) OVER d AS second, lead(line, 2) OVER d AS third
+  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), copies AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, i) AS copy
+  FROM runs WHERE third IS NOT NULL
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM copies, (VALUES (0), (1), (2)) AS steps(k) WHERE copy > 1
+), marked AS (
+  SELECT lines.doc_id, lines.i, line, gone.i IS NOT NULL AS removed,
+         coalesce(lag(gone.i) OVER (PARTITION BY lines.doc_id ORDER BY lines.i) IS NOT NULL, FALSE) AS removed_before
+  FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.i = lines.i
+)
+SELECT documents.doc_id, count(marked.i) AS n_lines, count(*) FILTER (removed) AS n_removed,
+       count(*) FILTER (removed AND NOT removed_before) AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY marked.i) FILTER (NOT removed), '')) AS kept_sha256
+FROM documents LEFT JOIN marked ON marked.doc_id = documents.doc_id
+GROUP BY documents.doc_id
+"""
