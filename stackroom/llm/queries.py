@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stackroom.llm import bpe, lines, near, packing, substring
+from stackroom.llm import bpe, exact, lines, near, packing, substring
 from stackroom.llm.common import table
 from stackroom.session import prepare
 
@@ -72,3 +72,19 @@ SELECT documents.doc_id, count(marked.i) AS n_lines, count(*) FILTER (removed) A
 FROM documents LEFT JOIN marked ON marked.doc_id = documents.doc_id
 GROUP BY documents.doc_id
 """
+
+
+@query
+def op4_exact_dedup(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.groups(docs)
+
+
+ORACLE_SQL["op4_exact_dedup"] = """
+WITH texts AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS same
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(same) AS text_sha256
+FROM texts WINDOW g AS (PARTITION BY same)
+"""
