@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stackroom.llm import bpe, exact, lines, near, packing, substring
+from stackroom.llm import bpe, exact, langid, lines, media, near, packing, substring
 from stackroom.llm.common import table
 from stackroom.session import prepare
 
@@ -88,3 +88,13 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(same) AS text_sha256
 FROM texts WINDOW g AS (PARTITION BY same)
 """
+
+
+@query
+def op7_language_id(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.identify(docs)
+
+
+@query
+def op8_media(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return media.round_trip(docs)
