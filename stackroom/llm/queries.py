@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stackroom.llm import bpe, exact, langid, lines, media, near, packing, substring, toxicity
+from stackroom.llm import bpe, exact, langid, lines, media, near, packing, quality, substring, toxicity
 from stackroom.llm.common import table
 from stackroom.session import prepare
 
@@ -103,3 +103,8 @@ def op8_media(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query
 def op3_toxicity(docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, table(docs.sparkSession, sf_dir, "labels"))
+
+
+@query
+def op5_quality(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.classify(docs, table(docs.sparkSession, sf_dir, "labels"))
