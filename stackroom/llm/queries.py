@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stackroom.llm import bpe, exact, langid, lines, media, near, packing, quality, substring, toxicity
@@ -108,3 +109,6 @@ def op3_toxicity(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query
 def op5_quality(docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(docs.sparkSession, sf_dir, "labels"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

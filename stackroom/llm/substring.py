@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stackroom.llm.arrays import WORDS_BASE, Words, mix, pieces, prefix_sums, run_hash, signed, split_words
+from stackroom.llm.arrays import WORDS_BASE, Words, mix, pieces, prefix_sums, run_hash, signed, split_words, text_bytes
 from stackroom.llm.common import ready, shuffle_width
 
 WINDOW = 20
@@ -231,7 +231,11 @@ def _apply(width: int, seed: int, fields: list, text_out: bool):
                 ]
                 names = [*fields, "n_words", "n_removed", "kept_sha256"]
                 if text_out:
-                    columns.append(pa.array([t.decode() for t in texts], pa.string()))
+                    laid_out = _laid_out(words, ~removed, text_bytes(part.column("_text"))[1][1:])
+                    given = part.column("_text").to_pylist()
+                    same = (np.diff(counts) == 0).tolist()
+                    kept = [g if s else t.decode() for g, s, t in zip(given, same, laid_out)]
+                    columns.append(pa.array(kept, pa.string()))
                     names.append("kept_text")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -241,16 +245,31 @@ def _apply(width: int, seed: int, fields: list, text_out: bool):
 def _joined(words: Words, kept: np.ndarray) -> list[bytes]:
     """The kept words of each text, joined by one space."""
     length = np.where(kept, words.end - words.start + 1, 0)
+    raw, bounds = _gathered(words, kept, length, one_space=True)
+    return [raw[a : max(a, b - 1)] for a, b in bounds]
+
+
+def _laid_out(words: Words, kept: np.ndarray, text_ends: np.ndarray) -> list[bytes]:
+    """The kept words of each text, each with the white space that follows it there."""
+    after = np.append(words.start[1:], 0)
+    last = words.at[1:][words.counts > 0] - 1
+    after[last] = text_ends[words.counts > 0]
+    raw, bounds = _gathered(words, kept, np.where(kept, after - words.start, 0), one_space=False)
+    return [raw[a:b].rstrip(b" \t\n\v\f\r") for a, b in bounds]
+
+
+def _gathered(words: Words, kept: np.ndarray, length: np.ndarray, one_space: bool) -> tuple[bytes, list[tuple[int, int]]]:
     out_at = np.concatenate(([0], np.cumsum(length)))
     chosen = np.flatnonzero(kept)
     source = np.repeat(words.start[chosen] - out_at[chosen], length[chosen]) + np.arange(out_at[-1])
-    space = out_at[1:][chosen] - 1
-    source[space] = 0
+    if one_space:
+        space = out_at[1:][chosen] - 1
+        source[space] = 0
     out = words.data[source] if len(source) else np.zeros(0, np.uint8)
-    out[space] = 32
-    raw = out.tobytes()
-    bounds = out_at[words.at]
-    return [raw[a : max(a, b - 1)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    if one_space:
+        out[space] = 32
+    at = out_at[words.at].tolist()
+    return out.tobytes(), list(zip(at[:-1], at[1:]))
 
 
 def repeats(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -278,8 +297,9 @@ def drop_repeats(
     """Remove every word covered by a window whose words also start earlier.
 
     Earlier: in a document of smaller doc_id, or before in the same text.  Gives the
-    columns ``keep`` of each input row, n_words, n_removed, kept_sha256 and, if asked,
-    kept_text (the kept words joined by one space).  Needs doc_id and text; others
+    columns ``keep`` of each input row, n_words, n_removed, kept_sha256 (of the kept words joined
+    by one space) and, if asked, kept_text: the text itself where nothing goes, else
+    the kept words with the white space that follows each.  Needs doc_id and text; others
     are ignored unless kept.  Null and empty texts have no words.  Rows of equal
     doc_id are judged each for itself: none is earlier than the other.  A row without
     doc_id loses only what repeats inside it, and makes nothing else go.  An empty
