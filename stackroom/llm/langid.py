@@ -68,14 +68,20 @@ class Classifier:
             level=level, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False
         )
 
+    @staticmethod
+    def _sizes(compressors: list, blocks: list[bytes]) -> np.ndarray:
+        return np.array([sum(len(c.compress(block)) for block in blocks) for c in compressors])
+
     def __call__(self, text: str | None) -> tuple[str, float, int]:
         """Language, score (1 for a clear case, shared out among equals), margin in bytes."""
         if not text or not self.languages or not LETTER.search(text):
             return UNKNOWN, 0.0, 0
         raw = text.lower().encode()
         blocks = [raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)]
-        compressors = self._short if len(raw) < SHORT else self._long
-        sizes = np.array([sum(len(c.compress(block)) for block in blocks) for c in compressors])
+        first, second = (self._short, self._long) if len(raw) < SHORT else (self._long, self._short)
+        sizes = self._sizes(first, blocks)
+        if (sizes == sizes.min()).sum() > 1:
+            sizes = sizes + self._sizes(second, blocks)
         best = int(sizes.argmin())
         over = sizes - sizes[best]
         score = 1.0 / float(np.exp2(-np.minimum(over, 60)).sum())
@@ -91,8 +97,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ..
 
     Only text is looked at.  Null texts and texts without a letter are ``und`` with score 0, as is
     everything where nothing was learned; they and texts whose two smallest encodings differ by
-    less than ``MARGIN`` bytes are not accepted.  Of languages that tie the first by name is
-    told.  One row for each input row; an empty table gives none.
+    less than ``MARGIN`` bytes are not accepted.  Languages that tie are
+    compressed at the other level too; of those that still tie the first by name is told.  One row for each input row; an empty table gives none.
     """
     # a bounded number of dictionaries of bounded size
     shared = ready(docs.sparkSession).sparkContext.broadcast(dictionaries)
