@@ -10,8 +10,10 @@ similarity of the documents.
 Documents of equal words are one class from the start.  The others meet in buckets of
 four equal registers; a bucket links each member with its first member and with the one
 before it, never all with all.  Links hold if the shingle sets have a Jaccard similarity of
-0.8 or more; where a bucket still holds several classes, members of different
-classes that stand next to each other are tried, as long as that joins classes.
+0.8 or more.  Where a bucket still holds several classes, its members are tried with
+those of other classes ``REACH`` places further back in each round, until several
+rounds in a row join no classes.  Such pairs must share three buckets of 32 (a similarity of
+0.8 misses that once in 80,000 times), which is seen before texts are fetched.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
+REACH = 8
+PATIENCE = 3
+LEAST_SHARED = 3  # of the buckets
 CHUNK = 32  # pairs that share one copy of their first document's text
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
@@ -216,18 +221,31 @@ def classes(
     tried = written(starred.union(chained).where("a < b").distinct(), "pairs")
     links = written(verified(tried, texts, similarity), "held")
     labels = components(links)
-    while True:
-        own = lookup_join(met.select("band", "doc_id"), labels, ["doc_id"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-        by_class = Window.partitionBy("band").orderBy("class_id", "doc_id")
-        beside = own.select("doc_id", "class_id", F.lag("doc_id").over(by_class).alias("o"), F.lag("class_id").over(by_class).alias("oc"))
-        by_doc = own.select("doc_id", "class_id", F.lag("doc_id").over(in_bucket).alias("o"), F.lag("class_id").over(in_bucket).alias("oc"))
-        more = beside.union(by_doc).where("oc <> class_id").select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b"))
-        more = written(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    keys = written(members.where(F.col("bands").isNotNull()).join(texts.select("doc_id"), "doc_id", "left_semi").select("doc_id", "bands"), "keys")
+    turn, idle = 0, 0
+    while idle < PATIENCE:
+        own = lookup_join(met.select("band", "doc_id"), labels, ["doc_id"], "left")
+        own = own.withColumn("class_id", F.coalesce("class_id", "doc_id"))
+        mixed = Window.partitionBy("band").orderBy("doc_id")
+        back = [
+            F.struct(F.lag("doc_id", k).over(mixed).alias("doc_id"), F.lag("class_id", k).over(mixed).alias("class_id"))
+            for k in range(turn * REACH + 1, turn * REACH + REACH + 1)
+        ]
+        other = own.withColumn("back", F.array(*back)).select("doc_id", "class_id", F.explode("back").alias("other"))
+        more = other.where("other.class_id <> class_id").select(
+            F.least("other.doc_id", "doc_id").alias("a"), F.greatest("other.doc_id", "doc_id").alias("b")
+        )
+        more = more.distinct().join(tried, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            more = lookup_join(more, keys.select(F.col("doc_id").alias(end), F.col("bands").alias(f"_{end}")), [end], "inner")
+        shared = F.size(F.array_intersect("_a", "_b"))
+        more = written(more.where(shared >= LEAST_SHARED).select("a", "b"), "pairs")
         fresh = written(verified(more, texts, similarity), "held")
-        if fresh.isEmpty():
-            break
-        tried, links = tried.union(more), links.union(fresh)
-        labels = components(links)
+        turn, idle = turn + 1, idle + 1
+        if not fresh.isEmpty():
+            idle = 0
+            tried, links = tried.union(more), links.union(fresh)
+            labels = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     about = lookup_join(members.select("doc_id", "rep"), labels.withColumnRenamed("doc_id", "rep"), ["rep"], "left")
