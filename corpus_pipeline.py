@@ -13,26 +13,30 @@ from stackroom.llm.common import table, written
 from stackroom.session import prepare
 
 
-def _with_text(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
-    """``names`` of the documents with ``text`` as their text; n_chars follows a text that changed."""
-    changed = F.col("text").isNotNull() & ~F.col(text).eqNullSafe(F.col("text"))
+def _given(docs: DataFrame, *names: str) -> DataFrame:
+    """All columns as one, beside those that a stage reads, so that none meets a result's name."""
+    return docs.select(F.struct("*").alias("given"), *names)
+
+
+def _with_text(rows: DataFrame, text: str, names: list[str]) -> DataFrame:
+    """The given columns with a new text; n_chars follows where the text changed."""
+    changed = F.col("given.text").isNotNull() & ~F.col(text).eqNullSafe(F.col("given.text"))
     put = {
-        "text": F.when(changed, F.col(text)).otherwise(F.col("text")),
-        "n_chars": F.when(changed, F.char_length(F.col(text)).cast("bigint")).otherwise(F.col("n_chars")),
+        "text": F.when(changed, F.col(text)).otherwise(F.col("given.text")),
+        "n_chars": F.when(changed, F.char_length(F.col(text)).cast("bigint")).otherwise(F.col("given.n_chars")),
     }
-    return docs.select(*[put[name].alias(name) if name in put else name for name in names])
+    return rows.select(*[put[n].alias(n) if n in put else F.col(f"given.`{n}`") for n in names])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; texts without letters and ties go."""
-    names = docs.columns
-    return langid.identify(docs, tuple(names)).where("accepted").select(*names)
+    told = langid.identify(_given(docs, "doc_id", "text", "lang"), ("given",))
+    return told.where("accepted").select("given.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of later copies of repeated runs."""
-    names = docs.columns
-    return _with_text(lines.drop_runs(docs.withColumn("given", F.col("text"))).withColumnsRenamed({"text": "kept", "given": "text"}), "kept", names)
+    return _with_text(lines.drop_runs(_given(docs, "doc_id", "text")), "text", docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +47,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that occur earlier."""
-    names = docs.columns
-    return _with_text(substring.drop_repeats(docs, keep=tuple(names), kept_text=True), "kept_text", names)
+    told = substring.drop_repeats(_given(docs, "doc_id", "text"), keep=("given",), kept_text=True)
+    return _with_text(told, "kept_text", docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

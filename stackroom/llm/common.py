@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stackroom.session import new_run_dir
 
@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def together(keep: tuple[str, ...], results: str) -> tuple[Column, list[Column]]:
+    """Columns to keep as one struct ``given``, safe from any name in between, and how to take them out again.
+
+    Columns named like one of ``results`` (a schema) are left out: the result has that name.
+    """
+    taken = {part.split()[0] for part in results.split(", ")}
+    names = [name for name in keep if name not in taken]
+    return F.struct(*[F.col(f"`{n}`") for n in names]).alias("given"), [F.col(f"given.`{n}`") for n in names]
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` as a Parquet table in the shared folder: lineage ends there, lost executors cost nothing."""
     path = new_run_dir(rows.sparkSession, name)

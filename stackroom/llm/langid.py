@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from stackroom.llm.common import ready
+from stackroom.llm.common import ready, together
 
 DICTIONARY_BYTES = 128 << 10
 SAMPLE_BYTES = 2 * DICTIONARY_BYTES  # of whole learning texts for each language, about
@@ -102,22 +102,24 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ..
     """
     # a bounded number of dictionaries of bounded size
     shared = ready(docs.sparkSession).sparkContext.broadcast(dictionaries)
-    fields = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(shared.value)
         for batch in batches:
             told = [classify(text.as_py()) for text in batch.column("_text")]
-            columns = [batch.column(name) for name in fields] + [
+            columns = [
+                batch.column("given"),
                 pa.array([t[0] for t in told], pa.string()),
                 pa.array([t[1] for t in told], pa.float64()),
                 pa.array([t[0] != UNKNOWN and t[2] >= MARGIN for t in told], pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*fields, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays(columns, names=["given", "lang_pred", "score", "accepted"])
 
-    rows = docs.select(*fields, F.col("text").cast("string").alias("_text"))
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"] + [PREDICTED])
-    return rows.mapInArrow(run, shape)
+    given, back = together(keep, PREDICTED)
+    rows = docs.select(given, F.col("text").cast("string").alias("_text"))
+    shape = f"given {rows.schema['given'].dataType.simpleString()}, {PREDICTED}"
+    told = rows.mapInArrow(run, shape)
+    return told.select(*back, *[part.split()[0] for part in PREDICTED.split(", ")])
 
 
 def held_out(parts: int = 4, part: int = 2):
@@ -131,6 +133,7 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     The prediction never sees lang, source or doc_id.  Rows without lang or text teach nothing.
     """
     learning = docs.where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    fields = tuple(dict.fromkeys([*keep, "doc_id"]))
-    told = predict(docs, learn(learning), fields).withColumn("held_out", held_out())
-    return told.select(*keep, "held_out", "lang_pred", "score", "accepted")
+    given, back = together(keep, PREDICTED + ", held_out boolean")
+    rows = docs.select(given, held_out().alias("held_out"), "text")
+    told = predict(rows, learn(learning), ("given", "held_out"))
+    return told.select(*back, "held_out", "lang_pred", "score", "accepted")

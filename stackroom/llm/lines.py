@@ -84,26 +84,27 @@ def drop_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     and do not delete each other; of equal doc_id and other text, a hash decides which
     is earlier.  Rows without doc_id stay as they are.  An empty table gives no rows.
     """
-    starts = repeated_starts(docs, min_run).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), F.col("starts").alias("_starts")
-    )
+    starts = repeated_starts(docs, min_run)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
+    # the given columns stay together, so that none of them meets a name used here
     keyed = docs.select(
-        *names, F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_text_key"),
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("given"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.xxhash64("text").alias("text_key"),
     )
-    joined = keyed.join(starts, ["_id", "_text_key"], "left")
-    joined = joined.withColumn("_lines", F.split(F.col("text").cast("string"), "\n"))
-    run = F.transform("_starts", lambda s: F.sequence(s, s + F.lit(min_run - 1)))
+    joined = keyed.join(starts, ["doc_id", "text_key"], "left")
+    joined = joined.withColumn("_lines", F.split(F.col("given.text").cast("string"), "\n"))
+    run = F.transform("starts", lambda s: F.sequence(s, s + F.lit(min_run - 1)))
     joined = joined.withColumn("_gone", F.array_distinct(F.flatten(run)))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
     kept = F.transform(F.array_except(every, "_gone"), lambda i: F.get("_lines", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col("given.text").cast("string")).otherwise(F.array_join(kept, "\n"))
     removed = F.coalesce(F.size("_gone"), F.lit(0))
     runs = F.size(F.array_except("_gone", F.transform("_gone", lambda i: i + 1)))
     has = F.col("_gone").isNotNull()
     return joined.select(
-        *[text.alias(c) if c == "text" else c for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint").alias("n_lines"),
+        *[text.alias(c) if c == "text" else F.col(f"given.`{c}`") for c in names],
+        F.when(F.col("given.text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint").alias("n_lines"),
         F.when(has, removed).otherwise(0).cast("bigint").alias("n_removed"),
         F.when(has, runs).otherwise(0).cast("bigint").alias("n_runs"),
     )

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stackroom.llm.arrays import WORDS_BASE, Words, mix, pieces, prefix_sums, run_hash, signed, split_words, text_bytes
-from stackroom.llm.common import ready, shuffle_width
+from stackroom.llm.common import ready, shuffle_width, together
 
 WINDOW = 20
 SEED = 8
@@ -199,7 +199,7 @@ def _asked_windows(width: int, seed: int):
 KEPT = "n_words bigint, n_removed bigint, kept_sha256 string"
 
 
-def _apply(width: int, seed: int, fields: list, text_out: bool):
+def _apply(width: int, seed: int, text_out: bool):
     """Remove the words of every window that occurs earlier, elsewhere or in the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,12 +224,13 @@ def _apply(width: int, seed: int, fields: list, text_out: bool):
                 removed = np.cumsum(edges[:-1]) > 0
                 texts = _joined(words, ~removed)
                 counts = np.concatenate(([0], np.cumsum(removed)))[words.at]
-                columns = [part.column(f) for f in fields] + [
+                columns = [
+                    part.column("given"),
                     pa.array(words.counts, pa.int64()),
                     pa.array(np.diff(counts), pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
                 ]
-                names = [*fields, "n_words", "n_removed", "kept_sha256"]
+                names = ["given", "n_words", "n_removed", "kept_sha256"]
                 if text_out:
                     laid_out = _laid_out(words, ~removed, text_bytes(part.column("_text"))[1][1:])
                     given = part.column("_text").to_pylist()
@@ -308,10 +309,14 @@ def drop_repeats(
     ready(docs.sparkSession)
     found = repeats(docs, width, seed)
     empty = F.array().cast("array<bigint>")
-    named = docs.select(*keep, F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    joined = named.join(found.withColumnRenamed("doc_id", "_id"), "_id", "left").select(
-        *keep, "_text", F.coalesce("_nears", empty).alias("_nears"), F.coalesce("_windows", empty).alias("_windows")
+    shape = KEPT + ", kept_text string" * kept_text
+    given, back = together(keep, shape)
+    named = docs.select(
+        given, F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")
     )
-    types = {f.name: f.dataType.simpleString() for f in joined.schema}
-    shape = ", ".join([f"`{name}` {types[name]}" for name in keep] + [KEPT] + ["kept_text string"] * kept_text)
-    return joined.mapInArrow(_apply(width, seed, list(keep), kept_text), shape)
+    joined = named.join(found, "doc_id", "left").select(
+        "given", "_text", F.coalesce("_nears", empty).alias("_nears"), F.coalesce("_windows", empty).alias("_windows")
+    )
+    full = f"given {joined.schema['given'].dataType.simpleString()}, {shape}"
+    told = joined.mapInArrow(_apply(width, seed, kept_text), full)
+    return told.select(*back, *[part.split()[0] for part in shape.split(", ")])

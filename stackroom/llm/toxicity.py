@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stackroom.llm.common import ready
+from stackroom.llm.common import ready, together
 
 SAMPLE_ROWS = 30_000  # labelled rows learned from, about
 LEXICON_ENTRIES = 20_000
@@ -259,19 +259,20 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     """
     # bounded by LEXICON_ENTRIES
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
-    fields = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, curve = Machine(shared.value.entries), shared.value.curve
         for batch in batches:
             values = np.array([machine(text.as_py()) for text in batch.column("_text")]).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(values @ curve[:4] + curve[4], -30, 30)))
-            columns = [batch.column(f) for f in fields] + [pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*fields, "score", "predicted"])
-
-    rows = docs.select(*fields, F.col("text").cast("string").alias("_text"))
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"] + [SCORED])
-    return rows.mapInArrow(run, shape)
+            columns = [batch.column("given"), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["given", "score", "predicted"])
+
+    given, back = together(keep, SCORED)
+    rows = docs.select(given, F.col("text").cast("string").alias("_text"))
+    shape = f"given {rows.schema['given'].dataType.simpleString()}, {SCORED}"
+    told = rows.mapInArrow(run, shape)
+    return told.select(*back, *[part.split()[0] for part in SCORED.split(", ")])
 
 
 def held_out(parts: int = 3, part: int = 1):
