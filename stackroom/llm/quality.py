@@ -133,7 +133,7 @@ def co_train(known: list[np.ndarray], label: np.ndarray, pool: list[np.ndarray],
     known = [x.reshape(len(label), -1) if len(label) else np.zeros((0, 1)) for x in known]
     if len(set(label.tolist())) < 2 or len(label) < 6:
         rate = (label.sum() + 1) / (len(label) + 2)
-        sizes = [x.shape[1] for x in (known if len(label) else pool)]
+        sizes = [x.shape[1] if x.ndim == 2 else 1 for x in (known if len(label) else pool)]
         return Model([np.zeros(n) for n in sizes], [np.ones(n) for n in sizes], [np.zeros(n + 1) for n in sizes], np.array([0, 0, np.log(rate / (1 - rate))]))
     model = Model([x.mean(axis=0) for x in known], [x.std(axis=0) + 1e-6 for x in known], [], np.array([0.5, 0.5, 0]))
     checks = np.arange(len(label)) % 3 == 2
