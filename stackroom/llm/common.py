@@ -8,11 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stackroom.session import new_run_dir
 
+BATCH_ROWS, BATCH_BYTES = "2000", "4m"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it is not installed but its folder is visible."""
+    """Let Python workers import this package where it is not installed but its folder is visible.
+
+    Batches for Python are bounded by bytes: as many rows of text as Spark's default would
+    need some hundred MB in a worker and beside the JVM's heap.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
