@@ -6,7 +6,7 @@ and gives the columns of ``documents``; the last gives the pieces of the packed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stackroom.llm import langid, lines, near, packing, substring
 from stackroom.llm.common import table, written
@@ -14,29 +14,29 @@ from stackroom.session import prepare
 
 
 def _given(docs: DataFrame, *names: str) -> DataFrame:
-    """All columns as one, beside those that a stage reads, so that none meets a result's name."""
-    return docs.select(F.struct("*").alias("given"), *names)
+    """All columns but text as one, beside those that a stage reads, so that none meets a result's name."""
+    others = [F.col(f"`{n}`") for n in docs.columns if n != "text"]
+    return docs.select(F.struct(*others, F.col("text").isNull().alias("no_text")).alias("given"), "text", *names)
 
 
-def _with_text(rows: DataFrame, text: str, names: list[str]) -> DataFrame:
-    """The given columns with a new text; n_chars follows where the text changed."""
-    changed = F.col("given.text").isNotNull() & ~F.col(text).eqNullSafe(F.col("given.text"))
-    put = {
-        "text": F.when(changed, F.col(text)).otherwise(F.col("given.text")),
-        "n_chars": F.when(changed, F.char_length(F.col(text)).cast("bigint")).otherwise(F.col("given.n_chars")),
-    }
+def _taken(rows: DataFrame, text: str, changed: Column, names: list[str]) -> DataFrame:
+    """The given columns with their text; n_chars follows where the text changed."""
+    new = F.when(~F.col("given.no_text"), F.col(text))
+    size = F.when(changed, F.char_length(new).cast("bigint")).otherwise(F.col("given.n_chars"))
+    put = {"text": new, "n_chars": size}
     return rows.select(*[put[n].alias(n) if n in put else F.col(f"given.`{n}`") for n in names])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; texts without letters and ties go."""
-    told = langid.identify(_given(docs, "doc_id", "text", "lang"), ("given",))
-    return told.where("accepted").select("given.*")
+    told = langid.identify(_given(docs, "doc_id", "lang"), ("given", "text"))
+    return _taken(told.where("accepted"), "text", F.lit(False), docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of later copies of repeated runs."""
-    return _with_text(lines.drop_runs(_given(docs, "doc_id", "text")), "text", docs.columns)
+    told = lines.drop_runs(_given(docs, "doc_id"))
+    return _taken(told, "text", F.col("n_removed") > 0, docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that occur earlier."""
-    told = substring.drop_repeats(_given(docs, "doc_id", "text"), keep=("given",), kept_text=True)
-    return _with_text(told, "kept_text", docs.columns)
+    told = substring.drop_repeats(_given(docs, "doc_id"), keep=("given",), kept_text=True)
+    return _taken(told, "kept_text", F.col("n_removed") > 0, docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import types as T
 
 from stackroom.session import new_run_dir
 
@@ -41,6 +42,11 @@ def together(keep: tuple[str, ...], results: str) -> tuple[Column, list[Column]]
     return F.struct(*[F.col(f"`{n}`") for n in names]).alias("given"), [F.col(f"given.`{n}`") for n in names]
 
 
+def shape_of(rows: DataFrame, results: str) -> T.StructType:
+    """Schema of ``given`` as it is in ``rows``, whatever its columns are called, and of the results."""
+    return T.StructType([rows.schema["given"], *T.StructType.fromDDL(results).fields])
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` as a Parquet table in the shared folder: lineage ends there, lost executors cost nothing."""
     path = new_run_dir(rows.sparkSession, name)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from stackroom.llm.common import ready, together
+from stackroom.llm.common import ready, shape_of, together
 
 DICTIONARY_BYTES = 128 << 10
 SAMPLE_BYTES = 2 * DICTIONARY_BYTES  # of whole learning texts for each language, about
@@ -93,7 +93,7 @@ PREDICTED = "lang_pred string, score double, accepted boolean"
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of each row, lang_pred, score and accepted.
+    """Columns ``keep`` of each row, lang_pred, score and accepted; of a kept ``text`` there is one copy.
 
     Only text is looked at.  Null texts and texts without a letter are ``und`` with score 0, as is
     everything where nothing was learned; they and texts whose two smallest encodings differ by
@@ -109,16 +109,17 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ..
             told = [classify(text.as_py()) for text in batch.column("_text")]
             columns = [
                 batch.column("given"),
+                batch.column("_text"),
                 pa.array([t[0] for t in told], pa.string()),
                 pa.array([t[1] for t in told], pa.float64()),
                 pa.array([t[0] != UNKNOWN and t[2] >= MARGIN for t in told], pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["given", "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays(columns, names=["given", "_text", "lang_pred", "score", "accepted"])
 
-    given, back = together(keep, PREDICTED)
+    given, back = together(tuple(name for name in keep if name != "text"), PREDICTED)
+    back += [F.col("_text").alias("text")] * ("text" in keep)
     rows = docs.select(given, F.col("text").cast("string").alias("_text"))
-    shape = f"given {rows.schema['given'].dataType.simpleString()}, {PREDICTED}"
-    told = rows.mapInArrow(run, shape)
+    told = rows.mapInArrow(run, shape_of(rows, f"_text string, {PREDICTED}"))
     return told.select(*back, *[part.split()[0] for part in PREDICTED.split(", ")])
 
 
@@ -133,7 +134,8 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     The prediction never sees lang, source or doc_id.  Rows without lang or text teach nothing.
     """
     learning = docs.where(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    given, back = together(keep, PREDICTED + ", held_out boolean")
+    given, back = together(tuple(name for name in keep if name != "text"), PREDICTED + ", held_out boolean")
     rows = docs.select(given, held_out().alias("held_out"), "text")
-    told = predict(rows, learn(learning), ("given", "held_out"))
-    return told.select(*back, "held_out", "lang_pred", "score", "accepted")
+    text = ("text",) * ("text" in keep)
+    told = predict(rows, learn(learning), ("given", "held_out", *text))
+    return told.select(*back, *text, "held_out", "lang_pred", "score", "accepted")

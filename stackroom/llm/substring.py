@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stackroom.llm.arrays import WORDS_BASE, Words, mix, pieces, prefix_sums, run_hash, signed, split_words, text_bytes
-from stackroom.llm.common import ready, shuffle_width, together
+from stackroom.llm.common import ready, shape_of, shuffle_width, together
 
 WINDOW = 20
 SEED = 8
@@ -317,6 +317,5 @@ def drop_repeats(
     joined = named.join(found, "doc_id", "left").select(
         "given", "_text", F.coalesce("_nears", empty).alias("_nears"), F.coalesce("_windows", empty).alias("_windows")
     )
-    full = f"given {joined.schema['given'].dataType.simpleString()}, {shape}"
-    told = joined.mapInArrow(_apply(width, seed, kept_text), full)
+    told = joined.mapInArrow(_apply(width, seed, kept_text), shape_of(joined, shape))
     return told.select(*back, *[part.split()[0] for part in shape.split(", ")])

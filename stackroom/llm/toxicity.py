@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stackroom.llm.common import ready, together
+from stackroom.llm.common import ready, shape_of, together
 
 SAMPLE_ROWS = 30_000  # labelled rows learned from, about
 LEXICON_ENTRIES = 20_000
@@ -270,8 +270,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     given, back = together(keep, SCORED)
     rows = docs.select(given, F.col("text").cast("string").alias("_text"))
-    shape = f"given {rows.schema['given'].dataType.simpleString()}, {SCORED}"
-    told = rows.mapInArrow(run, shape)
+    told = rows.mapInArrow(run, shape_of(rows, SCORED))
     return told.select(*back, *[part.split()[0] for part in SCORED.split(", ")])
 
 

@@ -69,8 +69,8 @@ def test_odd_documents_pass_every_stage(spark, make_docs, odd_texts):
         if name != "packing":
             assert docs.columns == names
     empty = make_docs([])
-    for _, stage in corpus_pipeline.STAGES:
-        empty = stage(spark, empty, FOLDER)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = written(stage(spark, empty, FOLDER), name)
         assert empty.collect() == []
 
 
