@@ -16,6 +16,9 @@ VIEWER_BASE = "https://docs.google.com/gview?embedded=true&url="
 LOCAL_PREFIX = "blob:"
 TARGET_LIFE = "INTERVAL 15 MINUTES"
 
+# End of the year 9999, the last that timestamps are shown with.
+LAST_MILLIS = 253_402_300_799_999
+
 
 @dataclass(frozen=True)
 class Bucket:
@@ -41,9 +44,10 @@ def title_of_object(name: Column) -> Column:
 
 
 def upload_time(name: Column) -> Column:
-    """Upload time written into an object name, NULL where there is none."""
+    """Upload time written into an object name, NULL where there is none that a timestamp can hold."""
     digits = F.regexp_extract(name, rf"^{UPLOAD_PREFIX}(\d+)-", 1)
-    return F.timestamp_millis(F.nullif(digits, F.lit("")).try_cast("bigint"))
+    millis = F.nullif(digits, F.lit("")).try_cast("bigint")
+    return F.timestamp_millis(F.when(millis <= LAST_MILLIS, millis))
 
 
 def storage_path(issued_at: Column, file_name: Column) -> Column:

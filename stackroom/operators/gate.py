@@ -23,9 +23,15 @@ EDIT_FIELDS = ["title", "writer", "categories", "tikakar", "description"]
 
 
 def _with_caller(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """Add what is known of the caller: ``_maintainer`` is NULL for an unknown one."""
-    callers = users.select(
-        F.col("uid").alias("caller_uid"), P.is_true(P.field(F.col("claims"), ROLE)).alias("_maintainer")
+    """Add what is known of the caller: ``_maintainer`` is NULL for an unknown one.
+
+    Should a uid occur twice, all its rows must hold the claim.
+    """
+    claim = F.coalesce(P.is_true(P.field(F.col("claims"), ROLE)), F.lit(False))
+    callers = (
+        users.where(F.col("uid").isNotNull())
+        .groupBy(F.col("uid").alias("caller_uid"))
+        .agg(F.bool_and(claim).alias("_maintainer"))
     )
     return lookup_join(requests, callers, ["caller_uid"])
 
@@ -68,7 +74,7 @@ def gate_edits(requests: DataFrame, users: DataFrame, catalog: DataFrame | None
     known = _with_caller(P.with_payload(requests), users)
     checks = []
     if catalog is not None:
-        targets = catalog.select(F.col("id").alias("target_id")).withColumn("_found", F.lit(True))
+        targets = catalog.select(F.col("id").alias("target_id")).distinct().withColumn("_found", F.lit(True))
         known = lookup_join(known, targets, ["target_id"])
         checks.append((F.col("_found").isNull(), 404, "no such document"))
     for name in EDIT_FIELDS:
@@ -97,8 +103,11 @@ def gate_grants(requests: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def user_by_email(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """Requests with the ``uid`` of the user who has the request's ``email``, or NULL."""
-    emails = users.where(F.col("email").isNotNull()).select("email", "uid")
+    """Requests with the ``uid`` of the user who has the request's ``email``, or NULL.
+
+    Should several users have it, the smallest uid is taken.
+    """
+    emails = users.where(F.col("email").isNotNull()).groupBy("email").agg(F.min("uid").alias("uid"))
     return lookup_join(requests, emails, ["email"])
 
 

@@ -109,12 +109,21 @@ def upload_window(matches: DataFrame, put_at: Column) -> DataFrame:
     )
 
 
-def upload_content(puts: DataFrame) -> DataFrame:
-    """Rows for the content table from puts that hold to their target's terms.
+def upload_content(puts: DataFrame, staged: DataFrame) -> DataFrame:
+    """The content table after all puts that hold to their target's terms: the last one for each path.
 
-    Several files may have been put to one path: ``put_at`` and ``file_key`` tell
-    which came last, as the store would keep it.
+    Last is by ``put_at``, then request and ``file_key``.  The fold sees keys only; the
+    bytes of each last put are then taken from ``staged``, where (request_id, file_key) is
+    unique.
     """
-    return puts.where(F.col("in_time") & F.col("type_ok")).select(
-        "storage_path", F.col("file_type").alias("content_type"), "content", "put_at", "file_key"
+    order = F.struct("put_at", "request_id", "file_key")
+    last = (
+        puts.where(F.col("in_time") & F.col("type_ok"))
+        .groupBy("storage_path")
+        .agg(F.max(order).alias("last"))
+        .select("storage_path", "last.*")
+    )
+    bytes_ = staged.select("request_id", "file_key", F.col("file_type").alias("content_type"), "content")
+    return lookup_join(last, bytes_, ["request_id", "file_key"], how="inner").select(
+        "storage_path", "content_type", "content", "put_at", "file_key"
     )

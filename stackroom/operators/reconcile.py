@@ -14,12 +14,10 @@ from stackroom.operators.ingest import new_document
 def unregistered(objects: DataFrame, catalog: DataFrame) -> DataFrame:
     """Uploaded objects whose path no catalog row has.
 
-    The catalog's paths are first narrowed to listed names: where the listing is
-    small, as for a stream's batch, Spark broadcasts it and the catalog stays put.
+    One anti-join; a stream brings only the known paths that its names may meet.
     """
     names = object_listing(objects).select(F.col("id").alias("name"))
-    known = catalog.select(F.col("gcs_path").alias("name")).join(names, "name", "left_semi")
-    return names.join(known, "name", "left_anti")
+    return names.join(catalog.select(F.col("gcs_path").alias("name")), "name", "left_anti")
 
 
 def backfill(objects: DataFrame, catalog: DataFrame, as_of: dt.datetime, bucket: Bucket = Bucket()) -> DataFrame:

@@ -7,48 +7,72 @@ from pyspark.sql import DataFrame, functions as F
 from stackroom.functions import wording as W
 from stackroom.functions.naming import LOCAL_PREFIX
 from stackroom.operators.skew import lookup_join
+from stackroom.sources.foldered import FolderedTable
 
 KEY = ("user_id", "id")
 
 
-def saved_ids(saved: DataFrame) -> DataFrame:
-    """Distinct ids of saved documents, as text.  Reads no other column."""
-    return saved.select(F.col("id").cast("string").alias("id")).distinct()
+def saved_ids(saved: DataFrame, user_id: int | None = None) -> DataFrame:
+    """Distinct ids of the documents that one user has saved, as text; of all users as (user_id, id).
+
+    Reads the key only.
+    """
+    text = F.col("id").cast("string").alias("id")
+    if user_id is None:
+        return saved.select("user_id", text).distinct()
+    return saved.where(F.col("user_id") == user_id).select(text).distinct()
+
+
+def saved_flag(rows: DataFrame, saved: DataFrame) -> DataFrame:
+    """Rows (user_id, id, ...) with ``is_saved``: whether that user has saved that document.
+
+    Tests the key only, not whether bytes are there.
+    """
+    flagged = lookup_join(rows, saved_ids(saved).withColumn("is_saved", F.lit(True)), KEY)
+    return flagged.withColumn("is_saved", F.coalesce("is_saved", F.lit(False)))
 
 
-def saved_flag(catalog: DataFrame, ids: DataFrame) -> DataFrame:
-    """Catalog rows with ``is_saved``.  Tests the key only, not whether bytes are there."""
-    marked = ids.withColumn("is_saved", F.lit(True))
+def saved_flag_for(catalog: DataFrame, saved: DataFrame, user_id: int) -> DataFrame:
+    """Catalog rows as one user's list shows them, with ``is_saved``."""
+    marked = saved_ids(saved, user_id).withColumn("is_saved", F.lit(True))
     return catalog.join(marked, "id", "left").withColumn("is_saved", F.coalesce("is_saved", F.lit(False)))
 
 
-def content_fetch(wanted: DataFrame, contents: DataFrame) -> DataFrame:
-    """Bytes by address; ``fetched`` is false where the store has nothing there."""
-    found = contents.select("url", "content").withColumn("fetched", F.lit(True))
-    return lookup_join(wanted, found, ["url"]).withColumn(
-        "fetched", F.coalesce("fetched", F.lit(False))
-    )
+def content_fetch(wanted: DataFrame, contents: FolderedTable) -> DataFrame:
+    """Bytes of each distinct address; ``fetched`` is false where the store has nothing there.
+
+    Wishes are folded to addresses first, and only folders that may hold one are read.
+    Whoever wished keeps pointing at the address.
+    """
+    urls = wanted.where(F.col("url").isNotNull()).select("url").distinct()
+    found = contents.read_keys(urls).select("url", "content", F.lit(True).alias("fetched"))
+    return urls.join(found, "url", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
 
 
-def content_store(wanted: DataFrame, contents: DataFrame) -> DataFrame:
+def content_store(wanted: DataFrame, contents: FolderedTable) -> DataFrame:
     """Records to save, one per user and document; what cannot be fetched is left out.
 
     Repeated wishes are folded before any bytes are attached.
     """
     once = wanted.select(*KEY, "title", "url").dropDuplicates(list(KEY))
+    fetched = contents.read_keys(once.select("url")).select("url", "content")
     size = F.octet_length("content").cast("bigint").alias("size")
-    return content_fetch(once, contents).where("fetched").select(*KEY, "title", "content", size)
+    return lookup_join(once, fetched, ["url"], "inner").select(*KEY, "title", "content", size)
 
 
-def saved_upsert(saved: DataFrame, puts: DataFrame) -> DataFrame:
-    """Next saved table: a put replaces the whole record of its key; the last put wins."""
-    record = [name for name in saved.columns if name not in KEY]
+def saved_upsert(saved: DataFrame, puts: DataFrame, contents: FolderedTable) -> DataFrame:
+    """Next saved table: a put replaces the whole record of its key; the last put wins.
+
+    A put names the address of its bytes.  Puts are folded by their key columns; bytes
+    are fetched for the last puts only.  A put whose bytes cannot be fetched changes nothing.
+    """
     last = (
         puts.groupBy(*KEY)
-        .agg(F.max_by(F.struct(*record), F.struct("ts", "seq")).alias("record"))
-        .select(*KEY, *[F.col(f"record.{name}").alias(name) for name in record])
+        .agg(F.max(F.struct("ts", "seq", "title", "url")).alias("put"))
+        .select(*KEY, "put.title", "put.url")
     )
-    return saved_delete(saved, puts).unionByName(last)
+    records = content_store(last, contents).select(*saved.columns)
+    return saved_delete(saved, records).unionByName(records)
 
 
 def saved_delete(saved: DataFrame, keys: DataFrame) -> DataFrame:

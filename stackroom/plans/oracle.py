@@ -28,7 +28,11 @@ objects AS (
   SELECT CASE WHEN starts_with(url, 'https:') THEN 'uploads/' || (1704067200000 + page_id * 1000) || '-page.'
               ELSE 'uploads/page.' END || page_id || '.html.pdf' FROM pages
   UNION ALL
-  SELECT CASE WHEN r_regionkey = 0 THEN 'uploads/' ELSE 'other/' || r_name || '.pdf' END FROM region),
+  SELECT CASE WHEN r_regionkey = 0 THEN 'uploads/' ELSE 'other/' || r_name || '.pdf' END FROM region
+  UNION ALL
+  SELECT 'uploads/' || CASE n_nationkey % 5 WHEN 0 THEN '_draft ' || n_name || '.pdf' WHEN 1 THEN '.' || n_name
+           WHEN 2 THEN '_sub/2-' || n_name || '.pdf' WHEN 3 THEN '9223372036854775807-' || n_name || '.pdf'
+           ELSE n_name || '._COPYING_' END FROM nation),
 users AS (
   SELECT c_custkey AS uid, c_name AS display_name, lower(c_name) || '@example.com' AS email,
          c_mktsegment AS segment
@@ -64,7 +68,8 @@ targets AS (
          issued_at + INTERVAL 15 MINUTE AS expires_at
   FROM files),
 staged AS (
-  SELECT l_orderkey AS request_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS file_key,
+  SELECT l_orderkey AS request_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'
+           || CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS file_key,
          l_orderkey || '.part' || l_linenumber || '.pdf' AS file_name,
          CASE WHEN l_returnflag = 'A' THEN 'image/png' ELSE 'application/pdf' END AS file_type,
          CAST(l_quantity * 30 AS INTEGER) AS delay_seconds,
@@ -155,8 +160,8 @@ new_rows AS (
          regexp_replace(regexp_replace(substr(name, 9), '^\d+-', ''), '\.[^/.]+$', '') AS title,
          'https://storage.googleapis.com/library/' || name AS url, name AS gcs_path,
          '' AS categories, '' AS writer, CAST(NULL AS VARCHAR) AS tikakar, '' AS description,
-         CASE WHEN regexp_matches(name, '^uploads/\d+-')
-              THEN CAST(make_timestamp(CAST(regexp_extract(name, '^uploads/(\d+)-', 1) AS BIGINT) * 1000) AS TIMESTAMP)
+         CASE WHEN regexp_matches(name, '^uploads/\d{1,14}-')
+              THEN CAST(make_timestamp(CAST(regexp_extract(name, '^uploads/(\d{1,14})-', 1) AS BIGINT) * 1000) AS TIMESTAMP)
               ELSE TIMESTAMP '2024-06-01 00:00:00' END AS created_at,
          CAST(NULL AS TIMESTAMP) AS updated_at
   FROM new_objects)
@@ -173,7 +178,7 @@ SELECTS: dict[str, str] = {
     "catalog_recent": _LISTED,
     "catalog_search": _LISTED + " AND contains(lower(title), lower('É'))",
     "catalog_search_flagged": """
-        SELECT id, title, url, created_at, id IN (SELECT id FROM saved) AS is_saved
+        SELECT id, title, url, created_at, id IN (SELECT id FROM saved WHERE user_id = 7) AS is_saved
         FROM catalog WHERE created_at IS NOT NULL AND contains(lower(title), 'the')""",
     "catalog_display": """
         SELECT id, title, CASE WHEN writer IS NULL OR writer = '' THEN '-' ELSE writer END AS writer, categories
@@ -206,6 +211,7 @@ SELECTS: dict[str, str] = {
                '' AS categories, '' AS writer, CAST(NULL AS VARCHAR) AS tikakar, '' AS description,
                issued_at AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at
         FROM targets""".replace("\\\\", "\\"),
+    "request_outcomes": "SELECT request_id, status, reason FROM upload_gate WHERE status <> 200",
     "upload_files_rejected": """
         SELECT request_id, 0 AS pos, 500 AS file_status
         FROM upload_gate WHERE status = 200 AND o_totalprice >= 50000 AND o_totalprice < 60000""",
@@ -218,13 +224,16 @@ SELECTS: dict[str, str] = {
     "upload_content": """
         SELECT storage_path, file_type AS content_type, strlen(content) AS content_bytes,
                md5(content) AS content_md5, put_at, file_key
-        FROM matches WHERE put_at < expires_at AND type_ok""",
+        FROM matches WHERE put_at < expires_at AND type_ok
+        QUALIFY row_number() OVER (PARTITION BY storage_path ORDER BY put_at DESC, request_id DESC, file_key DESC) = 1""",
     "edits_apply": "SELECT * FROM edited",
     "edit_overlay": """
         SELECT * REPLACE (CAST(NULL AS TIMESTAMP) AS updated_at) FROM edited WHERE created_at IS NOT NULL""",
     "edits_rejected": "SELECT request_id, target_id FROM edit_gate WHERE status = 404",
-    "saved_ids": "SELECT DISTINCT id FROM saved",
-    "saved_flag": "SELECT id, title, id IN (SELECT id FROM saved) AS is_saved FROM catalog",
+    "saved_ids": "SELECT user_id, id FROM fold WHERE saved",
+    "saved_flag": """
+        SELECT DISTINCT o.user_id, o.id, coalesce(f.saved, false) AS is_saved
+        FROM opens o LEFT JOIN fold f ON f.user_id = o.user_id AND f.id = o.id""",
     "saved_fold": "SELECT * FROM fold",
     "saved_upsert": """
         SELECT DISTINCT o.user_id, o.id, 'Copy of ' || title AS title, content_bytes, content_md5, size
@@ -239,7 +248,11 @@ SELECTS: dict[str, str] = {
         (SELECT user_id, id FROM saved EXCEPT SELECT user_id, id FROM opens)
         UNION ALL (SELECT user_id, id FROM opens EXCEPT SELECT user_id, id FROM saved)""",
     "content_fetch": """
-        SELECT user_id, o.id, seq, true AS fetched, content_bytes, content_md5 FROM opens o JOIN bytes b ON o.id = b.id""",
+        SELECT DISTINCT c.url, true AS fetched, content_bytes, content_md5
+        FROM opens o JOIN catalog c ON o.id = c.id JOIN bytes b ON o.id = b.id
+        UNION ALL
+        SELECT DISTINCT 'https://storage.googleapis.com/library/' || name, false, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)
+        FROM objects WHERE contains(name, 'page.')""",
     "content_store": """
         SELECT DISTINCT user_id, o.id, title, content_bytes, content_md5, size FROM opens o JOIN bytes b ON o.id = b.id""",
     "content_resolve": """
@@ -271,4 +284,6 @@ SELECTS: dict[str, str] = {
     "saved_state_stream": "SELECT user_id, id FROM fold WHERE saved",
 }
 
+SELECTS["upload_append"] = SELECTS["upload_register"]
+
 ORACLE_SQL = {name: VIEWS + select for name, select in SELECTS.items()}

@@ -14,11 +14,14 @@ from stackroom.functions.naming import viewer_link
 from stackroom.operators import browse, edits, gate, ingest, reconcile, roles, saved
 from stackroom.operators.skew import lookup_join
 from stackroom.plans import views
-from stackroom.schemas import CATALOG
+from stackroom.schemas import CATALOG, CONTENTS
 from stackroom.session import new_run_dir, prepare
-from stackroom.sources.catalog import read_catalog
+from stackroom.sources.catalog import NewRows, append_batch, name_index, read_catalog
+from stackroom.sources.foldered import FolderedTable
 from stackroom.sources.membership import MembershipLog
-from stackroom.sources.snapshots import read_snapshot, write_bucketed, write_snapshot
+from stackroom.sources.objects import read_inventory
+from stackroom.sources.outcomes import read_outcomes, write_outcomes
+from stackroom.sources.snapshots import read_snapshot, save_keyed, write_snapshot
 from stackroom.streaming import backfill as backfill_runs
 from stackroom.streaming import saved_state as saved_state_runs
 
@@ -28,6 +31,7 @@ QUERIES: dict[str, Query] = {}
 
 SEARCH_TERM = "É"
 FLAGSHIP_TERM = "the"
+READER = 7  # whose list the flagged pages show
 AS_OF = dt.datetime(2024, 6, 1)
 
 
@@ -46,12 +50,22 @@ class Library:
         return views.catalog(self.table("documents"))
 
     @property
-    def contents(self) -> DataFrame:
-        return views.contents(self.table("documents"))
+    def contents(self) -> FolderedTable:
+        """The content table, by address."""
+        table = FolderedTable(self.spark, self.run_dir("contents"), CONTENTS, ["url"])
+        return table.write(views.contents(self.table("documents")))
+
+    def keyed(self, rows: DataFrame, name: str, key: list[str]) -> DataFrame:
+        """Folded rows as a content table, read again."""
+        return FolderedTable(self.spark, self.run_dir(name), rows.schema, key).write(rows, folded=True).read()
 
     @property
     def objects(self) -> DataFrame:
-        return views.objects(self.table("documents"), self.table("pages"), self.table("region"))
+        """The listing, as an inventory table of the object store."""
+        path = self.run_dir("inventory")
+        tables = [self.table(name) for name in ("documents", "pages", "region", "nation")]
+        views.inventory(views.objects(*tables)).write.parquet(path)
+        return read_inventory(self.spark, path)
 
     @property
     def users(self) -> DataFrame:
@@ -78,6 +92,13 @@ class Library:
     def saved(self) -> DataFrame:
         return views.saved(self.table("events"), self.table("documents"))
 
+    @property
+    def saved_table(self) -> DataFrame:
+        """The saved table as stored, bucketed by its key."""
+        path = self.run_dir("saved")
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return save_keyed(self.saved, path.rpartition("/")[2].replace("-", "_"), path, list(saved.KEY), buckets)
+
     @property
     def puts(self) -> DataFrame:
         return views.puts(self.table("events"), self.table("documents"))
@@ -151,10 +172,10 @@ def flat(rows: DataFrame) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest titles that hold a term, with the saved flag: the first page."""
+    """Newest titles that hold a term, with one reader's saved flag: the first page."""
     library = Library(prepare(spark), sf_dir)
     found = browse.catalog_search(library.catalog.select("id", "title", "url", "created_at"), FLAGSHIP_TERM, limit=20)
-    return flat(browse.catalog_recent(saved.saved_flag(found, saved.saved_ids(library.members))))
+    return flat(browse.catalog_recent(saved.saved_flag_for(found, library.members, READER)))
 
 
 # --- browsing ------------------------------------------------------------------
@@ -173,7 +194,7 @@ def catalog_search(lib: Library) -> DataFrame:
 @query
 def catalog_search_flagged(lib: Library) -> DataFrame:
     found = browse.title_matches(lib.catalog.select("id", "title", "url", "created_at"), FLAGSHIP_TERM)
-    return browse.catalog_recent(saved.saved_flag(found, saved.saved_ids(lib.members)))
+    return browse.catalog_recent(saved.saved_flag_for(found, lib.members, READER))
 
 
 @query
@@ -226,8 +247,8 @@ def is_empty(lib: Library) -> DataFrame:
 @query
 def snapshot_json(lib: Library) -> DataFrame:
     path = lib.run_dir("snapshot_json")
-    write_snapshot(browse.catalog_recent(lib.catalog), path)
-    return read_snapshot(lib.spark, path, CATALOG)
+    write_snapshot(lib.catalog, path)
+    return browse.catalog_recent(read_snapshot(lib.spark, path, CATALOG))
 
 
 # --- requests ------------------------------------------------------------------
@@ -247,6 +268,23 @@ def upload_register(lib: Library) -> DataFrame:
     return ingest.upload_register(lib.files)
 
 
+@query
+def upload_append(lib: Library) -> DataFrame:
+    """Registered, appended, appended again under another number, and listed."""
+    path = lib.run_dir("catalog")
+    for batch in (0, 1):
+        append_batch(ingest.upload_register(lib.files), path, batch)
+    return browse.catalog_recent(read_catalog(lib.spark, path))
+
+
+@query
+def request_outcomes(lib: Library) -> DataFrame:
+    """The reject table of the upload requests, as stored."""
+    path = lib.run_dir("outcomes")
+    write_outcomes(lib.gated_uploads.select("request_id", "status", "reason"), path, 0)
+    return gate.rejected(read_outcomes(lib.spark, path)).select("request_id", "status", "reason")
+
+
 @query
 def upload_files_rejected(lib: Library) -> DataFrame:
     return lib.files.where("file_status <> 200").select("request_id", "pos", "file_status")
@@ -275,9 +313,7 @@ def upload_window(lib: Library) -> DataFrame:
 
 @query
 def upload_content(lib: Library) -> DataFrame:
-    path = lib.run_dir("upload_content")
-    write_bucketed(ingest.upload_content(lib.windowed), path, ["storage_path"])
-    return lib.spark.read.parquet(path).drop("bucket")
+    return lib.keyed(ingest.upload_content(lib.windowed, lib.staged), "upload_content", ["storage_path"])
 
 
 # --- edits ---------------------------------------------------------------------
@@ -308,7 +344,7 @@ def saved_ids(lib: Library) -> DataFrame:
 
 @query
 def saved_flag(lib: Library) -> DataFrame:
-    return saved.saved_flag(lib.catalog.select("id", "title"), saved.saved_ids(lib.members))
+    return saved.saved_flag(lib.opens.select(*saved.KEY).distinct(), lib.members)
 
 
 @query
@@ -318,12 +354,12 @@ def saved_fold(lib: Library) -> DataFrame:
 
 @query
 def saved_upsert(lib: Library) -> DataFrame:
-    return saved.saved_upsert(lib.saved, lib.puts)
+    return saved.saved_upsert(lib.saved_table, lib.puts, lib.contents)
 
 
 @query
 def saved_delete(lib: Library) -> DataFrame:
-    return saved.saved_delete(lib.saved, lib.opens)
+    return saved.saved_delete(lib.saved_table, lib.opens)
 
 
 @query
@@ -343,14 +379,13 @@ def saved_set_toggle(lib: Library) -> DataFrame:
 
 @query
 def content_fetch(lib: Library) -> DataFrame:
-    return saved.content_fetch(lib.wanted, lib.contents).select("user_id", "id", "seq", "fetched", "content")
+    tables = [lib.table(name) for name in ("documents", "pages", "events")]
+    return saved.content_fetch(views.wishes(*tables), lib.contents)
 
 
 @query
 def content_store(lib: Library) -> DataFrame:
-    path = lib.run_dir("content_store")
-    write_bucketed(saved.content_store(lib.wanted, lib.contents), path, list(saved.KEY))
-    return lib.spark.read.parquet(path).drop("bucket")
+    return lib.keyed(saved.content_store(lib.wanted, lib.contents), "content_store", list(saved.KEY))
 
 
 @query
@@ -399,13 +434,12 @@ def backfill_count(lib: Library) -> DataFrame:
 @query
 def backfill_stream(lib: Library) -> DataFrame:
     path = lib.run_dir("backfill")
-    documents = views.document_objects(views.stream(lib.spark, lib.sf_dir, "documents"))
-    pages = views.page_objects(views.stream(lib.spark, lib.sf_dir, "pages"))
-    rows = f"{path}/rows"
-    backfill_runs.backfill_stream(
-        documents.unionByName(pages), lib.catalog, rows, f"{path}/checkpoint", AS_OF
-    ).awaitTermination()
-    return read_catalog(lib.spark, rows)
+    streams = [views.stream(lib.spark, lib.sf_dir, name) for name in ("documents", "pages", "region", "nation")]
+    rows = NewRows(lib.spark, f"{path}/rows")
+    known = name_index(lib.catalog, f"{path}/names")
+    backfill_runs.backfill_stream(views.objects(*streams), known, rows, f"{path}/checkpoint", AS_OF).awaitTermination()
+    rows.compact()
+    return rows.read()
 
 
 @query

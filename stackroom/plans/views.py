@@ -18,6 +18,7 @@ FIRST_UPLOAD_MS = 1704067200000
 # Said here, the schemas need not be looked up in the files first.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
     " o_orderdate timestamp_ntz, o_orderpriority string",
@@ -73,10 +74,16 @@ def contents(documents: DataFrame) -> DataFrame:
     )
 
 
-def objects(documents: DataFrame, pages: DataFrame, regions: DataFrame) -> DataFrame:
+def objects(documents: DataFrame, pages: DataFrame, regions: DataFrame, nations: DataFrame) -> DataFrame:
     """Object listing: every document, one object per page that the catalog does not
-    know (half of them without an upload time), and entries that are not uploads."""
-    return document_objects(documents).unionByName(page_objects(pages)).unionByName(other_objects(regions))
+    know (half of them without an upload time), entries that are not uploads, and odd names."""
+    known = document_objects(documents).unionByName(page_objects(pages))
+    return known.unionByName(other_objects(regions)).unionByName(odd_objects(nations))
+
+
+def inventory(objects: DataFrame) -> DataFrame:
+    """The listing as an inventory that knows no sizes and times."""
+    return objects.selectExpr("name", "cast(null as bigint) as size", "cast(null as timestamp) as modified")
 
 
 def document_objects(documents: DataFrame) -> DataFrame:
@@ -94,6 +101,18 @@ def other_objects(regions: DataFrame) -> DataFrame:
     return regions.selectExpr("if(r_regionkey = 0, 'uploads/', concat('other/', r_name, '.pdf')) as name")
 
 
+def odd_objects(nations: DataFrame) -> DataFrame:
+    """Names that file systems hide, and one with a number that no time has."""
+    return nations.selectExpr(
+        """concat('uploads/', case n_nationkey % 5
+             when 0 then concat('_draft ', n_name, '.pdf')
+             when 1 then concat('.', n_name)
+             when 2 then concat('_sub/2-', n_name, '.pdf')
+             when 3 then concat('9223372036854775807-', n_name, '.pdf')
+             else concat(n_name, '._COPYING_') end) as name"""
+    )
+
+
 def users(customers: DataFrame) -> DataFrame:
     return customers.selectExpr(
         "c_custkey as uid",
@@ -142,7 +161,8 @@ def staged(lineitem: DataFrame) -> DataFrame:
     """The files that the client of each upload request holds, one per order line."""
     return lineitem.selectExpr(
         "l_orderkey as request_id",
-        "concat_ws('-', l_linenumber, l_partkey, l_suppkey) as file_key",
+        "concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(floor(l_extendedprice * 100 + 0.5) as bigint))"
+        " as file_key",
         "concat(l_orderkey, '.part', l_linenumber, '.pdf') as file_name",
         "if(l_returnflag = 'A', 'image/png', 'application/pdf') as file_type",
         "cast(l_quantity * 30 as int) as delay_seconds",
@@ -218,11 +238,16 @@ def saved(events: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def puts(events: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every opening saves the document once more, with its bytes."""
-    record = documents.selectExpr(
-        "cast(doc_id as string) as id",
-        f"concat('Copy of ', {DOCUMENT_TITLE}) as title",
-        "encode(text, 'UTF-8') as content",
-        "cast(octet_length(text) as bigint) as size",
+    """Every opening saves the document once more, from its address."""
+    record = documents.select(
+        F.expr("cast(doc_id as string)").alias("id"),
+        F.expr(f"concat('Copy of ', {DOCUMENT_TITLE})").alias("title"),
+        Bucket().url(F.expr(DOCUMENT_PATH)).alias("url"),
     )
     return lookup_join(opens(events), record, ["id"], how="inner")
+
+
+def wishes(documents: DataFrame, pages: DataFrame, events: DataFrame) -> DataFrame:
+    """Addresses asked for: of every document that somebody opens, and of every page, which has no bytes."""
+    opened = lookup_join(opens(events), catalog(documents).select("id", "url"), ["id"], how="inner")
+    return opened.select("url").unionByName(page_objects(pages).select(Bucket().url(F.col("name")).alias("url")))

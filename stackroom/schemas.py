@@ -25,6 +25,14 @@ CATALOG = T.StructType(
 #: One entry of an object-store listing.
 OBJECTS = T.StructType([T.StructField("name", T.StringType())])
 
+#: One object in an inventory of the object store.
+INVENTORY = T.StructType(
+    [*OBJECTS, T.StructField("size", T.LongType()), T.StructField("modified", T.TimestampType())]
+)
+
+#: Bytes of one stored object, by its public address.
+CONTENTS = T.StructType([T.StructField("url", T.StringType()), T.StructField("content", T.BinaryType())])
+
 #: One document saved by one user.
 MEMBERS = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("id", T.StringType())])
 

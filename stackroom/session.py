@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -47,17 +45,25 @@ def prepare(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """Folder for written tables and stream checkpoints.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``.  Only where
-    that is unset (tests on one machine) is a folder chosen here.
+    ``spark.checkpoint.dir`` names it, in every mode.  Where that is unset, the
+    warehouse is used, which executors share as well.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/") + "/stackroom"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(tempfile.gettempdir(), "stackroom")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return shared.rstrip("/") + "/stackroom"
+
+
+_made: dict[str, list[str]] = {}
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below :func:`work_dir` for one run of a writing job."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_run_dirs(spark: SparkSession) -> None:
+    """Remove the folders of this application's runs, once nothing reads their results any more."""
+    for name in _made.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,0 +1,137 @@
+"""Tables in folders by key hash, of which a few keys are read without touching the rest."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
+
+from stackroom.sources.snapshots import VersionedTable
+
+FOLDER = "folder"
+_FOLDER_FIELD = T.StructField(FOLDER, T.IntegerType())
+_BATCH_FIELD = T.StructField("batch", T.LongType())
+
+
+def folder_of(key: Sequence[str], folders: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(folders)).cast("int")
+
+
+def touched_folders(keys: DataFrame, key: Sequence[str], folders: int) -> list[int]:
+    """Numbers of the folders that ``keys`` fall into: never more than ``folders`` of them."""
+    return [row[0] for row in keys.select(folder_of(key, folders)).distinct().collect()]
+
+
+def write_foldered(rows: DataFrame, path: str, key: Sequence[str], folders: int) -> None:
+    """Write rows in folders.  Spark's rebalance keeps a folder's rows together, but splits a
+    folder that is too big for one task and joins small ones."""
+    placed = rows.withColumn(FOLDER, folder_of(key, folders))
+    placed.hint("rebalance", FOLDER).write.mode("overwrite").partitionBy(FOLDER).parquet(path)
+
+
+class FolderedTable:
+    """One row per key, found by its folder.  The number of folders is kept with the data."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str]):
+        self._spark = spark
+        self._path = path
+        self._schema = T.StructType([*schema, _FOLDER_FIELD])
+        self._key = list(key)
+
+    def write(self, rows: DataFrame, folders: int | None = None, folded: bool = False) -> FolderedTable:
+        """Replace the table.  A repeated key is an error, seen in the key columns alone.
+
+        ``folded`` says that rows come out of a fold by the key, and spares the check.
+        """
+        if not folded and not rows.groupBy(*self._key).count().where("count > 1").isEmpty():
+            raise ValueError(f"repeated keys {self._key} in rows for {self._path}")
+        if folders is None:
+            folders = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        write_foldered(rows, f"{self._path}/rows", self._key, folders)
+        layout = self._spark.range(1).select(F.lit(folders).alias("folders"))
+        layout.write.mode("overwrite").json(f"{self._path}/layout")
+        return self
+
+    def read(self) -> DataFrame:
+        return self._rows().drop(FOLDER)
+
+    def read_keys(self, keys: DataFrame) -> DataFrame:
+        """The rows of these keys; only the folders that hold some of them are read."""
+        folders = self._spark.read.schema("folders int").json(f"{self._path}/layout").first()[0]
+        found = self._rows().where(F.col(FOLDER).isin(touched_folders(keys, self._key, folders)))
+        return found.join(keys.select(*self._key).distinct(), self._key, "left_semi").drop(FOLDER)
+
+    def _rows(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(f"{self._path}/rows")
+
+
+class KeyedLog:
+    """A base table and the batches of changes since, both in folders by key hash.
+
+    Each batch owns a folder; writing a batch again replaces it.  :meth:`compact` makes
+    the present rows a new version of the base, whose number is that of the first batch
+    that it does not hold, and removes the batches that it does.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], folders: int = 64):
+        self._spark = spark
+        self._schema = schema
+        self._key = list(key)
+        self._folders = folders
+        stored = T.StructType([*schema, _FOLDER_FIELD])
+        self._base = VersionedTable(spark, f"{path}/base", stored, partition_by=[FOLDER])
+        self._path = f"{path}/changes"
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        write_foldered(rows.select(*self._schema.names), f"{self._path}/batch={batch}", self._key, self._folders)
+
+    def rows(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """Base rows (``batch`` is -1) and changes, of batches below ``before`` and of ``keys``.
+
+        Keys are looked for in their folders only, before anything else is done with the rows.
+        """
+        version = self._base.latest(None if before is None else before + 1) or 0
+        found = self._base.read(version + 1).withColumn("batch", F.lit(-1).cast("bigint"))
+        changes = self._changes()
+        if changes is not None:
+            changes = changes.where(F.col("batch") >= version)
+            if before is not None:
+                changes = changes.where(F.col("batch") < before)
+            found = found.unionByName(changes)
+        if keys is not None:
+            found = found.where(F.col(FOLDER).isin(touched_folders(keys, self._key, self._folders)))
+            found = found.join(keys.select(*self._key).distinct(), self._key, "left_semi")
+        return found.drop(FOLDER)
+
+    def present(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The rows that count now; a subclass says how changes fold."""
+        return self.rows(before, keys).drop("batch")
+
+    def compact(self) -> None:
+        """Run it between runs of the stream: removed batches may be in use during one."""
+        changes = self._changes()
+        after = None if changes is None else changes.agg(F.max("batch")).first()[0]
+        if after is None:
+            return
+        placed = self.present().withColumn(FOLDER, folder_of(self._key, self._folders))
+        self._base.write(placed.hint("rebalance", FOLDER), version=after + 1)
+        self._remove_batches(after + 1)
+
+    def _remove_batches(self, below: int) -> None:
+        folder = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        files = folder.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("batch=") and int(name.removeprefix("batch=")) < below:
+                files.delete(status.getPath(), True)
+
+    def _changes(self) -> DataFrame | None:
+        schema = T.StructType([*self._schema, _BATCH_FIELD, _FOLDER_FIELD])
+        try:
+            return self._spark.read.schema(schema).parquet(self._path)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise

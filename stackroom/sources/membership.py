@@ -2,59 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from stackroom.schemas import MEMBERS
-from stackroom.sources.snapshots import VersionedTable
+from stackroom.sources.foldered import KeyedLog
 
-_CHANGES = T.StructType([*MEMBERS, T.StructField("saved", T.BooleanType()), T.StructField("batch", T.LongType())])
+_STATES = T.StructType([*MEMBERS, T.StructField("saved", T.BooleanType())])
 
 
-class MembershipLog:
-    """Who has saved what, kept so that a batch writes only the keys it touches.
+class MembershipLog(KeyedLog):
+    """Who has saved what, kept so that a batch reads and writes only the keys it touches.
 
-    Each batch has a folder of changes; writing a batch again replaces it.
-    :meth:`compact` folds all changes into a new version of the base, whose number
-    is that of the first batch it does not hold.
+    A batch's changes are (user_id, id, saved), at most one row per key.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self._spark = spark
-        self._base = VersionedTable(spark, f"{path}/base", MEMBERS)
-        self._path = f"{path}/changes"
-
-    def write(self, changes: DataFrame, batch: int) -> None:
-        """``changes`` is (user_id, id, saved), at most one row per key."""
-        changes.select(*MEMBERS.names, "saved").write.mode("overwrite").parquet(f"{self._path}/batch={batch}")
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """Members after all batches, or after those below ``before``."""
-        version = self._base.latest(None if before is None else before + 1) or 0
-        members = self._base.read(version + 1)
-        changes = self._changes()
-        if changes is None:
-            return members
-        changes = changes.where(F.col("batch") >= version)
-        if before is not None:
-            changes = changes.where(F.col("batch") < before)
-        known = members.select("*", F.lit(True).alias("saved"), F.lit(-1).cast("bigint").alias("batch"))
-        last = known.unionByName(changes).groupBy(*MEMBERS.names).agg(F.max_by("saved", "batch").alias("saved"))
-        return last.where("saved").select(*MEMBERS.names)
-
-    def compact(self) -> None:
-        """Make the present members the base.  Run it between runs of the stream."""
-        changes = self._changes()
-        if changes is not None:
-            after = changes.agg(F.max("batch")).first()[0]
-            if after is not None:
-                self._base.write(self.read(), version=after + 1)
-
-    def _changes(self) -> DataFrame | None:
-        try:
-            return self._spark.read.schema(_CHANGES).parquet(self._path)
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
+    def __init__(self, spark: SparkSession, path: str, folders: int = 64):
+        super().__init__(spark, path, _STATES, MEMBERS.names, folders)
+
+    def present(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        last = self.rows(before, keys).groupBy(*MEMBERS.names).agg(F.max_by("saved", "batch").alias("saved"))
+        return last.where("saved")
+
+    def read(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """Members after all batches, or after those below ``before``; of ``keys``, if given."""
+        return self.present(before, keys).select(*MEMBERS.names)

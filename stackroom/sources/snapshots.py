@@ -15,22 +15,8 @@ def write_snapshot(listing: DataFrame, path: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("timestampFormat", TIME_FORMAT).json(path)
-
-
-def write_bucketed(rows: DataFrame, path: str, key: list[str], buckets: int | None = None) -> None:
-    """Write rows in folders by key hash, so that a few keys can be read or replaced cheaply.
-
-    There are as many folders as shuffle partitions, unless ``buckets`` says else.
-    Spark's rebalance keeps a folder's rows together but splits one that is too
-    big for a task and joins small ones.
-    """
-    if buckets is None:
-        buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-    rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(path)
+    """Rows of a snapshot, in no order: list them again.  A damaged line is an error."""
+    return spark.read.schema(schema).option("timestampFormat", TIME_FORMAT).option("mode", "FAILFAST").json(path)
 
 
 def save_keyed(rows: DataFrame, table: str, path: str, key: list[str], buckets: int) -> DataFrame:
@@ -53,10 +39,13 @@ class VersionedTable:
     version again replaces it.  One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+    def __init__(
+        self, spark: SparkSession, path: str, schema: T.StructType, partition_by: list[str] | None = None
+    ):
         self._spark = spark
         self._path = path
         self._schema = schema
+        self._partition_by = partition_by or []
 
     def _published(self) -> str:
         return f"{self._path}/published"
@@ -83,7 +72,7 @@ class VersionedTable:
     def write(self, rows: DataFrame, version: int | None = None) -> int:
         if version is None:
             version = (self.latest() or 0) + 1
-        rows.write.mode("overwrite").parquet(self._folder(version))
+        rows.write.mode("overwrite").partitionBy(*self._partition_by).parquet(self._folder(version))
         mark = self._spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
         mark.write.mode("append").json(self._published())
         return version

@@ -8,31 +8,33 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stackroom.functions.naming import Bucket
+from stackroom.operators.browse import object_listing
 from stackroom.operators.reconcile import backfill
-from stackroom.sources.catalog import append_batch, read_batches
+from stackroom.sources.catalog import NewRows
+from stackroom.sources.foldered import FolderedTable
 
 
 def backfill_stream(
     objects: DataFrame,
-    catalog: DataFrame,
-    new_rows: str,
+    known: FolderedTable,
+    new_rows: NewRows,
     checkpoint: str,
     as_of: dt.datetime,
     bucket: Bucket = Bucket(),
 ) -> StreamingQuery:
-    """Append catalog rows for new objects to ``new_rows``, one folder per micro-batch.
+    """Register new objects in ``new_rows``, one batch for each micro-batch.
 
-    A name is registered once: objects that the catalog or an earlier batch holds
-    are passed over, and a batch that runs again replaces its own folder.
+    A name is registered once: objects that ``known`` (the catalog's paths) or an earlier
+    batch holds are passed over.  Both are read only in the folders that the batch's names
+    fall into.  A batch that runs again replaces its own output.
     """
 
     def register(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = catalog.select("gcs_path")
-        if batch_id > 0:
-            earlier = read_batches(spark, new_rows).where(F.col("batch") < batch_id)
-            known = known.unionByName(earlier.select("gcs_path"))
-        append_batch(backfill(batch.dropDuplicates(["name"]), known, as_of, bucket), new_rows, batch_id)
+        names = batch.select("name").distinct().persist()
+        keys = object_listing(names).select(F.col("id").alias("gcs_path"))
+        met = known.read_keys(keys).unionByName(new_rows.rows(before=batch_id, keys=keys).select("gcs_path"))
+        new_rows.write(backfill(names, met, as_of, bucket), batch_id)
+        names.unpersist()
 
     return (
         objects.writeStream.foreachBatch(register)

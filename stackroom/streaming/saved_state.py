@@ -12,15 +12,18 @@ from stackroom.sources.membership import MembershipLog
 def saved_state_stream(events: DataFrame, members: MembershipLog, checkpoint: str) -> StreamingQuery:
     """Fold each micro-batch into the membership before it and write the touched keys.
 
+    Of the membership only the folders of the touched keys are read.
+
     Should a batch run again after a failure, it starts from the batches before it
     and replaces what it wrote.  Steps of a later batch count as later, whatever
     their time.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(*KEY).distinct()
-        previous = members.read(before=batch_id).join(touched, list(KEY), "left_semi")
+        batch = batch.persist()
+        previous = members.read(before=batch_id, keys=batch.select(*KEY).distinct())
         members.write(saved_fold(batch, previous), batch_id)
+        batch.unpersist()
 
     return (
         events.writeStream.foreachBatch(fold)

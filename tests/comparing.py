@@ -19,7 +19,7 @@ TYPES = {
 
 def database(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
-    for path in glob.glob(f"{folder}/*.parquet"):
+    for path in sorted(glob.glob(f"{folder}/*.parquet")):
         name = os.path.basename(path).removesuffix(".parquet")
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
     return connection

@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from stackroom.session import build_session, prepare
+from stackroom.session import build_session, prepare, remove_run_dirs
 
 # Python's own conversion of times in test tables
 os.environ["TZ"] = "UTC"
@@ -20,8 +20,10 @@ def spark(tmp_path_factory):
             "spark.driver.memory": "6g",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield prepare(session)
+    remove_run_dirs(session)
     session.stop()

@@ -62,6 +62,26 @@ def test_missing_target_is_told_before_wrong_types(spark):
     assert statuses(gate.gate_edits(table, users(spark, **STAFF))) == [422, 200]
 
 
+def test_lookup_tables_that_repeat_their_rows_multiply_nothing(spark):
+    twice = lambda frame: frame.unionByName(frame)
+    people, documents = users(spark, **STAFF), catalog(spark, {"id": "1"})
+    calls = requests(spark, *[("Bearer t", i % 4, "{}") for i in range(20)]).withColumn("target_id", F.lit("1"))
+    once = gate.gate_edits(calls, people, documents)
+    doubled = gate.gate_edits(calls, twice(people), twice(documents))
+    assert rows(doubled, "request_id", "status") == rows(once, "request_id", "status")
+    assert gate.accepted(doubled).count() + gate.rejected(doubled).count() == 20
+    asked = spark.createDataFrame([(1, "ann@example.com"), (2, None)], "request_id int, email string")
+    shared = twice(people).unionByName(people.withColumn("uid", F.lit(7).cast("bigint")))
+    assert rows(gate.user_by_email(asked, shared), "request_id", "uid") == [(1, 0), (2, None)]
+
+
+def test_a_caller_whose_rows_disagree_is_no_maintainer(spark):
+    people = users(spark, **STAFF)
+    odd = people.unionByName(people.where("uid = 2").withColumn("uid", F.lit(0).cast("bigint")))
+    calls = requests(spark, ("Bearer t", 0, '{"files":[]}'))
+    assert statuses(gate.gate_uploads(calls, odd)) == [403]
+
+
 def test_grants(spark):
     bodies = [
         "{}", '{"email":""}', '{"email":null}', '{"email":0}', '{"email":5}', '{"email":"cat@example.com"}',

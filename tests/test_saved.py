@@ -5,6 +5,8 @@ from helpers import at, catalog, rows
 from pyspark.sql import functions as F
 
 from stackroom.operators import saved
+from stackroom.schemas import CONTENTS
+from stackroom.sources.foldered import FolderedTable
 
 KEYS = "user_id bigint, id string"
 
@@ -69,23 +71,34 @@ def copies(spark, *table):
     return table.withColumn("size", F.octet_length("content").cast("bigint"))
 
 
+def stored(spark, path, **contents):
+    """Content table with the bytes of some addresses."""
+    table = FolderedTable(spark, str(path), CONTENTS, ["url"])
+    return table.write(spark.createDataFrame(list(contents.items()), CONTENTS), folders=4)
+
+
 def puts(spark, *table):
-    table = spark.createDataFrame(list(table), KEYS + ", title string, content binary, ts timestamp, seq bigint")
-    return table.withColumn("size", F.octet_length("content").cast("bigint"))
+    return spark.createDataFrame(list(table), KEYS + ", title string, url string, ts timestamp, seq bigint")
 
 
-def test_upsert_replaces_the_whole_record_and_the_last_put_wins(spark):
+def test_upsert_replaces_the_whole_record_and_the_last_put_wins(spark, tmp_path):
     before = copies(spark, (1, "a", "A", b"old"), (1, "b", "B", b"b"))
+    contents = stored(spark, tmp_path / "contents", u1=b"new", u2=b"newer")
     batch = puts(
         spark,
-        (1, "a", "A3", None, at(5), 2),
-        (1, "a", "A2", b"new", at(5), 1),
-        (2, "a", "other user", b"x", at(0), 0),
+        (1, "a", "A3", "u2", at(5), 2),
+        (1, "a", "A2", "u1", at(5), 1),
+        (1, "b", "gone", "nowhere", at(9), 3),
+        (2, "a", "other user", "u1", at(0), 0),
     )
-    after = saved.saved_upsert(before, batch)
-    wanted = [(1, "a", "A3", None, None), (1, "b", "B", bytearray(b"b"), 1), (2, "a", "other user", bytearray(b"x"), 1)]
+    after = saved.saved_upsert(before, batch, contents)
+    wanted = [
+        (1, "a", "A3", bytearray(b"newer"), 5), (1, "b", "B", bytearray(b"b"), 1), (2, "a", "other user", bytearray(b"new"), 3),
+    ]
     assert rows(after) == wanted
-    assert rows(saved.saved_upsert(after, batch)) == wanted
+    assert rows(saved.saved_upsert(after, batch, contents)) == wanted
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "content" in line]
 
 
 def test_delete_of_an_absent_key_changes_nothing(spark):
@@ -103,10 +116,22 @@ def test_sets(spark):
     assert rows(saved.saved_set_toggle(toggled, other)) == rows(members)
 
 
+def test_flag_is_the_user_s_own(spark):
+    kept = copies(spark, (1, "1", "One", b"x"), (1, "2", "Two", None), (2, "3", "Three", None))
+    opened = keys(spark, (1, "1"), (1, "3"), (2, "1"), (2, "3"), (3, "1"))
+    assert rows(saved.saved_flag(opened, kept), *saved.KEY, "is_saved") == [
+        (1, "1", True), (1, "3", False), (2, "1", False), (2, "3", True), (3, "1", False),
+    ]
+    documents = catalog(spark, *[{"id": i, "title": i, "url": "u"} for i in "123"])
+    for user, own in ((1, {"1", "2"}), (2, {"3"}), (3, set())):
+        flagged = saved.saved_flag_for(documents, kept, user)
+        assert rows(flagged, "id", "is_saved") == [(i, i in own) for i in "123"]
+
+
 def test_flag_tests_the_key_and_resolve_tests_the_bytes(spark):
     documents = catalog(spark, {"id": "1", "title": "One", "url": "u1"}, {"id": "2", "title": "Two", "url": "u2"})
     kept = copies(spark, (1, "1", "One", b"x"), (1, "2", "Two", None))
-    flagged = saved.saved_flag(documents, saved.saved_ids(kept))
+    flagged = saved.saved_flag_for(documents, kept, 1)
     assert rows(flagged, "id", "is_saved") == [("1", True), ("2", True)]
     opens = spark.createDataFrame([(1, "1", 0), (1, "2", 1), (2, "1", 2), (1, "9", 3)], KEYS + ", seq bigint")
     resolved = saved.content_resolve(opens, documents, kept)
@@ -117,17 +142,21 @@ def test_flag_tests_the_key_and_resolve_tests_the_bytes(spark):
     ]
 
 
-def test_saved_ids_are_distinct_text_and_read_one_column(spark, tmp_path):
+def test_saved_ids_are_distinct_text_and_read_the_key(spark, tmp_path):
     path = str(tmp_path / "saved")
-    spark.sql("select 1 user_id, 7 id, 't' title, x'00' content union all select 2, 7, 't', x'00'").write.parquet(path)
-    ids = saved.saved_ids(spark.read.parquet(path))
+    spark.sql(
+        "select 1 user_id, 7 id, 't' title, x'00' content union all select 1, 7, 't', x'00' union all select 2, 8, 't', x'00'"
+    ).write.parquet(path)
+    ids = saved.saved_ids(spark.read.parquet(path), 1)
     assert rows(ids) == [("7",)]
-    assert "ReadSchema: struct<id:int>" in ids._jdf.queryExecution().executedPlan().toString()
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<user_id:int,id:int>" in plan and "EqualTo(user_id,1)" in plan
+    assert rows(saved.saved_ids(spark.read.parquet(path))) == [(1, "7"), (2, "8")]
 
 
-def test_fetch_and_store(spark):
+def test_fetch_and_store(spark, tmp_path):
     wanted = spark.createDataFrame([(1, "1", "One", "u1"), (1, "2", "Two", "u2")], KEYS + ", title string, url string")
-    contents = spark.createDataFrame([("u1", b"x")], "url string, content binary")
-    fetched = saved.content_fetch(wanted, contents)
-    assert rows(fetched, "id", "fetched") == [("1", True), ("2", False)]
+    contents = stored(spark, tmp_path / "contents", u1=b"x", u3=b"y")
+    fetched = saved.content_fetch(wanted.union(wanted), contents)
+    assert rows(fetched, "url", "fetched", "content") == [("u1", True, bytearray(b"x")), ("u2", False, None)]
     assert rows(saved.content_store(wanted.union(wanted), contents)) == [(1, "1", "One", bytearray(b"x"), 1)]

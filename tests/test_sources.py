@@ -1,15 +1,18 @@
 import datetime as dt
+import re
 
+import pytest
 from helpers import at, catalog, rows
 from pyspark.sql import functions as F
 
 from stackroom.functions.naming import Bucket
 from stackroom.functions.payload import with_payload
 from stackroom.operators import browse, edits, saved
-from stackroom.schemas import CATALOG, SAVED
+from stackroom.schemas import CATALOG, CONTENTS, INVENTORY, SAVED
 from stackroom.sources.catalog import append_batch, read_catalog, with_document_ids
-from stackroom.sources.objects import list_objects, read_contents
-from stackroom.sources.snapshots import VersionedTable, read_snapshot, save_keyed, write_bucketed, write_snapshot
+from stackroom.sources.foldered import FolderedTable
+from stackroom.sources.objects import read_inventory, stream_contents, stream_objects
+from stackroom.sources.snapshots import VersionedTable, read_snapshot, save_keyed, write_snapshot
 
 
 def library(spark):
@@ -55,27 +58,79 @@ def test_versions(spark, tmp_path):
     assert rows(table.read(), "id") == [("a",)]
 
 
-def test_objects_from_files(spark, tmp_path):
+def test_an_inventory_has_every_name(spark, tmp_path):
+    names = ["uploads/1-a.pdf", "uploads/_draft.pdf", "uploads/.pdf", "uploads/_sub/2-b.pdf", "uploads/n._COPYING_", "other/z.pdf"]
+    path = str(tmp_path / "inventory")
+    spark.createDataFrame([(n, 1, None) for n in names], INVENTORY).write.parquet(path)
+    listed = browse.object_listing(read_inventory(spark, path))
+    assert rows(listed, "id") == sorted((n,) for n in names[:-1])
+
+
+def test_arriving_files_as_contents(spark, tmp_path):
     root = tmp_path / "uploads-root"
     for name, data in {"uploads/1-a b%.pdf": b"x", "uploads/1-uploads/y.pdf": b"yy", "other/z.pdf": b"z"}.items():
         file = root / name
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_bytes(data)
-    assert rows(list_objects(spark, str(root))) == [("uploads/1-a b%.pdf",), ("uploads/1-uploads/y.pdf",)]
-    assert rows(browse.object_listing(list_objects(spark, f"file://{root}/")), "title") == [("a b%.pdf",), ("uploads/y.pdf",)]
-    contents = read_contents(spark, str(root), Bucket("shelf", "https://host"))
-    assert rows(contents) == [
-        ("https://host/shelf/uploads/1-a b%.pdf", bytearray(b"x")),
-        ("https://host/shelf/uploads/1-uploads/y.pdf", bytearray(b"yy")),
-    ]
-
-
-def test_bucketed_write_keeps_all_rows(spark, tmp_path):
-    path = str(tmp_path / "content")
-    write_bucketed(spark.range(1000).withColumn("x", F.lit("same")), path, ["x", "id"], buckets=4)
-    back = spark.read.parquet(path)
-    assert back.count() == 1000
-    assert back.select("bucket").distinct().count() == 4
+    for kind, source, wanted in (
+        ("names", stream_objects(spark, f"file://{root}/", per_trigger=1), [("uploads/1-a b%.pdf",), ("uploads/1-uploads/y.pdf",)]),
+        (
+            "bytes",
+            stream_contents(spark, str(root), Bucket("shelf", "https://host"), per_trigger=1),
+            [
+                ("https://host/shelf/uploads/1-a b%.pdf", bytearray(b"x")),
+                ("https://host/shelf/uploads/1-uploads/y.pdf", bytearray(b"yy")),
+            ],
+        ),
+    ):
+        out = str(tmp_path / kind)
+        run = source.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-marks")
+        run = run.trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert rows(spark.read.parquet(out)) == wanted
+        assert len([p for p in run.recentProgress if p.numInputRows]) == 2
+
+
+def test_a_keyed_table_is_read_by_folder(spark, tmp_path):
+    contents = spark.range(1000).selectExpr("concat('u', id) url", "encode(cast(id as string), 'UTF-8') content")
+    table = FolderedTable(spark, str(tmp_path / "contents"), CONTENTS, ["url"]).write(contents, folders=16)
+    assert table.read().count() == 1000
+    again = FolderedTable(spark, str(tmp_path / "contents"), CONTENTS, ["url"])  # finds the number of folders
+    found = again.read_keys(spark.createDataFrame([("u7",), ("u7",), ("none",)], "url string"))
+    assert rows(found) == [("u7", bytearray(b"7"))]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*folder#\d+", plan)
+    assert again.read_keys(spark.createDataFrame([], "url string")).isEmpty()
+    with pytest.raises(ValueError, match="repeated keys"):
+        table.write(contents.unionByName(contents.limit(1)), folders=4)
+
+
+def test_a_snapshot_is_listed_after_reading(spark, tmp_path):
+    path = str(tmp_path / "snapshot")
+    documents = catalog(spark, *[{"id": f"{i:03}", "title": "t", "url": "u", "created_at": at(i * 37 % 100)} for i in range(100)])
+    write_snapshot(documents.repartition(7), path)
+    assert len(list((tmp_path / "snapshot").glob("part-*"))) > 1
+    listed = browse.catalog_recent(read_snapshot(spark, path, CATALOG)).collect()
+    assert [(r.created_at, r.id) for r in listed] == sorted(((r.created_at, r.id) for r in listed), reverse=True)
+
+
+def test_a_damaged_line_is_an_error(spark, tmp_path):
+    path = tmp_path / "snapshot"
+    write_snapshot(library(spark), str(path))
+    with open(path / "part-broken.json", "w") as file:
+        file.write('{"id": "3", "title": \n')
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        read_snapshot(spark, str(path), CATALOG).collect()
+
+
+def test_rows_that_come_again_under_another_number_add_nothing(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    append_batch(library(spark).unionByName(library(spark)), path, 0)
+    append_batch(library(spark), path, 1)
+    assert rows(read_catalog(spark, path), "id") == [("1",), ("2",)]
+    more = library(spark).unionByName(library(spark).withColumn("id", F.lit("3")).limit(1))
+    append_batch(more, path, 2)
+    assert rows(read_catalog(spark, path), "id") == [("1",), ("2",), ("3",)]
 
 
 def unshuffled_left_side(frame):

@@ -1,11 +1,12 @@
 import datetime as dt
+import re
 
-from helpers import rows
+from helpers import catalog, rows
 from test_saved import events, random_steps, replay
 
 from stackroom.operators.reconcile import backfill
 from stackroom.schemas import CATALOG, OBJECTS, SAVED_EVENTS
-from stackroom.sources.catalog import read_batches, read_catalog
+from stackroom.sources.catalog import NewRows, name_index
 from stackroom.sources.membership import MembershipLog
 from stackroom.sources.objects import stream_objects
 from stackroom.streaming.backfill import backfill_stream
@@ -60,28 +61,62 @@ def test_a_batch_that_runs_again_gives_the_same_members(spark, tmp_path):
             mark.unlink()
 
 
+def test_a_batch_reads_the_folders_it_touches(spark, tmp_path):
+    """The touched keys meet base and changes below the aggregate, in their folders only."""
+    members = MembershipLog(spark, str(tmp_path / "members"))
+    members.write(spark.range(500).selectExpr("id user_id", "'a' id", "true saved"), 0)
+    members.compact()
+    members.write(spark.range(10).selectExpr("id user_id", "'b' id", "true saved"), 1)
+    touched = spark.createDataFrame([(3, "a"), (3, "b"), (900, "a")], "user_id bigint, id string")
+    found = members.read(before=2, keys=touched)
+    assert rows(found) == [(3, "a"), (3, "b")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join LeftSemi")
+    scans = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    filters = [x for x in scans if re.search(r"PartitionFilters: \[[^\]]*folder#\d+", x)]
+    assert len(filters) >= 2 and len(filters) == len(scans)  # base and changes
+
+
+def test_compacting_removes_the_changes_it_holds(spark, tmp_path):
+    members = MembershipLog(spark, str(tmp_path / "members"))
+    for batch in range(3):
+        members.write(spark.range(batch, batch + 2).selectExpr("id user_id", "'a' id", "id < 3 saved"), batch)
+    before = rows(members.read())
+    members.compact()
+    assert not list((tmp_path / "members" / "changes").glob("batch=*"))
+    assert rows(members.read()) == before == [(0, "a"), (1, "a"), (2, "a")]
+    members.compact()
+    members.write(spark.sql("select 0L user_id, 'a' id, false saved"), 3)
+    assert rows(members.read()) == [(1, "a"), (2, "a")]
+
+
 def test_backfill_registers_each_object_once(spark, tmp_path):
-    source, new_rows = str(tmp_path / "listing"), str(tmp_path / "rows")
-    known = spark.createDataFrame([], CATALOG)
-    listing = [["uploads/1-a.pdf", "uploads/2-b.pdf", "uploads/"], ["uploads/2-b.pdf", "uploads/3-c.pdf"]]
-    for names in listing:
+    source = str(tmp_path / "listing")
+    empty = spark.createDataFrame([], CATALOG)
+    known = name_index(empty.unionByName(catalog(spark, {"id": "k", "gcs_path": "uploads/known"})), str(tmp_path / "names"), 8)
+    new = NewRows(spark, str(tmp_path / "rows"), 8)
+    listing = [["uploads/1-a.pdf", "uploads/2-b.pdf", "uploads/"], ["uploads/2-b.pdf", "uploads/3-c.pdf", "uploads/known"]]
+    for part, names in enumerate(listing):
         spark.createDataFrame([(n,) for n in names], OBJECTS).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(OBJECTS).parquet(source)
-        backfill_stream(stream, known, new_rows, str(tmp_path / "checkpoint"), AS_OF).awaitTermination()
-    assert rows(read_batches(spark, new_rows), "gcs_path", "batch") == [
-        ("uploads/1-a.pdf", 0), ("uploads/2-b.pdf", 0), ("uploads/3-c.pdf", 1),
+        backfill_stream(stream, known, new, str(tmp_path / "checkpoint"), AS_OF).awaitTermination()
+        if part == 0:
+            new.compact()
+    assert rows(new.rows(), "gcs_path", "batch") == [
+        ("uploads/1-a.pdf", -1), ("uploads/2-b.pdf", -1), ("uploads/3-c.pdf", 1),
     ]
-    batch = backfill(spark.read.parquet(source).distinct(), known, AS_OF)
-    assert rows(read_catalog(spark, new_rows)) == rows(batch)
+    batch = backfill(spark.read.parquet(source).distinct(), known.read(), AS_OF)
+    assert rows(new.read()) == rows(batch)
 
 
 def test_backfill_of_arriving_files(spark, tmp_path):
     root = tmp_path / "bucket"
     (root / "uploads").mkdir(parents=True)
+    known = name_index(spark.createDataFrame([], CATALOG), str(tmp_path / "names"), 8)
+    new = NewRows(spark, str(tmp_path / "rows"), 8)
     for name in ("5-a.pdf", "b.pdf"):
         (root / "uploads" / name).write_bytes(b"x")
         backfill_stream(
-            stream_objects(spark, str(root)), spark.createDataFrame([], CATALOG), str(tmp_path / "rows"),
-            str(tmp_path / "checkpoint"), AS_OF,
+            stream_objects(spark, str(root)), known, new, str(tmp_path / "checkpoint"), AS_OF
         ).awaitTermination()
-    assert rows(read_catalog(spark, str(tmp_path / "rows")), "title") == [("a",), ("b",)]
+    assert rows(new.read(), "title") == [("a",), ("b",)]
