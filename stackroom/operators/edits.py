@@ -21,13 +21,15 @@ def fold_edits(edits: DataFrame) -> DataFrame:
     time is the last of all.  The aggregates combine before the shuffle, so a
     document with very many edits arrives as one row per task.
     """
-    columns: list[Column] = [F.max("ts").alias("edited_at")]
+    steps: list[Column] = []
     for name in EDIT_FIELDS:
         given = P.body_field(F.col("payload"), name)
         value = P.string_list(given) if name in LIST_FIELDS else P.string_value(given)
         step = F.when(given.isNotNull(), F.struct("ts", "request_id", value.alias("value")))
-        columns.append(F.max(step).alias(f"new_{name}"))
-    return edits.groupBy(F.col("target_id").alias("id")).agg(*columns)
+        steps.append(step.alias(f"new_{name}"))
+    # what is sorted for the fold are the fields, not the bodies
+    typed = edits.select(F.col("target_id").alias("id"), F.col("ts").alias("edited_at"), *steps)
+    return typed.groupBy("id").agg(*[F.max(name).alias(name) for name in typed.columns[1:]])
 
 
 def _overlaid(catalog: DataFrame, edits: DataFrame, updated_at: Column | None) -> DataFrame:
