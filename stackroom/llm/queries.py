@@ -112,3 +112,26 @@ def op5_quality(docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
+
+
+ORACLE_SQL["op6_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), words AS (
+  SELECT doc_id, UNNEST(words) AS word, generate_subscripts(words, 1) AS i FROM split
+), windows AS (
+  SELECT doc_id, i, word, string_agg(word, ' ') OVER reach AS content, count(*) OVER reach AS size
+  FROM words WINDOW reach AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), judged AS (
+  SELECT doc_id, i, word, size = 20 AND row_number() OVER (PARTITION BY size = 20, content ORDER BY doc_id, i) > 1 AS again
+  FROM windows
+), marked AS (
+  SELECT doc_id, i, word,
+         bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS removed
+  FROM judged
+)
+SELECT documents.doc_id, count(marked.i) AS n_words, count(*) FILTER (removed) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT removed), '')) AS kept_sha256
+FROM documents LEFT JOIN marked ON marked.doc_id = documents.doc_id
+GROUP BY documents.doc_id
+"""

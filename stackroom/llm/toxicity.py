@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stackroom.llm.common import ready, shape_of, together
+from stackroom.llm.common import ready, shape_of, together, written
 
 SAMPLE_ROWS = 30_000  # labelled rows learned from, about
 LEXICON_ENTRIES = 20_000
@@ -297,5 +297,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows:
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 from ``THRESHOLD`` on)."""
     ready(docs.sparkSession)
-    model = learn(labelled_sample(docs, labels, "toxic", sample_rows))
+    # read several times, so written: the texts are looked through once for it
+    model = learn(written(labelled_sample(docs, labels, "toxic", sample_rows), "labelled-texts"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
