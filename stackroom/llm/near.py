@@ -10,10 +10,11 @@ similarity of the documents.
 Documents of equal words are one class from the start.  The others meet in buckets of
 four equal registers; a bucket links each member with its first member and with the one
 before it, never all with all.  Links hold if the shingle sets have a Jaccard similarity of
-0.8 or more.  Where a bucket still holds several classes, its members are tried with
-those of other classes ``REACH`` places further back in each round, until several
-rounds in a row join no classes.  Such pairs must share three buckets of 32 (a similarity of
-0.8 misses that once in 80,000 times), which is seen before texts are fetched.
+0.8 or more.  Where a bucket still holds several classes, its members are put in the order of
+their next three buckets, so that the most similar stand together, and each is tried with those
+of other classes up to ``REACH`` places back; each round goes that much further back, until
+``PATIENCE`` rounds in a row join no classes.  Such pairs must share three buckets of 32 (a
+similarity of 0.8 misses that once in 80,000 times), which is seen before texts are fetched.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
-REACH = 8
+REACH = 1
 PATIENCE = 3
 LEAST_SHARED = 3  # of the buckets
 CHUNK = 32  # pairs that share one copy of their first document's text
@@ -204,10 +205,14 @@ def classes(
     members = written(lookup_join(worded, contents, ["content_a", "content_b"], "inner").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "contents")
 
     in_bucket = Window.partitionBy("band").orderBy("doc_id")
-    banded = members.where(F.col("bands").isNotNull()).select("doc_id", F.explode("bands").alias("band"))
-    met = banded.select(
+    placed = members.where(F.col("bands").isNotNull()).select("doc_id", "bands", F.posexplode("bands").alias("at", "band"))
+    nexts = [F.get("bands", (F.col("at") + k) % bands).alias(f"next_{k}") for k in (1, 2, 3)]
+    met = placed.select("doc_id", "band", *nexts).select(
         "band",
         "doc_id",
+        "next_1",
+        "next_2",
+        "next_3",
         F.lag("doc_id").over(in_bucket).alias("before"),
         F.lead("doc_id").over(in_bucket).alias("after"),
         F.first("doc_id").over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
@@ -224,9 +229,9 @@ def classes(
     keys = written(members.where(F.col("bands").isNotNull()).join(texts.select("doc_id"), "doc_id", "left_semi").select("doc_id", "bands"), "keys")
     turn, idle = 0, 0
     while idle < PATIENCE:
-        own = lookup_join(met.select("band", "doc_id"), labels, ["doc_id"], "left")
+        own = lookup_join(met.drop("before", "first"), labels, ["doc_id"], "left")
         own = own.withColumn("class_id", F.coalesce("class_id", "doc_id"))
-        mixed = Window.partitionBy("band").orderBy("doc_id")
+        mixed = Window.partitionBy("band").orderBy("next_1", "next_2", "next_3", "doc_id")
         back = [
             F.struct(F.lag("doc_id", k).over(mixed).alias("doc_id"), F.lag("class_id", k).over(mixed).alias("class_id"))
             for k in range(turn * REACH + 1, turn * REACH + REACH + 1)
