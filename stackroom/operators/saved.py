@@ -45,7 +45,7 @@ def content_fetch(wanted: DataFrame, contents: FolderedTable) -> DataFrame:
     Whoever wished keeps pointing at the address.
     """
     urls = wanted.where(F.col("url").isNotNull()).select("url").distinct()
-    found = contents.read_keys(urls).select("url", "content", F.lit(True).alias("fetched"))
+    found = contents.read_folders(urls).select("url", "content", F.lit(True).alias("fetched"))
     return urls.join(found, "url", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
 
 
@@ -55,7 +55,7 @@ def content_store(wanted: DataFrame, contents: FolderedTable) -> DataFrame:
     Repeated wishes are folded before any bytes are attached.
     """
     once = wanted.select(*KEY, "title", "url").dropDuplicates(list(KEY))
-    fetched = contents.read_keys(once.select("url")).select("url", "content")
+    fetched = contents.read_folders(once.select("url")).select("url", "content")
     size = F.octet_length("content").cast("bigint").alias("size")
     return lookup_join(once, fetched, ["url"], "inner").select(*KEY, "title", "content", size)
 

@@ -53,7 +53,7 @@ def name_index(catalog: DataFrame, path: str, folders: int | None = None) -> Fol
 class NewRows(KeyedLog):
     """Catalog rows registered by a stream, found by their path."""
 
-    def __init__(self, spark: SparkSession, path: str, folders: int = 64):
+    def __init__(self, spark: SparkSession, path: str, folders: int | None = None):
         super().__init__(spark, path, CATALOG, NAMES.names, folders)
 
     def read(self) -> DataFrame:

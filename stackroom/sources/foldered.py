@@ -24,6 +24,18 @@ def touched_folders(keys: DataFrame, key: Sequence[str], folders: int) -> list[i
     return [row[0] for row in keys.select(folder_of(key, folders)).distinct().collect()]
 
 
+def _write_layout(spark: SparkSession, path: str, folders: int | None) -> int:
+    """Keep the number of folders with the data: as many as shuffle partitions, unless said otherwise."""
+    folders = folders or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    layout = spark.range(1).select(F.lit(folders).alias("folders"))
+    layout.write.mode("overwrite").json(f"{path}/layout")
+    return folders
+
+
+def _read_layout(spark: SparkSession, path: str) -> int:
+    return spark.read.schema("folders int").json(f"{path}/layout").first()[0]
+
+
 def write_foldered(rows: DataFrame, path: str, key: Sequence[str], folders: int) -> None:
     """Write rows in folders.  Spark's rebalance keeps a folder's rows together, but splits a
     folder that is too big for one task and joins small ones."""
@@ -47,11 +59,8 @@ class FolderedTable:
         """
         if not folded and not rows.groupBy(*self._key).count().where("count > 1").isEmpty():
             raise ValueError(f"repeated keys {self._key} in rows for {self._path}")
-        if folders is None:
-            folders = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        folders = _write_layout(self._spark, self._path, folders)
         write_foldered(rows, f"{self._path}/rows", self._key, folders)
-        layout = self._spark.range(1).select(F.lit(folders).alias("folders"))
-        layout.write.mode("overwrite").json(f"{self._path}/layout")
         return self
 
     def read(self) -> DataFrame:
@@ -59,9 +68,12 @@ class FolderedTable:
 
     def read_keys(self, keys: DataFrame) -> DataFrame:
         """The rows of these keys; only the folders that hold some of them are read."""
-        folders = self._spark.read.schema("folders int").json(f"{self._path}/layout").first()[0]
-        found = self._rows().where(F.col(FOLDER).isin(touched_folders(keys, self._key, folders)))
-        return found.join(keys.select(*self._key).distinct(), self._key, "left_semi").drop(FOLDER)
+        return self.read_folders(keys).join(keys.select(*self._key).distinct(), self._key, "left_semi")
+
+    def read_folders(self, keys: DataFrame) -> DataFrame:
+        """All rows of the folders that hold some of these keys, for a join that picks them out."""
+        folders = _read_layout(self._spark, self._path)
+        return self._rows().where(F.col(FOLDER).isin(touched_folders(keys, self._key, folders))).drop(FOLDER)
 
     def _rows(self) -> DataFrame:
         return self._spark.read.schema(self._schema).parquet(f"{self._path}/rows")
@@ -72,18 +84,34 @@ class KeyedLog:
 
     Each batch owns a folder; writing a batch again replaces it.  :meth:`compact` makes
     the present rows a new version of the base, whose number is that of the first batch
-    that it does not hold, and removes the batches that it does.
+    that it does not hold, and removes the batches that it does.  The number of folders is
+    settled by the first write and kept with the data.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], folders: int = 64):
+    def __init__(
+        self, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], folders: int | None = None
+    ):
         self._spark = spark
         self._schema = schema
         self._key = list(key)
-        self._folders = folders
+        self._root = path
+        self._wanted = folders
+        self._settled: int | None = None
         stored = T.StructType([*schema, _FOLDER_FIELD])
         self._base = VersionedTable(spark, f"{path}/base", stored, partition_by=[FOLDER])
         self._path = f"{path}/changes"
 
+    @property
+    def _folders(self) -> int:
+        if self._settled is None:
+            try:
+                self._settled = _read_layout(self._spark, self._root)
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                self._settled = _write_layout(self._spark, self._root, self._wanted)
+        return self._settled
+
     def write(self, rows: DataFrame, batch: int) -> None:
         write_foldered(rows.select(*self._schema.names), f"{self._path}/batch={batch}", self._key, self._folders)
 

@@ -17,7 +17,7 @@ class MembershipLog(KeyedLog):
     A batch's changes are (user_id, id, saved), at most one row per key.
     """
 
-    def __init__(self, spark: SparkSession, path: str, folders: int = 64):
+    def __init__(self, spark: SparkSession, path: str, folders: int | None = None):
         super().__init__(spark, path, _STATES, MEMBERS.names, folders)
 
     def present(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
