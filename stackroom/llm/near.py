@@ -13,8 +13,9 @@ before it, never all with all.  Links hold if the shingle sets have a Jaccard si
 0.8 or more.  Where a bucket still holds several classes, its members are put in the order of
 their next three buckets, so that the most similar stand together, and each is tried with those
 of other classes up to ``REACH`` places back; each round goes that much further back, until
-``PATIENCE`` rounds in a row join no classes.  Such pairs must share three buckets of 32 (a
-similarity of 0.8 misses that once in 80,000 times), which is seen before texts are fetched.
+``PATIENCE`` rounds in a row join no classes.  Such pairs must share five buckets of 32 (a
+similarity of 0.8 misses that once in 2,000 times), which a byte of each bucket's key tells
+before pairs are made.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ BANDS = 32
 ROWS = 4
 REACH = 1
 PATIENCE = 3
-LEAST_SHARED = 3  # of the buckets
+LEAST_SHARED = 5  # of the buckets
 CHUNK = 32  # pairs that share one copy of their first document's text
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
@@ -158,6 +159,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     dealt = lookup_join(pairs, many, ["a"], "inner").withColumn(
         "chunk", F.pmod(F.xxhash64("b"), F.col("_chunks") + 1)
     )
+    dealt = written(dealt.select("a", "b", "chunk"), "dealt")
     firsts = dealt.select("a", "chunk").distinct().withColumn("doc_id", F.col("a"))
     rows = firsts.unionByName(dealt.select("a", "chunk", F.col("b").alias("doc_id")))
     rows = lookup_join(rows, texts, ["doc_id"], "inner").select("a", "chunk", "doc_id", "text", (F.col("doc_id") != F.col("a")).alias("_later"))
@@ -207,12 +209,14 @@ def classes(
     in_bucket = Window.partitionBy("band").orderBy("doc_id")
     placed = members.where(F.col("bands").isNotNull()).select("doc_id", "bands", F.posexplode("bands").alias("at", "band"))
     nexts = [F.get("bands", (F.col("at") + k) % bands).alias(f"next_{k}") for k in (1, 2, 3)]
-    met = placed.select("doc_id", "band", *nexts).select(
+    marks = F.transform("bands", lambda key: key.bitwiseAND(127).cast("tinyint")).alias("marks")
+    met = placed.select("doc_id", "band", *nexts, marks).select(
         "band",
         "doc_id",
         "next_1",
         "next_2",
         "next_3",
+        "marks",
         F.lag("doc_id").over(in_bucket).alias("before"),
         F.lead("doc_id").over(in_bucket).alias("after"),
         F.first("doc_id").over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
@@ -226,25 +230,18 @@ def classes(
     tried = written(starred.union(chained).where("a < b").distinct(), "pairs")
     links = written(verified(tried, texts, similarity), "held")
     labels = components(links)
-    keys = written(members.where(F.col("bands").isNotNull()).join(texts.select("doc_id"), "doc_id", "left_semi").select("doc_id", "bands"), "keys")
     turn, idle = 0, 0
     while idle < PATIENCE:
-        own = lookup_join(met.drop("before", "first"), labels, ["doc_id"], "left")
+        own = lookup_join(met.select("band", "doc_id", "next_1", "next_2", "next_3", "marks"), labels, ["doc_id"], "left")
         own = own.withColumn("class_id", F.coalesce("class_id", "doc_id"))
         mixed = Window.partitionBy("band").orderBy("next_1", "next_2", "next_3", "doc_id")
-        back = [
-            F.struct(F.lag("doc_id", k).over(mixed).alias("doc_id"), F.lag("class_id", k).over(mixed).alias("class_id"))
-            for k in range(turn * REACH + 1, turn * REACH + REACH + 1)
-        ]
-        other = own.withColumn("back", F.array(*back)).select("doc_id", "class_id", F.explode("back").alias("other"))
-        more = other.where("other.class_id <> class_id").select(
-            F.least("other.doc_id", "doc_id").alias("a"), F.greatest("other.doc_id", "doc_id").alias("b")
-        )
-        more = more.distinct().join(tried, ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            more = lookup_join(more, keys.select(F.col("doc_id").alias(end), F.col("bands").alias(f"_{end}")), [end], "inner")
-        shared = F.size(F.array_intersect("_a", "_b"))
-        more = written(more.where(shared >= LEAST_SHARED).select("a", "b"), "pairs")
+        back = [F.lag(F.struct("doc_id", "class_id", "marks"), turn * REACH + k).over(mixed) for k in range(1, REACH + 1)]
+        other = own.withColumn("back", F.array(*back)).select("doc_id", "class_id", "marks", F.explode("back").alias("other"))
+        equal = F.zip_with("marks", "other.marks", lambda x, y: (x == y).cast("int"))
+        shared = F.aggregate(equal, F.lit(0), lambda n, one: n + one)
+        near = other.where("other.class_id <> class_id").where(shared >= LEAST_SHARED)
+        more = near.select(F.least("other.doc_id", "doc_id").alias("a"), F.greatest("other.doc_id", "doc_id").alias("b"))
+        more = written(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         fresh = written(verified(more, texts, similarity), "held")
         turn, idle = turn + 1, idle + 1
         if not fresh.isEmpty():
