@@ -181,15 +181,15 @@ def _asked_windows(width: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
-                windows = Windows(split_words(part.column(1)), width, seed)
+            for part in pieces(batch, "_text"):
+                windows = Windows(split_words(part.column("_text")), width, seed)
                 first, near = windows.neighbourhoods()
-                asked = np.isin(_tell(windows.owner[first], near), _flat(part.column(2)))
+                asked = np.isin(_tell(windows.owner[first], near), _flat(part.column("asked")))
                 which = np.flatnonzero(np.repeat(asked, np.diff(np.append(first, len(windows.start)))))
                 hashes = windows.hashes(which)
                 _, once = np.unique(_tell(windows.owner[which], hashes), return_index=True)
                 which = which[once]
-                ids = part.column(0).to_numpy()[windows.owner[which]]
+                ids = part.column("doc_id").to_numpy()[windows.owner[which]]
                 columns = [signed(windows.anchor[which]), signed(hashes[once]), ids.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "near", "doc_id"])
 
@@ -273,17 +273,19 @@ def _gathered(words: Words, kept: np.ndarray, length: np.ndarray, one_space: boo
     return out.tobytes(), list(zip(at[:-1], at[1:]))
 
 
-def repeats(docs: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """What each document has to remove: doc_id, ``_nears`` (neighbourhoods), ``_windows`` (single windows)."""
-    n = shuffle_width(docs.sparkSession)
-    texts = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    anchors = texts.mapInArrow(_anchors(width, seed), ANCHORS)
+def repeats(named: DataFrame, width: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """What each document has to remove: doc_id, ``_nears`` (neighbourhoods), ``_windows`` (single windows).
+
+    ``named`` is (given, doc_id, _text).  ``given`` goes along to the windows so that the texts are
+    dealt by doc_id as they are for the removal: Spark then shuffles them once for both.
+    """
+    n = shuffle_width(named.sparkSession)
+    anchors = named.select("doc_id", F.col("_text").alias("text")).mapInArrow(_anchors(width, seed), ANCHORS)
     sort = ["anchor", "near", "doc_id"]
     found = anchors.repartition(n, "anchor").sortWithinPartitions(*sort).mapInArrow(_meet, FOUND)
     asking = found.where(~F.col("earlier")).groupBy("doc_id").agg(F.collect_set("near").alias("asked"))
-    windows = texts.join(asking, "doc_id").select("doc_id", "text", "asked").mapInArrow(_asked_windows(width, seed), ANCHORS)
+    asked = named.join(asking, "doc_id").select("given", "doc_id", "_text", "asked")
+    windows = asked.mapInArrow(_asked_windows(width, seed), ANCHORS)
     # the same rule once more, on single windows: the later ones go
     again = windows.repartition(n, "anchor", "near").sortWithinPartitions(*sort).mapInArrow(_meet, FOUND)
     nears = found.where("earlier").select("doc_id", "near", F.lit(0).alias("kind"))
@@ -307,15 +309,16 @@ def drop_repeats(
     table gives no rows.
     """
     ready(docs.sparkSession)
-    found = repeats(docs, width, seed)
     empty = F.array().cast("array<bigint>")
     shape = KEPT + ", kept_text string" * kept_text
     given, back = together(keep, shape)
     named = docs.select(
         given, F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")
     )
-    joined = named.join(found, "doc_id", "left").select(
+    known, unknown = named.where(F.col("doc_id").isNotNull()), named.where(F.col("doc_id").isNull())
+    joined = known.join(repeats(known, width, seed), "doc_id", "left").select(
         "given", "_text", F.coalesce("_nears", empty).alias("_nears"), F.coalesce("_windows", empty).alias("_windows")
     )
+    joined = joined.unionByName(unknown.select("given", "_text", empty.alias("_nears"), empty.alias("_windows")))
     told = joined.mapInArrow(_apply(width, seed, kept_text), shape_of(joined, shape))
     return told.select(*back, *[part.split()[0] for part in shape.split(", ")])
