@@ -10,17 +10,17 @@ similarity of the documents.
 Documents of equal words are one class from the start.  The others meet in buckets of
 four equal registers; a bucket links each member with its first member and with the one
 before it, never all with all.  Links hold if the shingle sets have a Jaccard similarity of
-0.8 or more.  Where a bucket still holds several classes, its members are put in the order of
-their next three buckets, so that the most similar stand together, and each is tried with those
-of other classes up to ``REACH`` places back; each round goes that much further back, until
-``PATIENCE`` rounds in a row join no classes.  Such pairs must share five buckets of 32 (a
-similarity of 0.8 misses that once in 2,000 times), which a byte of each bucket's key tells
-before pairs are made.
+0.8 or more.  Where a bucket still holds several classes, all its pairs of different classes
+are met in rounds, until none is left untried.  A pair goes without reading texts only where it
+cannot hold: by the numbers of shingles and by outlines, bits that say which of ``CELLS`` cells a
+document's shingles fall into.  A round tries each document with the most similar of each other
+class, the next with ``WIDER`` times as many, so that classes that do join need few tries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
-REACH = 1
-PATIENCE = 3
-LEAST_SHARED = 5  # of the buckets
+CELLS = 1024  # of an outline
+WIDER = 16  # times as many documents of each other class in the next round
+SIDES = [("doc_id", ""), ("class_id", "class_"), ("size", "size_"), ("outline", "outline_")]
 CHUNK = 32  # pairs that share one copy of their first document's text
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
@@ -90,11 +90,12 @@ def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, te
     return visitor.reshape(texts, registers)
 
 
-SKETCH = "doc_id bigint, content_a bigint, content_b bigint, bands array<bigint>"
+SKETCH = "doc_id bigint, content_a bigint, content_b bigint, bands array<bigint>, size int, outline array<bigint>"
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Two hashes of each text's words, and the hash of each band of its sketch (none without words)."""
+    """Two hashes of each text's words, the hash of each band of its sketch (none without words),
+    the number of its shingles, and which of ``CELLS`` cells they fall into, as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,8 +115,13 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 keys = keys[words.counts > 0]
                 offsets = np.concatenate(([0], np.cumsum(np.where(words.counts > 0, bands, 0))))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(keys.ravel())))
-                columns = [part.column(0), pa.array(signed(whole[0])), pa.array(signed(whole[1])), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content_a", "content_b", "bands"])
+                cells = np.zeros((n, CELLS), bool)
+                cells[owner, (mix(element + STEP) % U(CELLS)).astype(np.int64)] = True
+                words_of_bits = np.packbits(cells, axis=1).view(np.int64)
+                outlines = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (CELLS // 64), pa.int32()), pa.array(words_of_bits.ravel()))
+                sizes = pa.array(np.bincount(owner, minlength=n).astype(np.int32))
+                columns = [part.column(0), pa.array(signed(whole[0])), pa.array(signed(whole[1])), lists, sizes, outlines]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content_a", "content_b", "bands", "size", "outline"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -187,6 +193,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def candidates(own: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket that are in different classes and whose outlines allow a link.
+
+    A cell that only one document has holds a shingle that only it has, so the cells bound the
+    shingles in common from above: what is left out here cannot hold.  ``class_b`` is b's class,
+    ``apart`` the number of cells that one of the two has.
+    """
+    one, other = (own.select("band", *[F.col(c).alias(n + e) for c, n in SIDES]) for e in "ab")
+    own_a, own_b = [], []
+    for i in range(CELLS // 64):
+        cells_a, cells_b = F.get("outline_a", F.lit(i)), F.get("outline_b", F.lit(i))
+        own_a.append(F.bit_count(cells_a.bitwiseAND(F.bitwise_not(cells_b))))
+        own_b.append(F.bit_count(cells_b.bitwiseAND(F.bitwise_not(cells_a))))
+    only_a, only_b = (reduce(lambda x, y: x + y, counts) for counts in (own_a, own_b))
+    least = (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    near = one.join(other, "band").where("a < b and class_a <> class_b").where(F.least("size_a", "size_b") >= least)
+    near = near.where(F.col("size_a") - only_a >= least).where(F.col("size_b") - only_b >= least)
+    return near.select("a", "b", "class_b", (only_a + only_b).alias("apart")).distinct()
+
+
 def classes(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -204,19 +230,13 @@ def classes(
     sketches = written(sketch(given, bands, rows), "sketches")
     worded = sketches.where((F.size("bands") > 0) & F.col("doc_id").isNotNull())
     contents = worded.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("rep"))
-    members = written(lookup_join(worded, contents, ["content_a", "content_b"], "inner").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "contents")
+    members = written(lookup_join(worded, contents, ["content_a", "content_b"], "inner").select("doc_id", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "size", "outline")]), "contents")
 
     in_bucket = Window.partitionBy("band").orderBy("doc_id")
-    placed = members.where(F.col("bands").isNotNull()).select("doc_id", "bands", F.posexplode("bands").alias("at", "band"))
-    nexts = [F.get("bands", (F.col("at") + k) % bands).alias(f"next_{k}") for k in (1, 2, 3)]
-    marks = F.transform("bands", lambda key: key.bitwiseAND(127).cast("tinyint")).alias("marks")
-    met = placed.select("doc_id", "band", *nexts, marks).select(
+    placed = members.where(F.col("bands").isNotNull()).select("doc_id", F.explode("bands").alias("band"))
+    met = placed.select(
         "band",
         "doc_id",
-        "next_1",
-        "next_2",
-        "next_3",
-        "marks",
         F.lag("doc_id").over(in_bucket).alias("before"),
         F.lead("doc_id").over(in_bucket).alias("after"),
         F.first("doc_id").over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
@@ -230,24 +250,23 @@ def classes(
     tried = written(starred.union(chained).where("a < b").distinct(), "pairs")
     links = written(verified(tried, texts, similarity), "held")
     labels = components(links)
-    turn, idle = 0, 0
-    while idle < PATIENCE:
-        own = lookup_join(met.select("band", "doc_id", "next_1", "next_2", "next_3", "marks"), labels, ["doc_id"], "left")
-        own = own.withColumn("class_id", F.coalesce("class_id", "doc_id"))
-        mixed = Window.partitionBy("band").orderBy("next_1", "next_2", "next_3", "doc_id")
-        back = [F.lag(F.struct("doc_id", "class_id", "marks"), turn * REACH + k).over(mixed) for k in range(1, REACH + 1)]
-        other = own.withColumn("back", F.array(*back)).select("doc_id", "class_id", "marks", F.explode("back").alias("other"))
-        equal = F.zip_with("marks", "other.marks", lambda x, y: (x == y).cast("int"))
-        shared = F.aggregate(equal, F.lit(0), lambda n, one: n + one)
-        near = other.where("other.class_id <> class_id").where(shared >= LEAST_SHARED)
-        more = near.select(F.least("other.doc_id", "doc_id").alias("a"), F.greatest("other.doc_id", "doc_id").alias("b"))
-        more = written(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        fresh = written(verified(more, texts, similarity), "held")
-        turn, idle = turn + 1, idle + 1
-        if not fresh.isEmpty():
-            idle = 0
-            tried, links = tried.union(more), links.union(fresh)
-            labels = components(links)
+    outlines = members.where(F.col("bands").isNotNull()).select("doc_id", "size", "outline").dropDuplicates(["doc_id"])
+    mixed, take = met.select("band", "doc_id"), 1
+    while True:
+        own = lookup_join(mixed, labels, ["doc_id"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+        several = own.groupBy("band").agg(F.min("class_id").alias("_least"), F.max("class_id").alias("_most")).where("_least <> _most")
+        own = lookup_join(own, several.select("band"), ["band"], "inner")
+        own = written(lookup_join(own, outlines, ["doc_id"], "inner"), "mixed")
+        mixed = own.select("band", "doc_id")
+        left = written(candidates(own, similarity).join(tried, ["a", "b"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+        nearest = Window.partitionBy("a", "class_b").orderBy("apart", "b")
+        more = left.withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= take).select("a", "b")
+        more = written(more, "pairs")
+        links = links.union(written(verified(more, texts, similarity), "held"))
+        tried, take = tried.union(more), take * WIDER
+        labels = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     about = lookup_join(members.select("doc_id", "rep"), labels.withColumnRenamed("doc_id", "rep"), ["rep"], "left")

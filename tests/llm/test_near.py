@@ -94,3 +94,26 @@ def test_sketches_agree_as_probability_jaccard():
     both = [i for i in range(60) if p[i] and q[i]]
     expected = sum(1 / sum(max(x / p[i], y / q[i]) for x, y in zip(p, q)) for i in both)
     assert abs((seen[0] == seen[1]).mean() - expected) < 0.04
+
+
+def of_one_template(groups, seed):
+    """Pairs of edited copies, all on one template: most buckets mix most of the groups."""
+    generator = random.Random(seed)
+    texts = []
+    for group in range(groups):
+        base = [f"t{i}" for i in range(150)] + [f"g{group}w{i}" for i in range(30)]
+        for edits in (1, 2):
+            words = list(base)
+            for _ in range(edits):
+                words[generator.randrange(180)] = f"x{generator.random()}"
+            texts.append(" ".join(words))
+    generator.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_buckets_of_hundreds_of_classes(make_docs):
+    rows = of_one_template(250, 1)
+    expected = brute(rows)
+    assert 100 < len(set(expected.values())) < 400
+    got = {r.doc_id: r.class_id for r in near.classes(make_docs(rows), bands=8, rows=1).collect()}
+    assert got == expected
