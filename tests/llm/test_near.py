@@ -117,3 +117,11 @@ def test_buckets_of_hundreds_of_classes(make_docs):
     assert 100 < len(set(expected.values())) < 400
     got = {r.doc_id: r.class_id for r in near.classes(make_docs(rows), bands=8, rows=1).collect()}
     assert got == expected
+
+
+def test_few_buckets_in_common_are_enough(make_docs):
+    """Of four buckets no pair shares five; in three in four of them first and previous are of other groups."""
+    rows = of_one_template(40, 2)
+    expected = brute(rows)
+    got = {r.doc_id: r.class_id for r in near.classes(make_docs(rows), bands=4, rows=1).collect()}
+    assert got == expected
