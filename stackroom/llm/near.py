@@ -1,11 +1,11 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document is its shingles (runs of five words, A-Z lowered), weighted by how often
-they occur in it.  ProbMinHash lets every shingle arrive again and again as a Poisson
+A document is the set of its shingles (runs of five words, A-Z lowered); each weighs 1, however
+often it occurs, as links are judged by sets.  ProbMinHash lets every shingle arrive again and again as a Poisson
 process whose rate is its weight; each arrival hits one register of the sketch, which
 keeps its first visitor.  A shingle stops once its next arrival is later than every
 register's first.  Two sketches agree in a register with the probability Jaccard
-similarity of the documents.
+similarity of the weights, which for weights of 1 is the Jaccard similarity of the sets.
 
 Documents of equal words are one class from the start.  The others meet in buckets of
 four equal registers; a bucket links each member with its first member and with the one
@@ -107,8 +107,8 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                     run_hash(prefix_sums(values, WORDS_BASE), words.at[:-1], words.at[1:], WORDS_BASE)
                     for values in (hashes, mix(hashes + STEP))
                 ]
-                owner, element, count = shingles(part.column(1))
-                seen = prob_min_hash(owner, element, count.astype(np.float64), n, bands * rows)
+                owner, element, _ = shingles(part.column(1))
+                seen = prob_min_hash(owner, element, np.ones(len(owner)), n, bands * rows)
                 keys = np.zeros((n, bands), U) + mix(np.arange(1, bands + 1, dtype=U) * STEP)
                 for i in range(rows):
                     keys = mix(keys + seen[:, i::rows])

@@ -125,3 +125,14 @@ def test_few_buckets_in_common_are_enough(make_docs):
     expected = brute(rows)
     got = {r.doc_id: r.class_id for r in near.classes(make_docs(rows), bands=4, rows=1).collect()}
     assert got == expected
+
+
+def test_line_repeated_another_number_of_times(make_docs):
+    rows = []
+    for group in range(12):
+        line = " ".join(f"r{group}l{i}" for i in range(10))
+        for times in (1, 50, 100):
+            rows.append((len(rows), " ".join([*(f"d{group}w{i}" for i in range(300)), *[line] * times])))
+    expected = brute(rows)
+    assert len(set(expected.values())) == 12
+    assert result(make_docs(rows)) == expected
