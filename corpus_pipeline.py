@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stackroom.llm import langid, lines, near, packing, substring
 from stackroom.llm.common import table, written
+from stackroom.operators.skew import lookup_join
 from stackroom.session import prepare
 
 
@@ -40,9 +41,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest doc_id."""
-    others = near.classes(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near-duplicates one row, of the smallest doc_id; rows without doc_id stay.
+
+    Rows are told apart by a written number, as a doc_id may come again with another text.
+    """
+    row = F.monotonically_increasing_id().alias("row")
+    rows = written(_given(docs, "doc_id").select(row, "given", F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "rows")
+    told = near.classes(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text"))
+    told = told.where("class_size > 1").select(F.col("doc_id").alias("row"), "class_id")
+    told = written(lookup_join(told, rows.select("row", "doc_id"), ["row"], "inner"), "told")
+    heads = told.groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("head"))
+    others = lookup_join(told, heads, ["class_id"], "inner").where("row <> head.row").select("row")
+    return _taken(rows.join(others, "row", "left_anti"), "text", F.lit(False), docs.columns)
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,15 @@ def test_ranks_are_dense_within_each_key(spark):
     for r in ranked(rows, ["key"], ["id"], "rank", 5).collect():
         found.setdefault(r.key, []).append(r["rank"])
     assert all(sorted(ranks) == list(range(len(ranks))) for ranks in found.values()) and len(found) == 7
+
+
+def test_rows_of_one_doc_id_are_apart_in_near_dedup(spark, make_docs):
+    copied, clean = (" ".join(f"{name}{i}" for i in range(60)) for name in "ab")
+    docs = make_docs([(1, copied), (7, copied + " more"), (7, clean), (2, clean + " more"), (3, "c d e"), (3, "c d e"), (9, clean[::-1]), (9, "f g h"), (None, copied)])
+    kept = corpus_pipeline.dedup_near(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    expected = {(1, copied), (2, clean + " more"), (3, "c d e"), (9, clean[::-1]), (9, "f g h"), (None, copied)}
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert set(found) == expected and len(found) == len(expected)
+    docs = make_docs([(1, copied), (4, copied + " more"), (4, clean)])
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.dedup_near(spark, docs, FOLDER).collect()} == {(1, copied), (4, clean)}
