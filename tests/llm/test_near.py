@@ -120,7 +120,7 @@ def test_buckets_of_hundreds_of_classes(make_docs):
 
 
 def test_few_buckets_in_common_are_enough(make_docs):
-    """Of four buckets no pair shares five; in three in four of them first and previous are of other groups."""
+    """Of four buckets no pair shares five."""
     rows = of_one_template(40, 2)
     expected = brute(rows)
     got = {r.doc_id: r.class_id for r in near.classes(make_docs(rows), bands=4, rows=1).collect()}
