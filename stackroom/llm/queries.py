@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stackroom.llm import bpe, exact, langid, lines, media, near, packing, quality, substring, toxicity
+from stackroom.llm import bpe, exact, infill, langid, lines, media, merkle, near, packing, quality, sentence, substring, toxicity
 from stackroom.llm.common import table
 from stackroom.session import prepare
 
@@ -111,6 +111,108 @@ def op5_quality(docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(docs.sparkSession, sf_dir, "labels"))
 
 
+@query
+def op11_fill_in_middle(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(docs)
+
+
+ORACLE_SQL["op11_fill_in_middle"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS one,
+         CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS two,
+         CAST('0x' || h[17:24] AS BIGINT) % 100 AS three, CAST('0x' || h[25:32] AS BIGINT) % 100 AS four
+  FROM cut
+), parts AS (
+  SELECT doc_id, text, n, array_to_string(units[1:least(one, two)], '') AS prefix,
+         array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+         array_to_string(units[greatest(one, two) + 1:], '') AS suffix,
+         CASE WHEN text = '' OR three >= 90 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+              THEN 'plain' WHEN four < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query
+def op12_sentencepiece(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentence.encode(docs)
+
+
+@query
+def op13_merkle(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return merkle.audit(docs)
+
+
+ORACLE_SQL["op13_merkle"] = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, '-' AS nothing, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         CASE WHEN xor(4294967295, list_reduce(
+                list_concat([4294967295], flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+                  lambda i: [ascii(CAST(doc_id AS VARCHAR)[i]), 0, 0, 0, 0, 0, 0, 0]))),
+                lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))) % 3 = 0
+              THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS later
+  FROM documents
+), digests AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(later) || ':' || later, '-')) AS changed
+  FROM rows
+), leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM digests
+), within AS (
+  SELECT tree, 0 AS level, i, leaf AS digest, count(*) OVER (PARTITION BY tree) AS size FROM leaves
+  UNION ALL
+  SELECT tree, any_value(level) + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), any_value((size + 7) // 8)
+  FROM within WHERE size > 1 GROUP BY tree, i // 8
+), over_all AS (
+  SELECT 0 AS level, tree AS i, digest, count(*) OVER () AS size FROM within WHERE size = 1
+  UNION ALL
+  SELECT any_value(level) + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), any_value((size + 7) // 8)
+  FROM over_all WHERE size > 1 GROUP BY i // 8
+), nodes AS (
+  SELECT tree, level, i, digest, size FROM within WHERE size > 1
+  UNION ALL SELECT -1, level, i, digest, size FROM over_all WHERE size > 1
+), siblings AS (
+  SELECT n.tree, n.level, n.i, coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (s.i < n.i), '') AS before,
+         coalesce(string_agg(s.digest, '' ORDER BY s.i) FILTER (s.i > n.i), '') AS after
+  FROM nodes n JOIN nodes s ON n.tree = s.tree AND n.level = s.level AND n.i // 8 = s.i // 8
+  GROUP BY n.tree, n.level, n.i
+), heights AS (
+  SELECT tree, max(level) AS height FROM within GROUP BY tree
+), paths AS (
+  SELECT l.tree AS leaf_tree, l.i AS leaf_i, s.level AS step, s.before, s.after
+  FROM leaves l JOIN siblings s ON s.tree = l.tree AND s.i = l.i >> (3 * s.level)
+  UNION ALL
+  SELECT l.tree, l.i, h.height + s.level, s.before, s.after
+  FROM leaves l JOIN heights h ON h.tree = l.tree JOIN siblings s ON s.tree = -1 AND s.i = l.tree >> (3 * s.level)
+), climb AS (
+  SELECT tree, i, 0 AS step, changed AS folded, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.tree, c.i, c.step + 1, sha256(before || folded || after), proof || before || after
+  FROM climb c JOIN paths p ON p.leaf_tree = c.tree AND p.leaf_i = c.i AND p.step = c.step
+), arrived AS (
+  SELECT tree, i, arg_max(folded, step) AS folded, arg_max(proof, step) AS proof FROM climb GROUP BY tree, i
+)
+SELECT doc_id, leaf, w.digest AS subroot, o.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = o.digest AS verified
+FROM leaves l JOIN arrived a ON a.tree = l.tree AND a.i = l.i JOIN within w ON w.tree = l.tree AND w.size = 1
+JOIN over_all o ON o.size = 1
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 
 

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     numbers = sorted(int(m[1]) for m in (re.fullmatch(r"op(\d+)_\w+", name) for name in QUERIES) if m)
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
     assert QUERIES.keys() <= entry_points.queries().keys()
     assert ORACLE_SQL.keys() <= entry_points.oracle_sql().keys()
 

@@ -1,0 +1,71 @@
+"""Fill-in-middle: against a regular expression over whole texts."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from stackroom.llm import infill
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def brute(doc_id, text):
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text, re.S)
+    h = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    one, two, three, four = (int(h[i : i + 8], 16) for i in (0, 8, 16, 24))
+    n = len(units)
+    first, last = sorted((one % (n + 1), two % (n + 1)))
+    prefix, middle, suffix = "".join(units[:first]), "".join(units[first:last]), "".join(units[last:])
+    if not text or three % 100 >= 90 or any(mark in text for mark in ("<P>", "<S>", "<M>")):
+        return doc_id, n, "plain", None, None, text, sha(text)
+    if four % 100 < 20:
+        return doc_id, n, "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}", sha(text)
+    return doc_id, n, "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}", sha(text)
+
+
+def check(docs):
+    rows = infill.fill_in_middle(docs, keep=True).collect()
+    found = sorted((tuple(r[:5]) + (r.output, r.restored_sha256) for r in rows), key=repr)
+    assert found == sorted((brute(r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert all(r.output_sha256 == sha(r.output) for r in rows)
+
+
+def test_whole_table(spark):
+    check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+def test_odd_texts(make_docs, odd_texts):
+    more = ["a<P>b", "<S>", "x <M", "<P", ">S><", "漢a漢", "\r\n", "aé" * 5000, "\U0001f600" * 3000, "éx"]
+    check(make_docs([(i * 7 + k, t) for k in range(4) for i, t in enumerate(odd_texts + more)]))
+
+
+def test_empty_table_repeated_rows_and_no_doc_id(make_docs):
+    assert infill.fill_in_middle(make_docs([])).collect() == []
+    check(make_docs([(1, "a b"), (1, "a b"), (None, "c d e"), (None, None)]))
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_every_boundary(monkeypatch, block):
+    monkeypatch.setattr(infill, "BLOCK", block)
+    monkeypatch.setattr(infill, "WINDOW", 4)
+    generator = random.Random(block)
+    for _ in range(60):
+        text = "".join(generator.choice("abcZ é漢\U0001f600\n") for _ in range(generator.randint(0, 200)))
+        found = infill.Boundaries(np.frombuffer(text.encode(), np.uint8))
+        units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text, re.S)
+        assert (found.units, found.points) == (len(units), len(text))
+        for m in range(len(units) + 1):
+            head = "".join(units[:m])
+            assert found.after(m) == (len(head.encode()), len(head))
+
+
+def test_marks_made_by_joining_parts_do_not_mislead():
+    for prefix, middle, suffix in (("<", "P>", "<S"), ("<S", ">", "<M"), ("S>", "<", "M>"), ("", "<P", "")):
+        for form, parts in (("psm", ("<P>", prefix, "<S>", suffix, "<M>", middle)), ("spm", ("<S>", suffix, "<P>", prefix, "<M>", middle))):
+            assert infill.restore("".join(parts).encode(), form) == (prefix + middle + suffix).encode()
