@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from stackroom.functions.naming import UPLOAD_PREFIX, Bucket, download_name, title_of_object, viewer_link
 from stackroom.functions.text import contains_text, format_list, or_default
 from stackroom.functions.wording import MISSING
+from stackroom.operators.skew import one_row
 
 
 def catalog_recent(catalog: DataFrame, limit: int | None = None) -> DataFrame:
@@ -78,10 +79,7 @@ def lookup_many(catalog: DataFrame, keys: DataFrame) -> DataFrame:
     """
     wanted = catalog.join(keys.select("id").distinct(), "id", "left_semi")
     others = [name for name in catalog.columns if name not in ("id", "created_at")]
-    first = F.max(F.struct("created_at", *others)).alias("first")
-    return wanted.groupBy("id").agg(first).select(
-        *[F.col("id") if name == "id" else F.col(f"first.{name}").alias(name) for name in catalog.columns]
-    )
+    return one_row(wanted.select("id", "created_at", *others), ["id"]).select(*catalog.columns)
 
 
 def is_empty(rows: DataFrame) -> DataFrame:

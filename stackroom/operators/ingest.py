@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stackroom.functions import payload as P
 from stackroom.functions.naming import Bucket, expires_at, row_key, storage_path, title_of_file
-from stackroom.operators.skew import lookup_join
+from stackroom.operators.skew import lookup_join, one_wide_row
 
 # Fixed value: the one file type the picker offers.
 PDF = "application/pdf"
@@ -110,11 +110,12 @@ def upload_window(matches: DataFrame, put_at: Column) -> DataFrame:
 
 
 def upload_content(puts: DataFrame, staged: DataFrame) -> DataFrame:
-    """The content table after all puts that hold to their target's terms: the last one for each path.
+    """The objects after all puts that hold to their target's terms: the last one for each path.
 
     Last is by ``put_at``, then request and ``file_key``.  The fold sees keys only; the
-    bytes of each last put are then taken from ``staged``, where (request_id, file_key) is
-    unique.
+    bytes of each last put are then taken from ``staged``, where (request_id, file_key) names a
+    file; should it occur twice, the greatest type and bytes count.  A file is put at one path, so neither
+    side of that join has a hot key.
     """
     order = F.struct("put_at", "request_id", "file_key")
     last = (
@@ -123,7 +124,6 @@ def upload_content(puts: DataFrame, staged: DataFrame) -> DataFrame:
         .agg(F.max(order).alias("last"))
         .select("storage_path", "last.*")
     )
-    bytes_ = staged.select("request_id", "file_key", F.col("file_type").alias("content_type"), "content")
-    return lookup_join(last, bytes_, ["request_id", "file_key"], how="inner").select(
-        "storage_path", "content_type", "content", "put_at", "file_key"
-    )
+    key = ["request_id", "file_key"]
+    files = one_wide_row(staged.select(*key, F.col("file_type").alias("content_type"), "content"), key)
+    return last.join(files, key).select("storage_path", "content_type", "content", "put_at", "file_key")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from stackroom.functions.naming import Bucket, row_key, title_of_file, title_of_object, upload_time
 from stackroom.operators.browse import object_listing
 from stackroom.operators.ingest import new_document
+from stackroom.sources.catalog import append_batch
 
 
 def unregistered(objects: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -35,4 +36,12 @@ def backfill(objects: DataFrame, catalog: DataFrame, as_of: dt.datetime, bucket:
 
 
 def backfill_count(rows: DataFrame) -> DataFrame:
+    """How many rows there are to register, without registering them."""
     return rows.agg(F.count(F.lit(1)).alias("processed"))
+
+
+def register(rows: DataFrame, path: str, batch: int) -> int:
+    """Append the rows of :func:`backfill` to the catalog at ``path``; their number is counted while they are written."""
+    counted = Observation("backfill")
+    append_batch(rows, path, batch, counted)
+    return counted.get["processed"]

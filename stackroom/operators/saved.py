@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from stackroom.functions import wording as W
 from stackroom.functions.naming import LOCAL_PREFIX
-from stackroom.operators.skew import lookup_join
-from stackroom.sources.foldered import FolderedTable
+from stackroom.operators.skew import lookup_join, one_row
+from stackroom.session import written
 
 KEY = ("user_id", "id")
 
@@ -38,41 +38,54 @@ def saved_flag_for(catalog: DataFrame, saved: DataFrame, user_id: int) -> DataFr
     return catalog.join(marked, "id", "left").withColumn("is_saved", F.coalesce("is_saved", F.lit(False)))
 
 
-def content_fetch(wanted: DataFrame, contents: FolderedTable) -> DataFrame:
+def content_fetch(wanted: DataFrame, contents: DataFrame) -> DataFrame:
     """Bytes of each distinct address; ``fetched`` is false where the store has nothing there.
 
-    Wishes are folded to addresses first, and only folders that may hold one are read.
-    Whoever wished keeps pointing at the address.
+    Wishes are folded to addresses first; whoever wished keeps pointing at the address.
+    ``contents`` has one row for each address, as a table kept by :func:`save_keyed` has: bucketed by it,
+    its bytes stay where they are.
     """
     urls = wanted.where(F.col("url").isNotNull()).select("url").distinct()
-    found = contents.read_folders(urls).select("url", "content", F.lit(True).alias("fetched"))
+    found = contents.select("url", "content", F.lit(True).alias("fetched"))
     return urls.join(found, "url", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
 
 
-def content_store(wanted: DataFrame, contents: FolderedTable) -> DataFrame:
+def content_store(wanted: DataFrame, contents: DataFrame) -> DataFrame:
     """Records to save, one per user and document; what cannot be fetched is left out.
 
-    Repeated wishes are folded before any bytes are attached.
+    Repeated wishes are folded before any bytes are attached; of several addresses the
+    first in order is taken.  Only bytes that somebody wishes are moved, once for each address,
+    however many wish them.
     """
-    once = wanted.select(*KEY, "title", "url").dropDuplicates(list(KEY))
-    fetched = contents.read_folders(once.select("url")).select("url", "content")
+    once = wanted.groupBy(*KEY).agg(F.min(F.struct("title", "url")).alias("wish")).select(*KEY, "wish.title", "wish.url")
+    return _with_bytes(once, contents)
+
+
+def _with_bytes(once: DataFrame, contents: DataFrame) -> DataFrame:
+    asked = once.where(F.col("url").isNotNull()).select("url").distinct()
+    found = contents.select("url", "content").join(asked, "url", "left_semi")
     size = F.octet_length("content").cast("bigint").alias("size")
-    return lookup_join(once, fetched, ["url"], "inner").select(*KEY, "title", "content", size)
+    return lookup_join(once, found, ["url"], "inner").select(*KEY, "title", "content", size)
+
 
+def last_puts(puts: DataFrame) -> DataFrame:
+    """The last put of each key, by ``(ts, seq)``: user_id, id, title, url."""
+    last = F.max(F.struct("ts", "seq", "title", "url")).alias("put")
+    return puts.groupBy(*KEY).agg(last).select(*KEY, "put.title", "put.url")
 
-def saved_upsert(saved: DataFrame, puts: DataFrame, contents: FolderedTable) -> DataFrame:
+
+def saved_upsert(saved: DataFrame, puts: DataFrame, contents: DataFrame) -> DataFrame:
     """Next saved table: a put replaces the whole record of its key; the last put wins.
 
-    A put names the address of its bytes.  Puts are folded by their key columns; bytes
-    are fetched for the last puts only.  A put whose bytes cannot be fetched changes nothing.
+    A put names the address of its bytes.  Puts are folded by their key columns and
+    written once (narrow), as both what goes and what comes is told from them; bytes are
+    fetched for the last puts only.  A put whose bytes cannot be fetched changes nothing.
     """
-    last = (
-        puts.groupBy(*KEY)
-        .agg(F.max(F.struct("ts", "seq", "title", "url")).alias("put"))
-        .select(*KEY, "put.title", "put.url")
-    )
-    records = content_store(last, contents).select(*saved.columns)
-    return saved_delete(saved, records).unionByName(records)
+    last = last_puts(puts).where(F.col("url").isNotNull())
+    found = contents.select("url").join(last.select("url").distinct(), "url", "left_semi")
+    last = written(lookup_join(last, found, ["url"], "inner").select(*last.columns), "puts")
+    records = _with_bytes(last, contents).select(*saved.columns)
+    return saved_delete(saved, last).unionByName(records)
 
 
 def saved_delete(saved: DataFrame, keys: DataFrame) -> DataFrame:
@@ -128,10 +141,12 @@ def content_resolve(opens: DataFrame, catalog: DataFrame, saved: DataFrame) -> D
     """Address from which each opened document is read, with the status line.
 
     The saved copy is used when there is a record *and* it has bytes, which its
-    ``size`` tells.  A document that is not in the catalog cannot be opened.
+    ``size`` tells.  A document that is not in the catalog cannot be opened.  One row for each
+    opening, however often the catalog or the saved table repeats a row: of an id that occurs twice
+    the row that comes first in the listing counts, of a saved record any that has bytes.
     """
-    documents = catalog.select("id", "title", "url")
-    copies = saved.where(F.col("size").isNotNull()).select(*KEY, F.lit(True).alias("copy"))
+    documents = one_row(catalog.select("id", "created_at", "title", "url"), ["id"]).drop("created_at")
+    copies = saved.where(F.col("size").isNotNull()).select(*KEY).distinct().withColumn("copy", F.lit(True))
     resolved = lookup_join(
         lookup_join(opens, documents, ["id"], how="inner"), copies, KEY
     )

@@ -26,3 +26,24 @@ def lookup_join(facts: DataFrame, rows: DataFrame, on: Sequence[str], how: str =
         .join(rows.withColumn(_HASH, key_hash), [*on, _HASH], how)
         .drop(_HASH)
     )
+
+
+def one_row(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row for each key: the greatest by its other columns, in their order.
+
+    With a creation time as the first of them, this is the row that comes first in the listing.
+    """
+    others = [name for name in rows.columns if name not in key]
+    greatest = F.max(F.struct(*others)).alias("greatest")
+    folded = rows.groupBy(*key).agg(greatest)
+    return folded.select(*[F.col(n) if n in key else F.col(f"greatest.{n}").alias(n) for n in rows.columns])
+
+
+def one_wide_row(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """:func:`one_row` of rows that carry bytes: a job over the keys alone looks for those that occur again, and
+    only their rows are folded, if there are any."""
+    again = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_count")).where("_count > 1").select(*key)
+    if again.isEmpty():
+        return rows
+    folded = one_row(rows.join(again, list(key), "left_semi"), key)
+    return rows.join(again, list(key), "left_anti").unionByName(folded)

@@ -12,16 +12,15 @@ from pyspark.sql import types as T
 from stackroom.functions import payload as P
 from stackroom.functions.naming import viewer_link
 from stackroom.operators import browse, edits, gate, ingest, reconcile, roles, saved
-from stackroom.operators.skew import lookup_join
+from stackroom.operators.skew import lookup_join, one_row
 from stackroom.plans import views
-from stackroom.schemas import CATALOG, CONTENTS
-from stackroom.session import new_run_dir, prepare
-from stackroom.sources.catalog import NewRows, append_batch, name_index, read_catalog
-from stackroom.sources.foldered import FolderedTable
-from stackroom.sources.membership import MembershipLog
+from stackroom.schemas import CATALOG
+from stackroom.session import kept, new_run_dir, prepare
+from stackroom.sources.catalog import append_batch, read_catalog
 from stackroom.sources.objects import read_inventory
 from stackroom.sources.outcomes import read_outcomes, write_outcomes
 from stackroom.sources.snapshots import read_snapshot, save_keyed, write_snapshot
+from stackroom.sources.store import list_objects, put_objects
 from stackroom.streaming import backfill as backfill_runs
 from stackroom.streaming import saved_state as saved_state_runs
 
@@ -50,21 +49,40 @@ class Library:
         return views.catalog(self.table("documents"))
 
     @property
-    def contents(self) -> FolderedTable:
-        """The content table, by address."""
-        table = FolderedTable(self.spark, self.run_dir("contents"), CONTENTS, ["url"])
-        return table.write(views.contents(self.table("documents")))
+    def contents(self) -> DataFrame:
+        """The content table as stored, bucketed by address, one row each."""
+        return self.stored("contents", lambda: views.contents(self.table("documents")), ["url"], fold=True)
 
-    def keyed(self, rows: DataFrame, name: str, key: list[str]) -> DataFrame:
-        """Folded rows as a content table, read again."""
-        return FolderedTable(self.spark, self.run_dir(name), rows.schema, key).write(rows, folded=True).read()
+    def stored(self, name: str, build: Callable[[], DataFrame], key: list[str], fold: bool = False) -> DataFrame:
+        """A table that is there before a query, bucketed by its key."""
+
+        def save() -> DataFrame:
+            path = self.run_dir(name)
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            return save_keyed(build(), path.rpartition("/")[2].replace("-", "_"), path, key, buckets, fold)
+
+        return kept(self.spark, f"{name} of {self.sf_dir}", save)
+
+    @property
+    def bucket(self) -> DataFrame:
+        """Every object of the listing, put into a store of its own; gives the store's listing."""
+
+        def fill() -> DataFrame:
+            root = self.run_dir("bucket")
+            put_objects(self.all_objects.withColumn("content", F.lit(None).cast("binary")), root)
+            return list_objects(self.spark, root)
+
+        return kept(self.spark, f"bucket of {self.sf_dir}", fill)
+
+    @property
+    def all_objects(self) -> DataFrame:
+        return views.objects(*[self.table(name) for name in ("documents", "pages", "region", "nation")])
 
     @property
     def objects(self) -> DataFrame:
         """The listing, as an inventory table of the object store."""
         path = self.run_dir("inventory")
-        tables = [self.table(name) for name in ("documents", "pages", "region", "nation")]
-        views.inventory(views.objects(*tables)).write.parquet(path)
+        views.inventory(self.all_objects).write.parquet(path)
         return read_inventory(self.spark, path)
 
     @property
@@ -95,9 +113,7 @@ class Library:
     @property
     def saved_table(self) -> DataFrame:
         """The saved table as stored, bucketed by its key."""
-        path = self.run_dir("saved")
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return save_keyed(self.saved, path.rpartition("/")[2].replace("-", "_"), path, list(saved.KEY), buckets)
+        return self.stored("saved", lambda: self.saved, list(saved.KEY))
 
     @property
     def puts(self) -> DataFrame:
@@ -133,7 +149,8 @@ class Library:
     @property
     def wanted(self) -> DataFrame:
         """Every document that somebody opens, with its address."""
-        return lookup_join(self.opens, self.catalog.select("id", "title", "url"), ["id"], how="inner")
+        documents = one_row(self.catalog.select("id", "created_at", "title", "url"), ["id"])
+        return lookup_join(self.opens, documents.drop("created_at"), ["id"], how="inner")
 
     def run_dir(self, name: str) -> str:
         return new_run_dir(self.spark, name)
@@ -204,7 +221,7 @@ def catalog_display(lib: Library) -> DataFrame:
 
 @query
 def object_listing(lib: Library) -> DataFrame:
-    return browse.object_listing(lib.objects)
+    return browse.object_listing(lib.bucket)
 
 
 @query
@@ -313,7 +330,12 @@ def upload_window(lib: Library) -> DataFrame:
 
 @query
 def upload_content(lib: Library) -> DataFrame:
-    return lib.keyed(ingest.upload_content(lib.windowed, lib.staged), "upload_content", ["storage_path"])
+    """Put at their paths in a store, and read back from there."""
+    root = lib.run_dir("uploads")
+    put = put_objects(ingest.upload_content(lib.windowed, lib.staged), root, "storage_path")
+    stored = list_objects(lib.spark, root, content=True).select(F.col("name").alias("storage_path"), "content")
+    found = put.join(stored, "storage_path")
+    return found.select("storage_path", "content_type", "content", "put_at", "file_key")
 
 
 # --- edits ---------------------------------------------------------------------
@@ -385,12 +407,12 @@ def content_fetch(lib: Library) -> DataFrame:
 
 @query
 def content_store(lib: Library) -> DataFrame:
-    return lib.keyed(saved.content_store(lib.wanted, lib.contents), "content_store", list(saved.KEY))
+    return saved.content_store(lib.wanted, lib.contents)
 
 
 @query
 def content_resolve(lib: Library) -> DataFrame:
-    return saved.content_resolve(lib.opens, lib.catalog, lib.saved).drop("ts")
+    return saved.content_resolve(lib.opens, lib.catalog, lib.saved_table).drop("ts")
 
 
 # --- roles ---------------------------------------------------------------------
@@ -428,25 +450,24 @@ def backfill(lib: Library) -> DataFrame:
 
 @query
 def backfill_count(lib: Library) -> DataFrame:
-    return reconcile.backfill_count(reconcile.unregistered(lib.objects, lib.catalog))
+    """Counted while the rows are registered."""
+    rows = reconcile.backfill(lib.objects, lib.catalog, AS_OF)
+    processed = reconcile.register(rows, lib.run_dir("registered"), 0)
+    return lib.spark.range(1).select(F.lit(processed).cast("bigint").alias("processed"))
 
 
 @query
 def backfill_stream(lib: Library) -> DataFrame:
     path = lib.run_dir("backfill")
     streams = [views.stream(lib.spark, lib.sf_dir, name) for name in ("documents", "pages", "region", "nation")]
-    rows = NewRows(lib.spark, f"{path}/rows")
-    known = name_index(lib.catalog, f"{path}/names")
-    backfill_runs.backfill_stream(views.objects(*streams), known, rows, f"{path}/checkpoint", AS_OF).awaitTermination()
-    rows.compact()
-    return rows.read()
+    rows, checkpoint = f"{path}/rows", f"{path}/checkpoint"
+    backfill_runs.backfill_stream(views.objects(*streams), lib.catalog, rows, checkpoint, AS_OF).awaitTermination()
+    return lib.spark.read.schema(CATALOG).parquet(rows)
 
 
 @query
 def saved_state_stream(lib: Library) -> DataFrame:
-    path = lib.run_dir("saved_state")
+    checkpoint = lib.run_dir("saved_state")
     steps = views.saved_events(views.stream(lib.spark, lib.sf_dir, "events"))
-    members = MembershipLog(lib.spark, f"{path}/members")
-    saved_state_runs.saved_state_stream(steps, members, f"{path}/checkpoint").awaitTermination()
-    return members.read()
-
+    saved_state_runs.saved_state_stream(steps, checkpoint).awaitTermination()
+    return saved_state_runs.members(lib.spark, checkpoint)

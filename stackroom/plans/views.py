@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stackroom.functions.naming import Bucket
 from stackroom.operators.saved import saved_fold
-from stackroom.operators.skew import lookup_join
+from stackroom.operators.skew import lookup_join, one_row
 from stackroom.schemas import CATALOG
 
 FIRST_UPLOAD_MS = 1704067200000
@@ -234,7 +234,7 @@ def saved(events: DataFrame, documents: DataFrame) -> DataFrame:
         "case when lang <> 'de' then encode(text, 'UTF-8') end as content",
         "case when lang <> 'de' then cast(octet_length(text) as bigint) end as size",
     )
-    return lookup_join(kept, record, ["id"], how="inner")
+    return lookup_join(kept, one_row(record, ["id"]), ["id"], how="inner")
 
 
 def puts(events: DataFrame, documents: DataFrame) -> DataFrame:
@@ -244,10 +244,10 @@ def puts(events: DataFrame, documents: DataFrame) -> DataFrame:
         F.expr(f"concat('Copy of ', {DOCUMENT_TITLE})").alias("title"),
         Bucket().url(F.expr(DOCUMENT_PATH)).alias("url"),
     )
-    return lookup_join(opens(events), record, ["id"], how="inner")
+    return lookup_join(opens(events), one_row(record, ["id"]), ["id"], how="inner")
 
 
 def wishes(documents: DataFrame, pages: DataFrame, events: DataFrame) -> DataFrame:
     """Addresses asked for: of every document that somebody opens, and of every page, which has no bytes."""
-    opened = lookup_join(opens(events), catalog(documents).select("id", "url"), ["id"], how="inner")
+    opened = lookup_join(opens(events), one_row(catalog(documents).select("id", "url"), ["id"]), ["id"], how="inner")
     return opened.select("url").unionByName(page_objects(pages).select(Bucket().url(F.col("name")).alias("url")))

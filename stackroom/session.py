@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on.  All are runtime SQL
 # settings, so they can be applied to a session somebody else built.
@@ -16,7 +18,14 @@ REQUIRED_SQL_SETTINGS = {
     # hot keys of a join are split at run time
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # state of streams lies on disk, not in executors' heaps
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # conditions on names reach the listing of a store
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def build_session(app_name: str = "stackroom", master: str | None = None, **settings: str) -> SparkSession:
@@ -35,7 +44,13 @@ def build_session(app_name: str = "stackroom", master: str | None = None, **sett
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings the operators need to an existing session."""
+    """Apply the settings the operators need to an existing session.
+
+    Python workers find this package where it is not installed but its folder is visible.
+    """
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
     for key, value in REQUIRED_SQL_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -62,8 +77,28 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a Parquet table in the shared folder: computed once, and kept when executors are lost."""
+    path = new_run_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` stores, stored once in an application: for tables that are there before a query."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
 def remove_run_dirs(spark: SparkSession) -> None:
     """Remove the folders of this application's runs, once nothing reads their results any more."""
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        del _kept[key]
     for name in _made.pop(spark.sparkContext.applicationId, []):
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

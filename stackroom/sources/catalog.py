@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from stackroom.schemas import CATALOG
-from stackroom.sources.foldered import FolderedTable, KeyedLog
-
-NAMES = T.StructType([T.StructField("gcs_path", T.StringType())])
 
 
 def with_document_ids(stored: DataFrame, key: str = "doc_key") -> DataFrame:
@@ -19,11 +16,12 @@ def with_document_ids(stored: DataFrame, key: str = "doc_key") -> DataFrame:
     return stored.withColumn("id", F.coalesce("id", key)).drop(key)
 
 
-def append_batch(rows: DataFrame, path: str, batch: int) -> None:
+def append_batch(rows: DataFrame, path: str, batch: int, counted: Observation | None = None) -> None:
     """Append a batch of new rows, without ids that another batch holds.
 
     Writing the same batch again replaces it; the same rows under another number add
-    nothing.  An id that is repeated inside the batch is written once.
+    nothing.  An id that is repeated inside the batch is written once.  ``counted`` gets the number of
+    rows written, as ``processed``, from the job that writes them.
     """
     once = rows.dropDuplicates(["id"])
     try:
@@ -32,6 +30,8 @@ def append_batch(rows: DataFrame, path: str, batch: int) -> None:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+    if counted is not None:
+        once = once.observe(counted, F.count(F.lit(1)).alias("processed"))
     once.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
@@ -42,19 +42,3 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """The catalog with the number of the batch that each row came in."""
     return spark.read.schema(T.StructType([*CATALOG, T.StructField("batch", T.LongType())])).parquet(path)
-
-
-def name_index(catalog: DataFrame, path: str, folders: int | None = None) -> FolderedTable:
-    """The catalog's paths by folder, so that a few names are looked up without a scan of it."""
-    names = catalog.where(F.col("gcs_path").isNotNull()).select("gcs_path").distinct()
-    return FolderedTable(catalog.sparkSession, path, NAMES, NAMES.names).write(names, folders, folded=True)
-
-
-class NewRows(KeyedLog):
-    """Catalog rows registered by a stream, found by their path."""
-
-    def __init__(self, spark: SparkSession, path: str, folders: int | None = None):
-        super().__init__(spark, path, CATALOG, NAMES.names, folders)
-
-    def read(self) -> DataFrame:
-        return self.present()

@@ -1,11 +1,12 @@
-"""JSON snapshots of a listing, and tables kept as numbered versions."""
+"""JSON snapshots of a listing, and tables kept by their key."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from stackroom.operators.skew import one_wide_row
+
 # Keeps the microseconds that Spark's default JSON format cuts off.
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -19,63 +20,33 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("timestampFormat", TIME_FORMAT).option("mode", "FAILFAST").json(path)
 
 
-def save_keyed(rows: DataFrame, table: str, path: str, key: list[str], buckets: int) -> DataFrame:
+_DAMAGED = "_damaged"
+
+
+def split_snapshot(spark: SparkSession, path: str, schema: T.StructType, to: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows of a snapshot, and its damaged lines (file, line): both written below ``to`` in one pass.
+
+    A line is damaged if it is no JSON object or a field has another type than ``schema`` says;
+    empty lines are passed over, as Spark does.
+    """
+    fields = T.StructType([*schema, T.StructField(_DAMAGED, T.StringType())])
+    reader = spark.read.schema(fields).option("timestampFormat", TIME_FORMAT)
+    lines = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _DAMAGED).json(path)
+    marked = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col(_DAMAGED).isNotNull().alias("_apart"))
+    marked.write.partitionBy("_apart").parquet(to)
+    stored = T.StructType([*fields, T.StructField("_file", T.StringType()), T.StructField("_apart", T.BooleanType())])
+    back = spark.read.schema(stored).parquet(to)
+    damaged = back.where(F.col("_apart")).select(F.col("_file").alias("file"), F.col(_DAMAGED).alias("line"))
+    return back.where(~F.col("_apart")).select(*schema.names), damaged
+
+
+def save_keyed(rows: DataFrame, table: str, path: str, key: list[str], buckets: int, fold: bool = False) -> DataFrame:
     """Save as a table bucketed and sorted by its key.
 
     Joins of such a table by its key leave it where it is: deleting or replacing
-    records, or applying edits, then shuffles only the keys or edits.
+    records, fetching bytes, or applying edits, then shuffles only the keys or edits.
+    ``fold`` keeps one row for each key (:func:`one_wide_row`).
     """
-    spread = rows.repartition(buckets, *key)
+    spread = (one_wide_row(rows, key) if fold else rows).repartition(buckets, *key)
     spread.write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).option("path", path).saveAsTable(table)
     return rows.sparkSession.table(table)
-
-
-class VersionedTable:
-    """A table whose every change is a whole new version.
-
-    Parquet folders cannot be updated in place, so each version is written to its
-    own folder and published last, by one small file.  Readers see the last
-    published version; a failed write leaves nothing visible, and writing a
-    version again replaces it.  One writer at a time.
-    """
-
-    def __init__(
-        self, spark: SparkSession, path: str, schema: T.StructType, partition_by: list[str] | None = None
-    ):
-        self._spark = spark
-        self._path = path
-        self._schema = schema
-        self._partition_by = partition_by or []
-
-    def _published(self) -> str:
-        return f"{self._path}/published"
-
-    def latest(self, before: int | None = None) -> int | None:
-        """Highest published version, or highest below ``before``; None if there is none."""
-        try:
-            versions = self._spark.read.schema("version bigint").json(self._published())
-            if before is not None:
-                versions = versions.where(F.col("version") < before)
-            return versions.agg(F.max("version")).first()[0]
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """Latest version (below ``before``); empty if none is published yet."""
-        version = self.latest(before)
-        if version is None:
-            return self._spark.createDataFrame([], self._schema)
-        return self._spark.read.schema(self._schema).parquet(self._folder(version))
-
-    def write(self, rows: DataFrame, version: int | None = None) -> int:
-        if version is None:
-            version = (self.latest() or 0) + 1
-        rows.write.mode("overwrite").partitionBy(*self._partition_by).parquet(self._folder(version))
-        mark = self._spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
-        mark.write.mode("append").json(self._published())
-        return version
-
-    def _folder(self, version: int) -> str:
-        return f"{self._path}/version={version}"

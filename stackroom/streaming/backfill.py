@@ -8,36 +8,30 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stackroom.functions.naming import Bucket
-from stackroom.operators.browse import object_listing
 from stackroom.operators.reconcile import backfill
-from stackroom.sources.catalog import NewRows
-from stackroom.sources.foldered import FolderedTable
 
 
 def backfill_stream(
     objects: DataFrame,
-    known: FolderedTable,
-    new_rows: NewRows,
+    catalog: DataFrame,
+    path: str,
     checkpoint: str,
     as_of: dt.datetime,
     bucket: Bucket = Bucket(),
 ) -> StreamingQuery:
-    """Register new objects in ``new_rows``, one batch for each micro-batch.
+    """Append catalog rows of new objects below ``path``, as Parquet.
 
-    A name is registered once: objects that ``known`` (the catalog's paths) or an earlier
-    batch holds are passed over.  Both are read only in the folders that the batch's names
-    fall into.  A batch that runs again replaces its own output.
+    A name is registered once: names seen before are in Spark's state store, one short row
+    each, and names that ``catalog`` has are left out by a join with its paths, which is made anew
+    in every batch.  Read the rows with ``spark.read.parquet(path)``: Spark's file sink
+    lists whole batches only, so a batch that runs again counts once.  Progress reports say how many rows
+    a batch registered, as ``backfill.processed`` among their observed metrics.
     """
-
-    def register(batch: DataFrame, batch_id: int) -> None:
-        names = batch.select("name").distinct().persist()
-        keys = object_listing(names).select(F.col("id").alias("gcs_path"))
-        met = known.read_keys(keys).unionByName(new_rows.rows(before=batch_id, keys=keys).select("gcs_path"))
-        new_rows.write(backfill(names, met, as_of, bucket), batch_id)
-        names.unpersist()
-
+    new = backfill(objects.dropDuplicates(["name"]), catalog, as_of, bucket)
     return (
-        objects.writeStream.foreachBatch(register)
+        new.observe("backfill", F.count(F.lit(1)).alias("processed"))
+        .writeStream.format("parquet")
+        .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,33 +1,144 @@
-"""Saved sets kept up to date from a stream of steps."""
+"""Saved sets kept up to date from a stream of steps, in Spark's state store.
+
+State holds one small row per (user_id, id): the membership up to the watermark, the last
+put or delete after it, and the toggles after that one.  A step may come late by as much as the
+watermark's delay and still takes its place in the order; what the watermark has passed is
+folded into the membership.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from stackroom.operators.saved import KEY
+
+DELAY = "1 day"
+STATE = "member"
+MEMBER = "settled boolean, set_ts bigint, set_seq bigint, saved boolean, toggles array<struct<ts: bigint, seq: bigint>>"
+CHANGES = "user_id bigint, id string, saved boolean"
+_STEPS = "user_id bigint, id string, ts timestamp, seq bigint, op string"
+
+
+def overridden(steps: pd.DataFrame) -> pd.Series:
+    """Which steps a later put or delete of the same key, among these, makes void.  Steps are in order."""
+    keys = [steps[name] for name in KEY]
+    is_set = steps["op"] != "toggle"
+    return is_set[::-1].groupby([k[::-1] for k in keys], sort=False).cumsum()[::-1] - is_set > 0
+
+
+def _thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for steps in batches:
+        steps = steps.sort_values([*KEY, "ts", "seq"], kind="stable")
+        yield steps[~overridden(steps)]
+
+
+class Membership(StatefulProcessor):
+    """Folds the steps of a key into its state; gives the membership after each batch that has some."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._member = handle.getValueState(STATE, MEMBER)
 
-from stackroom.operators.saved import KEY, saved_fold
-from stackroom.sources.membership import MembershipLog
+    def _known(self) -> list[Any]:
+        found = self._member.get()
+        return [*found[:4], [tuple(t) for t in found[4] or []]] if found else [False, None, None, None, []]
 
+    def _settle(self, member: list[Any], upto: int) -> None:
+        """No step up to this time can come any more: fold it into the membership."""
+        settled, ts, seq, saved, toggles = member
+        if ts is not None and ts <= upto:
+            settled, ts, seq, saved = saved, None, None, None
+        if ts is None:
+            passed = sum(t[0] <= upto for t in toggles)
+            settled, toggles = settled != (passed % 2 == 1), toggles[passed:]
+        member[:] = settled, ts, seq, saved, toggles
 
-def saved_state_stream(events: DataFrame, members: MembershipLog, checkpoint: str) -> StreamingQuery:
-    """Fold each micro-batch into the membership before it and write the touched keys.
+    def _store(self, member: list[Any], upto: int) -> None:
+        self._settle(member, upto)
+        settled, ts, _, _, toggles = member
+        if not settled and ts is None and not toggles:
+            self._member.clear()
+            return
+        self._member.update((*member[:4], toggles))
+        if toggles:  # a put or delete alone takes no more room than what it settles to
+            self._handle.registerTimer(max(toggles[-1][0], ts or 0) // 1000 + 1)
 
-    Of the membership only the folders of the touched keys are read.
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        member = self._known()
+        for steps in rows:
+            times = steps["ts"].astype("datetime64[us]").astype("int64")
+            for ts, seq, op in zip(times.tolist(), steps["seq"].tolist(), steps["op"]):
+                last = (member[1], member[2]) if member[1] is not None else None
+                if last is not None and (ts, seq) <= last:
+                    continue
+                if op == "toggle":
+                    member[4].append((ts, seq))
+                else:
+                    member[1:4] = ts, seq, op == "put"
+                    member[4] = [t for t in member[4] if t > (ts, seq)]
+        member[4].sort()
+        settled, ts, _, saved, toggles = member
+        now = (settled if ts is None else saved) != (len(toggles) % 2 == 1)
+        self._store(member, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield pd.DataFrame({"user_id": [key[0]], "id": [key[1]], "saved": [now]})
 
-    Should a batch run again after a failure, it starts from the batches before it
-    and replaces what it wrote.  Steps of a later batch count as later, whatever
-    their time.
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self._store(self._known(), timerValues.getCurrentWatermarkInMs() * 1000)
+        return iter(())
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self._member.update((True, None, None, None, []))
+
+    def close(self) -> None:
+        pass
+
+
+def membership_changes(events: DataFrame, delay: str = DELAY, initial: DataFrame | None = None) -> DataFrame:
+    """For each micro-batch the keys it has steps of, with their membership after it: user_id, id, saved.
+
+    Order is ``(ts, seq)``, whatever batch a step comes in, as long as it is not later than ``delay``
+    behind the newest step seen; what is later is dropped, as are steps without key or time.
+    ``initial`` holds the keys (user_id, id) that are saved before the first batch.  Steps that
+    others of their task make void go before the shuffle, so that a key with very many
+    steps sends few.
     """
+    has_key = F.col("user_id").isNotNull() & F.col("id").isNotNull() & F.col("ts").isNotNull()
+    steps = events.where(has_key & F.col("op").isin("put", "delete", "toggle"))
+    thin = steps.select("user_id", "id", F.col("ts").cast("timestamp"), F.col("seq").cast("bigint"), "op").mapInPandas(_thin, _STEPS)
+    start = None if initial is None else initial.select(*KEY).distinct().groupBy(*KEY)
+    return (
+        thin.withWatermark("ts", delay)
+        .groupBy(*KEY)
+        .transformWithStateInPandas(Membership(), CHANGES, "Update", "eventTime", initialState=start)
+    )
+
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        previous = members.read(before=batch_id, keys=batch.select(*KEY).distinct())
-        members.write(saved_fold(batch, previous), batch_id)
-        batch.unpersist()
+def saved_state_stream(
+    events: DataFrame, checkpoint: str, delay: str = DELAY, initial: DataFrame | None = None
+) -> StreamingQuery:
+    """Take all steps there are into the state kept in ``checkpoint``; :func:`members` reads it.
 
+    A run that fails starts again from its last whole batch; Spark keeps state and progress together.
+    """
     return (
-        events.writeStream.foreachBatch(fold)
+        membership_changes(events, delay, initial)
+        .writeStream.format("noop")
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def members(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Keys saved after the last whole batch, read from the state itself."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", STATE).load()
+    value = F.col("value")
+    saved = F.when(value["set_ts"].isNull(), value["settled"]).otherwise(value["saved"])
+    flipped = F.size(value["toggles"]) % 2 == 1
+    return state.where(saved != flipped).select(*[F.col("key")[name].alias(name) for name in KEY])

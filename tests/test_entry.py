@@ -29,6 +29,8 @@ UNWANTED = ["Python", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin"
 def test_query_equals_sql(spark, connection, name):
     frame = entry_points.queries()[name](spark, FOLDER)
     plan = frame._jdf.queryExecution().executedPlan().toString()
+    # the scan of an object store is a data source in Python
+    plan = "\n".join(line for line in plan.splitlines() if "BatchScan object_store" not in line)
     assert [node for node in UNWANTED if node in plan] == []
     assert difference(frame, connection, entry_points.oracle_sql()[name]) is None
 

@@ -92,3 +92,13 @@ def test_puts_must_be_in_time_and_of_the_target_s_type(spark):
     ]
     plan = stored._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate" in line and "content#" in line]
+
+
+def test_a_staged_file_that_is_listed_again_is_put_once(spark):
+    targets = ingest.upload_targets(manifest_files(spark, MANIFEST))
+    other = staged(spark).where("file_key = 'f2'").withColumn("content", F.lit(b"22"))
+    twice = staged(spark).union(staged(spark)).union(other)
+    puts = ingest.upload_window(ingest.upload_match_first(twice, targets), F.timestamp_add("second", F.col("delay"), F.col("issued_at")))
+    assert rows(ingest.upload_content(puts, twice), "storage_path", "file_key", "content") == [
+        ("uploads/1714521600000-a.x.pdf", "f2", bytearray(b"22")),
+    ]

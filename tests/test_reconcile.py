@@ -3,6 +3,7 @@ import datetime as dt
 from helpers import catalog, rows
 
 from stackroom.operators import reconcile
+from stackroom.sources.catalog import read_catalog
 
 AS_OF = dt.datetime(2024, 6, 1)
 NAMES = ["uploads/", "uploads/1700000000000-a.b.pdf", "uploads/2024-x.pdf", "uploads/plain.pdf", "other/x.pdf", "uploads/known",
@@ -31,3 +32,12 @@ def test_backfill_registers_unknown_objects_once(spark):
     assert rows(reconcile.backfill_count(new)) == [(9,)]
     assert reconcile.backfill(listing(spark), known.unionByName(new), AS_OF).isEmpty()
     assert new.columns == known.columns
+
+
+def test_registering_counts_what_it_writes(spark, tmp_path):
+    known = catalog(spark, {"id": "k", "gcs_path": "uploads/known"})
+    new = reconcile.backfill(listing(spark), known, AS_OF)
+    path = str(tmp_path / "catalog")
+    assert reconcile.register(new.unionByName(new), path, 0) == 9
+    assert rows(read_catalog(spark, path)) == rows(new)
+    assert reconcile.register(new, path, 1) == 0

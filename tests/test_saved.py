@@ -1,4 +1,5 @@
 import random
+import uuid
 
 import pytest
 from helpers import at, catalog, rows
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stackroom.operators import saved
 from stackroom.schemas import CONTENTS
-from stackroom.sources.foldered import FolderedTable
+from stackroom.sources.snapshots import save_keyed
 
 KEYS = "user_id bigint, id string"
 
@@ -73,8 +74,8 @@ def copies(spark, *table):
 
 def stored(spark, path, **contents):
     """Content table with the bytes of some addresses."""
-    table = FolderedTable(spark, str(path), CONTENTS, ["url"])
-    return table.write(spark.createDataFrame(list(contents.items()), CONTENTS), folders=4)
+    rows = spark.createDataFrame(list(contents.items()), CONTENTS)
+    return save_keyed(rows, f"contents_{uuid.uuid4().hex}", str(path), ["url"], 4, fold=True)
 
 
 def puts(spark, *table):
@@ -160,3 +161,33 @@ def test_fetch_and_store(spark, tmp_path):
     fetched = saved.content_fetch(wanted.union(wanted), contents)
     assert rows(fetched, "url", "fetched", "content") == [("u1", True, bytearray(b"x")), ("u2", False, None)]
     assert rows(saved.content_store(wanted.union(wanted), contents)) == [(1, "1", "One", bytearray(b"x"), 1)]
+
+
+def test_repeated_rows_of_lookup_tables_change_nothing(spark, tmp_path):
+    documents = catalog(spark, {"id": "1", "title": "One", "url": "u1", "created_at": at(2)}, {"id": "2", "title": "Two", "url": "u2"})
+    older = catalog(spark, {"id": "1", "title": "Old", "url": "u0", "created_at": at(1)})
+    kept = copies(spark, (1, "1", "One", b"x"), (1, "2", "Two", None))
+    opens = spark.createDataFrame([(1, "1", 0), (1, "2", 1), (2, "1", 2)], KEYS + ", seq bigint")
+    once = rows(saved.content_resolve(opens, documents, kept))
+    assert rows(saved.content_resolve(opens, documents.union(documents).union(older), kept.union(kept))) == once
+
+    bytes_ = spark.createDataFrame([("u1", b"x"), ("u1", b"y"), ("u1", b"x"), ("u2", b"z")], CONTENTS)
+    contents = save_keyed(bytes_, "repeated_contents", str(tmp_path / "c"), ["url"], 4, fold=True)
+    wanted = spark.createDataFrame([(1, "1", "One", "u1"), (2, "1", "One", "u1"), (2, "1", "One", "u1")], KEYS + ", title string, url string")
+    assert rows(saved.content_store(wanted, contents)) == [(u, "1", "One", bytearray(b"y"), 1) for u in (1, 2)]
+    assert rows(saved.content_fetch(wanted, contents), "url", "content") == [("u1", bytearray(b"y"))]
+
+
+def test_fetching_leaves_the_bytes_in_their_buckets(spark, tmp_path):
+    contents = stored(spark, tmp_path / "contents", **{f"u{i}": b"x" for i in range(50)})
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fetched = saved.content_fetch(spark.range(80).selectExpr("concat('u', id % 60) url"), contents)
+        assert rows(fetched, "url", "fetched") == sorted((f"u{i}", i < 50) for i in range(60))
+        plan = fetched._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        scan = plan[plan.index("SortMergeJoin") :].split("+-")[-1]
+        assert not [line for line in plan.splitlines() if "Exchange" in line and "content" in line]
+        assert "content" in scan or "FileScan" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

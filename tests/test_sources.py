@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from stackroom.functions.naming import Bucket
 from stackroom.functions.payload import with_payload
 from stackroom.operators import browse, edits, saved
-from stackroom.schemas import CATALOG, CONTENTS, INVENTORY, SAVED
+from stackroom.schemas import CATALOG, INVENTORY
 from stackroom.sources.catalog import append_batch, read_catalog, with_document_ids
-from stackroom.sources.foldered import FolderedTable
 from stackroom.sources.objects import read_inventory, stream_contents, stream_objects
-from stackroom.sources.snapshots import VersionedTable, read_snapshot, save_keyed, write_snapshot
+from stackroom.sources.snapshots import read_snapshot, save_keyed, split_snapshot, write_snapshot
 
 
 def library(spark):
@@ -43,21 +42,6 @@ def test_appending_a_batch_again_adds_nothing(spark, tmp_path):
     assert rows(read_catalog(spark, path), "id") == [("1",), ("1b",), ("2",), ("2b",)]
 
 
-def test_versions(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "saved"), SAVED)
-    assert table.latest() is None and table.read().isEmpty()
-    first = spark.createDataFrame([(1, "a", "A", b"x", 1)], SAVED)
-    assert table.write(first) == 1
-    assert table.write(saved.saved_delete(table.read(), first)) == 2
-    assert table.read().isEmpty()
-    assert rows(table.read(before=2), "id") == [("a",)]
-    # a version that was written but not published is not seen
-    first.write.parquet(str(tmp_path / "saved" / "version=3"))
-    assert table.latest() == 2
-    assert table.write(first) == 3
-    assert rows(table.read(), "id") == [("a",)]
-
-
 def test_an_inventory_has_every_name(spark, tmp_path):
     names = ["uploads/1-a.pdf", "uploads/_draft.pdf", "uploads/.pdf", "uploads/_sub/2-b.pdf", "uploads/n._COPYING_", "other/z.pdf"]
     path = str(tmp_path / "inventory")
@@ -91,20 +75,6 @@ def test_arriving_files_as_contents(spark, tmp_path):
         assert len([p for p in run.recentProgress if p.numInputRows]) == 2
 
 
-def test_a_keyed_table_is_read_by_folder(spark, tmp_path):
-    contents = spark.range(1000).selectExpr("concat('u', id) url", "encode(cast(id as string), 'UTF-8') content")
-    table = FolderedTable(spark, str(tmp_path / "contents"), CONTENTS, ["url"]).write(contents, folders=16)
-    assert table.read().count() == 1000
-    again = FolderedTable(spark, str(tmp_path / "contents"), CONTENTS, ["url"])  # finds the number of folders
-    found = again.read_keys(spark.createDataFrame([("u7",), ("u7",), ("none",)], "url string"))
-    assert rows(found) == [("u7", bytearray(b"7"))]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[.*folder#\d+", plan)
-    assert again.read_keys(spark.createDataFrame([], "url string")).isEmpty()
-    with pytest.raises(ValueError, match="repeated keys"):
-        table.write(contents.unionByName(contents.limit(1)), folders=4)
-
-
 def test_a_snapshot_is_listed_after_reading(spark, tmp_path):
     path = str(tmp_path / "snapshot")
     documents = catalog(spark, *[{"id": f"{i:03}", "title": "t", "url": "u", "created_at": at(i * 37 % 100)} for i in range(100)])
@@ -123,6 +93,22 @@ def test_a_damaged_line_is_an_error(spark, tmp_path):
         read_snapshot(spark, str(path), CATALOG).collect()
 
 
+def test_damaged_lines_are_set_apart(spark, tmp_path):
+    path, to = tmp_path / "snapshot", str(tmp_path / "split")
+    write_snapshot(library(spark), str(path))
+    bad = ['{"id": "3", "title": ', "[1]", '{"id": "4", "categories": 5}', "text"]
+    with open(path / "part-broken.json", "w") as file:
+        file.write("\n".join([*bad, "", '{"id": "5", "title": "good"}']) + "\n")
+    good, damaged = split_snapshot(spark, str(path), CATALOG, to)
+    assert rows(good.where("id <> '5'")) == rows(library(spark))
+    assert rows(good, "id") == [("1",), ("2",), ("5",)]
+    assert rows(damaged, "line") == sorted((b,) for b in bad)
+    assert {r.file.rpartition("/")[2] for r in damaged.collect()} == {"part-broken.json"}
+    # good lines are read back without the others
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_apart#\d+", plan)
+
+
 def test_rows_that_come_again_under_another_number_add_nothing(spark, tmp_path):
     path = str(tmp_path / "catalog")
     append_batch(library(spark).unionByName(library(spark)), path, 0)
