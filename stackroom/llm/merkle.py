@@ -2,19 +2,21 @@
 
 Rows become leaves; the leaves of each language stand in order, eight in a row become the
 digest of their digests, level by level, until one is left; the languages' last digests do the
-same among themselves.  Built levels are stored as rows of *runs*: a run is a node with the
-digests of its children, its parent and its place there.  To check rows, a recursive query starts
-from all their leaves at once; each step meets every leaf's present run, takes the
+same among themselves.  Built levels are stored as rows that name their parent: *families*, the lowest
+runs with their leaves, and *runs*, the nodes above with the digests of their children.  To check rows, a
+recursive query starts from all leaves at once; each step meets a leaf's present run, takes the
 siblings out of it, folds the digest that came up from below with them, and goes on to
-the parent.  The rows of all steps are the proofs.
+the parent.  The rows of all steps are the proofs.  Leaves of a family meet the same siblings
+above it, so they climb in one row, with a digest for each.
 
 A run is named by its level and the place of its first leaf.  High runs are met by very many
-leaves, so a run is stored once for each block of leaves below it: a step never brings more
-than a block's leaves to one key, and the copies of all levels stay a small part of the table.
+families, so a run is stored once for each block of leaves below it: a step never brings more
+than a block's families to one key, and the copies of all levels stay a small part of the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -60,15 +62,17 @@ def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 @dataclass
 class Manifest:
-    """Built levels as written tables.
+    """Built levels as written tables, whose digests are binary.
 
-    ``leaves``: place, doc_id, leaf, changed, run, pos, subroot; ``runs``: name, block, children, run,
-    pos.  ``run`` and ``pos`` name a node's parent and its place there; they are null at the
-    root.  ``root`` is null for an empty table.
+    ``families``: family (place of its first leaf), tree, alone, members (place, doc_id, leaf and changed of
+    each), run, pos; ``runs``: name, block, children, run, pos; ``subroots``: tree, subroot.  ``run`` and ``pos``
+    name a node's parent and its place there; they are null at the root.  ``root`` is null for an
+    empty table.
     """
 
-    leaves: DataFrame
+    families: DataFrame
     runs: DataFrame
+    subroots: DataFrame
     root: str | None
 
 
@@ -76,13 +80,23 @@ def _name(level: int, first: Column) -> Column:
     return F.lit(level << FIRST_BITS).bitwiseOR(first)
 
 
-def _levels(nodes: DataFrame, most: int, base: int, first: Column, name: str) -> tuple[list[DataFrame], DataFrame]:
+def joined(digests: Column | str) -> Column:
+    """Digests as hex text, one behind the other."""
+    return F.array_join(F.transform(digests, lambda x: F.lower(F.hex(x))), "")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _levels(nodes: DataFrame, most: int, base: int, first: Callable[[int], Column], name: str) -> tuple[list[DataFrame], DataFrame]:
     """The levels of runs above ``nodes`` (tree, ordinal, size, index, digest, low, high), written, and the last digests.
 
     ``most`` is the largest tree's number of nodes, ``size`` each tree's own on that level; a tree ends where it is 1.
     ``first`` tells a run of one level from the others.  Each level has an eighth of the rows of the one below.
     """
-    built, tops, level = [], [nodes.where("size = 1")], 0
+    columns = ["tree", "ordinal", "digest", "low", "high"]
+    built, top, level = [], nodes.where("size = 1").select(*columns), 0
     while most > 1:
         level, most = level + 1, -(-most // RUN)
         child = F.sort_array(F.collect_list(F.struct("index", "digest", "low", "high")))
@@ -93,17 +107,14 @@ def _levels(nodes: DataFrame, most: int, base: int, first: Column, name: str) ->
             "ordinal",
             size.alias("size"),
             "index",
-            F.array_join("child.digest", "").alias("children"),
+            joined("child.digest").alias("children"),
             F.col("child")[0]["low"].alias("low"),
             F.element_at("child", -1)["high"].alias("high"),
         )
-        runs = runs.withColumns({"name": _name(base + level, first(level)), "digest": F.sha2("children", 256)})
+        runs = runs.withColumns({"name": _name(base + level, first(level)), "digest": _digest(F.col("children"))})
         nodes = written(runs, f"{name}-{level}")
         built.append(nodes)
-        tops.append(nodes.where("size = 1"))
-    top = tops[0].select("tree", "ordinal", "digest", "low", "high")
-    for more in tops[1:]:
-        top = top.unionByName(more.select(*top.columns))
+        top = top.unionByName(nodes.where("size = 1").select(*columns))
     return built, top
 
 
@@ -122,89 +133,123 @@ def build(docs: DataFrame, changed: Column | None = None) -> Manifest:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("lang").isNotNull().alias("has_lang"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        leaf_digest(text).alias("leaf"),
-        leaf_digest(text if changed is None else changed).alias("changed"),
+        F.unhex(leaf_digest(text)).alias("leaf"),
+        F.unhex(leaf_digest(text if changed is None else changed)).alias("changed"),
         F.monotonically_increasing_id().alias("_row"),  # spreads equal rows over ranges
     )
+    # texts are read once: what is sorted from here on has digests only
+    rows = written(rows, "digests")
     order = [F.col("has_lang"), F.col("lang"), F.asc_nulls_first("doc_id"), F.col("leaf"), F.col("_row")]
     leaves = placed(rows, order, "place").drop("_row")
 
     trees = leaves.groupBy("has_lang", "lang").agg(F.min("place").alias("tree"), F.count("*").alias("size"))
     trees = written(placed(trees, [F.col("tree")], "ordinal"), "trees")
     many, most = trees.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
-    leaves = lookup_join(leaves, trees, ["has_lang", "lang"], "inner").drop("has_lang", "lang")
-    leaves = written(leaves.withColumn("index", F.col("place") - F.col("tree")), "leaves")
-
-    def first_leaf(level: int) -> Column:
-        return F.col("tree") + F.shiftleft("index", 3 * level)
+    leaves = lookup_join(leaves, trees, ["has_lang", "lang"], "inner").withColumn("index", F.col("place") - F.col("tree"))
+
+    family = leaves.groupBy("tree", "ordinal", "size", F.shiftright("index", 3).alias("index"))
+    families = family.agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "leaf", "changed"))).alias("members"))
+    low, high = F.col("members")[0]["place"], F.element_at("members", -1)["place"]
+    # a language's only leaf is no run: it stands for itself
+    alone = F.col("size") == 1
+    families = families.select(
+        "tree",
+        "ordinal",
+        F.ceil(F.col("size") / RUN).cast("bigint").alias("size"),
+        "index",
+        alone.alias("alone"),
+        "members",
+        F.when(alone, F.col("members")[0]["leaf"]).otherwise(_digest(joined("members.leaf"))).alias("digest"),
+        low.alias("low"),
+        high.alias("high"),
+    )
+    families = written(families, "families")
 
-    place = F.col("place")
-    nodes = leaves.select("tree", "ordinal", "size", "index", F.col("leaf").alias("digest"), place.alias("low"), place.alias("high"))
-    within, subroots = _levels(nodes, most, 0, first_leaf, "lang-level")
+    within, subroots = _levels(families, -(-most // RUN), 1, lambda level: F.col("tree") + F.shiftleft("index", 3 * (level + 1)), "lang-level")
     subroots = written(subroots, "subroots")
-    nodes = subroots.select(
-        F.lit(0).cast("bigint").alias("tree"), F.lit(0).cast("bigint").alias("of"), "digest", "low", "high",
-        F.lit(many).cast("bigint").alias("size"), F.col("ordinal").alias("index"),
-    ).withColumnRenamed("of", "ordinal")
-    over, top = _levels(nodes, many, OVER, lambda level: F.col("index"), "top-level")
+    zero = F.lit(0).cast("bigint")
+    size = F.lit(many).cast("bigint")
+    nodes = subroots.select(zero.alias("tree"), F.col("ordinal").alias("index"), "digest", "low", "high", size.alias("size"))
+    over, top = _levels(nodes.withColumn("ordinal", zero), many, OVER, lambda level: F.col("index"), "top-level")
 
-    def link_within(nodes: DataFrame, level: int) -> DataFrame:
+    def link_within(nodes: DataFrame, height: int) -> DataFrame:
         """A tree's last node goes on to the run of languages, if there are others."""
         inner, last = F.col("size") > 1, F.lit(many > 1)
-        up = _name(level + 1, F.col("tree") + F.shiftleft(F.shiftright("index", 3), 3 * (level + 1)))
+        up = _name(height + 1, F.col("tree") + F.shiftleft(F.shiftright("index", 3), 3 * (height + 1)))
         parent = F.when(inner, up).otherwise(_name(OVER + 1, F.shiftright("ordinal", 3)))
         return _linked(nodes, parent, F.when(inner, F.col("index")).otherwise(F.col("ordinal")), inner | last)
 
-    linked = [link_within(nodes, level + 1) for level, nodes in enumerate(within)]
+    linked = [link_within(nodes, level + 2) for level, nodes in enumerate(within)]
     for level, nodes in enumerate(over):
         up = _name(OVER + level + 2, F.shiftright("index", 3))
         linked.append(_linked(nodes, up, F.col("index"), F.col("size") > 1))
     block = F.explode(F.sequence(F.shiftright("low", BLOCK_BITS), F.shiftright("high", BLOCK_BITS)))
-    stored = [nodes.select("name", block.alias("block"), "children", "run", "pos") for nodes in linked]
-    runs = stored[0] if stored else docs.sparkSession.createDataFrame([], RUNS)
-    for more in stored[1:]:
-        runs = runs.unionByName(more)
-    leaves = lookup_join(leaves, subroots.select("tree", F.col("digest").alias("subroot")), ["tree"], "inner")
-    leaves = link_within(leaves, 0).select("place", "doc_id", "leaf", "changed", "run", "pos", "subroot")
-    found = top.select("digest").head(2)
-    return Manifest(written(leaves, "manifest-leaves"), written(runs, "manifest-runs"), found[0][0] if found else None)
+    runs = docs.sparkSession.createDataFrame([], RUNS)
+    for nodes in linked:
+        runs = runs.unionByName(nodes.select("name", block.alias("block"), "children", "run", "pos"))
+    families = link_within(families, 1).select(F.col("low").alias("family"), "tree", "alone", "members", "run", "pos")
+    found = top.select(F.lower(F.hex("digest"))).head(1)
+    subroots = subroots.select("tree", F.lower(F.hex("digest")).alias("subroot"))
+    return Manifest(families, written(runs, "runs"), subroots, found[0][0] if found else None)
 
 
 RUNS = "name bigint, block bigint, children string, run bigint, pos int"
 
 CLIMB = f"""
-WITH RECURSIVE climb (place, level, run, pos, siblings, folded) AS (
-  SELECT place, 0, run, pos, CAST(NULL AS BINARY), {{digest}} FROM {{leaves}}
+WITH RECURSIVE climb (family, level, run, pos, siblings, folded) AS (
+  SELECT family, 0, run, pos, CAST(NULL AS BINARY), folded FROM {{families}}
   UNION ALL
-  SELECT place, level + 1, next_run, next_pos, unhex(concat(before, after)), sha2(concat(before, folded, after), 256)
+  SELECT family, level + 1, next_run, next_pos, unhex(concat(before, after)),
+         transform(folded, x -> unhex(sha2(concat(before, lower(hex(x)), after), 256)))
   FROM (
-    SELECT c.place, c.level, c.folded, r.run AS next_run, r.pos AS next_pos,
+    SELECT c.family, c.level, c.folded, r.run AS next_run, r.pos AS next_pos,
            substring(r.children, 1, 64 * c.pos) AS before, substring(r.children, 64 * c.pos + 65) AS after
-    FROM climb c JOIN {{runs}} r ON c.run = r.name AND shiftright(c.place, {BLOCK_BITS}) = r.block
+    FROM climb c JOIN {{runs}} r ON c.run = r.name AND shiftright(c.family, {BLOCK_BITS}) = r.block
   )
 )
-SELECT place, level, siblings, folded FROM climb
+SELECT family, level, siblings, CASE WHEN run IS NULL THEN folded END AS folded FROM climb
 """
 
 
+def _others(digests: Column, i: Column) -> tuple[Column, Column]:
+    """Hex text of the digests before and behind place ``i``."""
+    return joined(F.slice(digests, 1, i)), joined(F.slice(digests, i + 2, RUN))
+
+
 def climb(manifest: Manifest, digest: str = "leaf") -> DataFrame:
-    """From every leaf to the root: place, level, the siblings met on that level, the digest folded so far.
+    """From every leaf to the root: family, level, the siblings met on that level, and the members' digests at the root.
 
-    ``digest`` names the column of leaves that is folded in.  The rows of a place, by level, are its proof.
+    ``digest`` names the member whose digest is folded in.  The first step, out of the family, is
+    taken on the way in: there each leaf has siblings of its own.
     """
-    spark = manifest.leaves.sparkSession
-    # the number of rows is that of leaves times levels, whatever the table's size
+    spark = manifest.families.sparkSession
+    # the number of rows is that of families times levels, whatever the table's size
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(CLIMB, digest=F.col(digest), leaves=manifest.leaves, runs=manifest.runs)
+
+    def fold(member: Column, i: Column) -> Column:
+        before, after = _others(F.col("members.leaf"), i)
+        return _digest(F.concat(before, F.lower(F.hex(member[digest])), after))
+
+    folded = F.when(F.col("alone"), F.col(f"members.{digest}")).otherwise(F.transform("members", fold))
+    start = manifest.families.select("family", "run", "pos", folded.alias("folded"))
+    return spark.sql(CLIMB, families=start, runs=manifest.runs)
 
 
 def proofs(manifest: Manifest, digest: str = "leaf") -> DataFrame:
-    """One row a leaf: place, proof (all siblings as hex text, from the leaf up) and folded_root."""
-    step = F.struct("level", "siblings", "folded")
-    steps = climb(manifest, digest).groupBy("place").agg(F.sort_array(F.collect_list(step)).alias("steps"))
-    hexed = F.transform("steps.siblings", lambda x: F.lower(F.hex(x)))
-    return steps.select(
-        "place", F.array_join(hexed, "").alias("proof"), F.element_at("steps", -1)["folded"].alias("folded_root")
+    """One row a leaf: doc_id, leaf, tree, proof (all siblings as hex text, from the leaf up) and folded_root."""
+    step = F.when(F.col("siblings").isNotNull(), F.struct("level", "siblings"))
+    steps = climb(manifest, digest).groupBy("family")
+    steps = steps.agg(F.sort_array(F.collect_list(step)).alias("steps"), F.max("folded").alias("folded"))
+    members = F.posexplode("members").alias("i", "member")
+    leaves = manifest.families.join(steps, "family").select("*", members)
+    before, after = _others(F.col("members.leaf"), F.col("i"))
+    own = F.when(F.col("alone"), F.lit("")).otherwise(F.concat(before, after))
+    return leaves.select(
+        "member.doc_id",
+        F.lower(F.hex("member.leaf")).alias("leaf"),
+        "tree",
+        F.concat(own, joined("steps.siblings")).alias("proof"),
+        F.lower(F.hex(F.col("folded")[F.col("i")])).alias("folded_root"),
     )
 
 
@@ -227,15 +272,9 @@ def audit(docs: DataFrame) -> DataFrame:
     """
     ready(docs.sparkSession)
     manifest = build(docs, tampered())
-    climbed = proofs(manifest, "changed")
-    told = lookup_join(manifest.leaves, climbed, ["place"], "inner")
-    root = F.lit(manifest.root).cast("string")
-    return told.select(
-        "doc_id",
-        "leaf",
-        "subroot",
-        root.alias("root"),
-        F.sha2("proof", 256).alias("proof_sha256"),
-        "folded_root",
-        (F.col("folded_root") == root).alias("verified"),
+    told = lookup_join(
+        proofs(manifest, "changed").withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof"), manifest.subroots, ["tree"], "inner"
     )
+    root = F.lit(manifest.root).cast("string")
+    verified = (F.col("folded_root") == root).alias("verified")
+    return told.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", verified)

@@ -102,8 +102,8 @@ def test_a_step_brings_no_more_than_a_block_to_one_key(spark):
     manifest = merkle.build(docs)
     # one row for each node and block of leaves below it
     assert manifest.runs.groupBy("name", "block").count().where("count > 1").isEmpty()
-    met = merkle.climb(manifest).selectExpr("level", "shiftright(place, 12) block", "folded").groupBy("level", "block").count()
-    assert met.agg({"count": "max"}).first()[0] <= 1 << merkle.BLOCK_BITS
+    met = merkle.climb(manifest).selectExpr("level", "shiftright(family, 12) block", "folded").groupBy("level", "block").count()
+    assert met.agg({"count": "max"}).first()[0] <= (1 << merkle.BLOCK_BITS) // merkle.RUN
     assert {r.folded_root for r in merkle.proofs(manifest).collect()} == {manifest.root}
 
 
