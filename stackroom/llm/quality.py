@@ -27,6 +27,8 @@ SAMPLE_ROWS = 20_000  # labelled rows, about, and as many pool rows
 ROUNDS = 5
 SHARE = 0.02  # of the pool that each view labels in a round
 THRESHOLD = 0.5
+RIDGE = 1.0  # of the last combination, whose rows may be few and separable
+CHECKS = 3  # one labelled row in so many only calibrates
 BUCKETS = 16  # of a hash of source, and of lang
 
 # Byte classes: upper case, digits, line ends, bars, sentence ends, other marks of ASCII.
@@ -128,15 +130,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(both @ self.combine[:2] + self.combine[2], -30, 30)))
 
 
-def co_train(known: list[np.ndarray], label: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """Every third labelled row only calibrates.  With labels of one kind all scores are their share."""
+def co_train(
+    known: list[np.ndarray],
+    label: np.ndarray,
+    pool: list[np.ndarray],
+    rounds: int = ROUNDS,
+    share: float = SHARE,
+    checks: np.ndarray | None = None,
+) -> Model:
+    """``checks`` marks the labelled rows that only calibrate: every third, if not given.
+
+    With labels of one kind all scores are their share.  Of pool rows that a view is equally sure of,
+    the first in order is labelled; so rows in the same order give the same model.
+    """
     known = [x.reshape(len(label), -1) if len(label) else np.zeros((0, 1)) for x in known]
     if len(set(label.tolist())) < 2 or len(label) < 6:
         rate = (label.sum() + 1) / (len(label) + 2)
         sizes = [x.shape[1] if x.ndim == 2 else 1 for x in (known if len(label) else pool)]
         return Model([np.zeros(n) for n in sizes], [np.ones(n) for n in sizes], [np.zeros(n + 1) for n in sizes], np.array([0, 0, np.log(rate / (1 - rate))]))
     model = Model([x.mean(axis=0) for x in known], [x.std(axis=0) + 1e-6 for x in known], [], np.array([0.5, 0.5, 0]))
-    checks = np.arange(len(label)) % 3 == 2
+    if checks is None or not 0 < checks.sum() < len(label) or len(set(label[~checks].tolist())) < 2:
+        checks = np.arange(len(label)) % 3 == 2
     rate = label.mean()
     lessons = [([x[~checks]], [label[~checks]]) for x in known]
     unused = [np.ones(len(pool[0]), bool) for _ in known]
@@ -152,47 +166,67 @@ def co_train(known: list[np.ndarray], label: np.ndarray, pool: list[np.ndarray],
             order = np.argsort(told, kind="stable")
             order = order[unused[student][order]]
             n = int(len(told) * share)
-            good, bad = order[::-1][: int(n * rate)], order[: n - int(n * rate)]
+            best = np.argsort(-told, kind="stable")
+            good, bad = best[unused[student][best]][: int(n * rate)], order[: n - int(n * rate)]
             for rows, value in ((good, 1.0), (bad, 0.0)):
                 sure = rows[(told[rows] > 2) if value else (told[rows] < -2)]  # odds of 7 to 1
                 lessons[student][0].append(pool[student][sure])
                 lessons[student][1].append(np.full(len(sure), value))
                 unused[student][sure] = False
     both = np.column_stack([model.logits(v, x[checks]) for v, x in enumerate(known)])
-    model.combine = fit_logistic(both, label[checks], ridge=0.1)
+    model.combine = fit_logistic(both, label[checks], ridge=RIDGE)
     return model
 
 
 SCORED = "doc_id bigint, score double, predicted int"
+NAMES = ("content", "metadata")
+
+
+def _drawn(rows: DataFrame, salt: str, limit: float) -> DataFrame:
+    """Rows whose doc_id draws a number below ``limit``, the same in every run."""
+    return rows.where(F.xxhash64("doc_id", F.lit(salt)).bitwiseAND((1 << 52) - 1) / float(1 << 52) < limit)
+
+
+def _collected(rows: DataFrame, *others: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """A bounded sample in an order of its own, whatever the partitions: by doc_id, then by all values."""
+    frame = rows.select("doc_id", *NAMES, *others).toPandas()
+    views = [np.array(frame[name].tolist(), np.float64) if len(frame) else np.zeros((0, 1)) for name in NAMES]
+    rest = frame[["doc_id", *others]].astype(np.float64).fillna(-np.inf).to_numpy()
+    columns = np.column_stack([*views, rest[:, 1:], rest[:, :1]])
+    order = np.lexsort(columns.T) if len(frame) else np.zeros(0, int)
+    return [x[order] for x in views], rest[order, 1:]
+
+
+def train(found: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The model of the views ``found`` and of labels: a function of their rows alone, in any order and partitioning."""
+    usable = labels.where(~held_out() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+    usable = usable.agg(F.max(F.col("quality").cast("double")).alias("label"))
+    chosen = _drawn(usable, "known", sample_rows / max(1, usable.count()))
+    checks = (F.pmod(F.xxhash64("doc_id", F.lit("checks")), F.lit(CHECKS)) == 0).cast("double").alias("checks")
+    taught, told = _collected(lookup_join(found, chosen, ["doc_id"], "inner").select("*", checks), "label", "checks")
+    pool, _ = _collected(_drawn(found, "pool", sample_rows / max(1, found.count())))
+    return co_train(taught, told[:, 0], pool, checks=told[:, 1] == 1)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score (1: good), predicted (1 from ``THRESHOLD`` on).
 
     Learns quality from rows whose crc32(doc_id as text) mod 3 is not 1, and from about as many
-    pool rows without their labels; ``sample_rows`` bounds both.  Needs doc_id, text, lang,
+    pool rows without their labels; ``sample_rows`` bounds both.  Which rows teach, calibrate or are in the
+    pool is told from their doc_id.  Needs doc_id, text, lang,
     source and n_chars, which may all be null; null labels teach nothing, of repeated ones
     the larger counts.  An empty table gives no rows.
     """
     ready(docs.sparkSession)
     found = written(views(docs), "views")
-    usable = labels.where(~held_out() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
-    usable = usable.agg(F.max(F.col("quality").cast("double")).alias("label"))
-    draw = F.xxhash64("doc_id").bitwiseAND((1 << 52) - 1) / float(1 << 52)
-    chosen = usable.where(draw < sample_rows / max(1, usable.count()))
-    taught = lookup_join(found, chosen, ["doc_id"], "inner").select("content", "metadata", "label").toPandas()
-    other = F.xxhash64("doc_id", F.lit("pool")).bitwiseAND((1 << 52) - 1) / float(1 << 52)
-    pool_rows = found.where(other < sample_rows / max(1, found.count())).select("content", "metadata").toPandas()
-    stack = lambda frame, name: np.array(frame[name].tolist(), np.float64)
-    names = ("content", "metadata")
-    model = co_train([stack(taught, n) for n in names], taught["label"].to_numpy(np.float64), [stack(pool_rows, n) for n in names])
+    model = train(found, labels, sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = shared.value([batch.column(n).flatten().to_numpy().reshape(batch.num_rows, -1) for n in names])
+            p = shared.value([batch.column(n).flatten().to_numpy().reshape(batch.num_rows, -1) for n in NAMES])
             columns = [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
 

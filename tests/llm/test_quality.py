@@ -1,5 +1,7 @@
 """Quality: held-out labels, use of the pool, what has no label."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -26,6 +28,38 @@ def test_held_out_labels_are_not_seen(spark):
     assert {r.doc_id: r.score for r in quality.classify(docs, hidden).collect()} == pytest.approx(before)
 
 
+def test_the_partitioning_changes_nothing(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    runs = [
+        {r.doc_id: (r.score, r.predicted) for r in quality.classify(d, lab).collect()}
+        for d, lab in ((docs, labels), (docs.repartition(7), labels.repartition(3)), (docs.orderBy("source", "text"), labels.orderBy("toxic")))
+    ]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_a_refit_in_plain_numpy_gives_the_same(spark):
+    """Views collected, everything else done here: choice of rows, order, training, scores."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    scores = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    views = {r.doc_id: r for r in quality.views(docs).collect()}
+    told = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    taught = sorted(told)
+    checks = {
+        r.doc_id: r.c for r in labels.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 'checks'), {quality.CHECKS}) = 0 as c").collect()
+    }
+    stack = lambda ids, name: np.array([views[i][name] for i in ids])
+    model = quality.co_train(
+        [stack(taught, n) for n in quality.NAMES],
+        np.array([float(told[i]) for i in taught]),
+        [stack(sorted(views), n) for n in quality.NAMES],
+        checks=np.array([checks[i] for i in taught]),
+    )
+    expected = model([stack(sorted(views), n) for n in quality.NAMES])
+    assert [scores[i] for i in sorted(views)] == pytest.approx(list(expected), abs=1e-9)
+
+
 def test_a_view_learns_from_the_other():
     """One view is clear, the other has seen few labels: with the pool it becomes as good."""
     generator = np.random.default_rng(4)
