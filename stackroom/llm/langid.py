@@ -1,8 +1,9 @@
 """Language by compression: the dictionary that makes a text smallest names its language.
 
-Each language has a raw-content Zstandard dictionary: lines of a bounded sample of its
+Each language has a raw-content Zstandard dictionary: lines of a bounded sample of pieces of its
 learning texts, without lines that the sample holds in two languages.  A whole text, its
-letters lowered, is compressed in blocks with each dictionary.
+letters lowered, is compressed in blocks with each dictionary.  What wins by a narrow margin
+is not accepted.
 """
 
 from __future__ import annotations
@@ -16,47 +17,72 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from stackroom.llm.common import ready, shape_of, together
+from stackroom.operators.skew import lookup_join
 
-DICTIONARY_BYTES = 128 << 10
-SAMPLE_BYTES = 2 * DICTIONARY_BYTES  # of whole learning texts for each language, about
-LONGEST_LEARNED = 16 << 10  # bytes; longer texts are not learned from
-MOST_LANGUAGES = 64
+DICTIONARY_BYTES = 128 << 10  # of one language at most
+ALL_BYTES = 4 << 20  # of all dictionaries together, about
+LEAST_BYTES = 256  # of one language, however many there are
+SAMPLED = 2  # times a dictionary's bytes are drawn from its learning texts
+PIECE = 4 << 10  # characters that are drawn or not as one
 BLOCK = 16 << 10
-SHORT = 1 << 10  # bytes; shorter texts are compressed harder
-LEVELS = (12, 9)
-MARGIN = 1  # bytes by which the smallest must win
+LEVELS = (9, 12)
+MARGIN = 0.01  # of the smallest size, by which it must win; one byte at least
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def learn(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """A dictionary for each value of ``lang``, from rows (doc_id, text, lang) chosen by a hash.
+def dictionary_bytes(languages: int) -> int:
+    """The share of each language, so that all together stay in bounds."""
+    return max(LEAST_BYTES, min(DICTIONARY_BYTES, ALL_BYTES // max(1, languages)))
 
-    At most ``MOST_LANGUAGES`` languages, the most frequent, and about ``sample_bytes`` each reach the driver.
+
+def learn(labelled: DataFrame, own_bytes: int | None = None) -> dict[str, bytes]:
+    """A dictionary for each value of ``lang``, from rows (doc_id, text, lang).
+
+    Texts of any length teach: pieces of ``PIECE`` characters are drawn by a hash, each language's in proportion
+    to all it has.  No language is left out; the more there are, the shorter are their
+    dictionaries.  The driver gets one number and about ``SAMPLED`` dictionaries' bytes for each.
     """
-    size = F.octet_length("text")
-    usable = labelled.where(F.col("lang").isNotNull() & (size > 0) & (size <= LONGEST_LEARNED))
-    totals = usable.groupBy("lang").agg(F.sum(size).alias("total"))
-    totals = totals.orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES).withColumn("share", F.lit(float(sample_bytes)) / F.col("total"))
-    draw = (F.xxhash64("doc_id", "text").bitwiseAND((1 << 52) - 1)) / float(1 << 52)
-    chosen = usable.join(F.broadcast(totals), "lang").where(draw < F.col("share"))
-    lines: dict[str, dict[str, None]] = {}
-    for row in chosen.select("lang", "text").orderBy("lang", F.xxhash64("doc_id", "text")).collect():
-        lines.setdefault(row.lang, {}).update(dict.fromkeys(row.text.lower().split("\n")))
+    usable = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    totals = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total"))
+    totals = totals.select("lang", "total").toPandas()
+    own_bytes = own_bytes or dictionary_bytes(len(totals))
+    spark = labelled.sparkSession
+    # a number for each language
+    shares = spark.createDataFrame(
+        [(lang, SAMPLED * own_bytes / total) for lang, total in zip(totals["lang"], totals["total"])], "lang string, share double"
+    )
+    shape = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / PIECE).cast("int"))
+    place = F.xxhash64("doc_id", "text")
+    drawn = lambda i: (F.xxhash64(place, i).bitwiseAND((1 << 52) - 1)) / float(1 << 52) < F.col("share")
+    chosen = lookup_join(usable, shares, ["lang"], "inner").withColumn("pieces", F.filter(shape, drawn)).where(F.size("pieces") > 0)
+    pieces = chosen.select("lang", place.alias("place"), F.transform("pieces", lambda i: F.substr("text", i * PIECE + 1, F.lit(PIECE))).alias("pieces"))
+    lines: dict[str, dict[str, None]] = {lang: {} for lang in sorted(totals["lang"])}
+    for row in pieces.orderBy("lang", "place").collect():
+        for piece in row.pieces:
+            lines[row.lang].update(dict.fromkeys(piece.lower().split("\n")))
+    # what a draw has left without a piece is taught by one of its texts, the first by hash
+    missing = [lang for lang, found in lines.items() if not found]
+    if missing:
+        names = spark.createDataFrame([(lang,) for lang in missing], "lang string")
+        first = lookup_join(usable, names, ["lang"], "inner").groupBy("lang").agg(F.min_by(F.substr("text", F.lit(1), F.lit(PIECE)), place).alias("piece"))
+        for row in first.collect():
+            lines[row.lang].update(dict.fromkeys(row.piece.lower().split("\n")))
     owners: dict[str, int] = {}
     for found in lines.values():
         for line in found:
             owners[line] = owners.get(line, 0) + 1
-    return {
-        lang: "\n".join(line for line in found if owners[line] == 1).encode()[-DICTIONARY_BYTES:]
-        for lang, found in sorted(lines.items())
-    }
+    out = {}
+    for lang, found in lines.items():
+        own = [line for line in found if owners[line] == 1] or list(found)
+        out[lang] = "\n".join(own).encode()[-own_bytes:].rjust(8)  # Zstandard takes no shorter dictionary
+    return out
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.languages = [lang for lang, content in dictionaries.items() if len(content) >= 8]
-        self._short, self._long = (
+        self.languages = list(dictionaries)
+        self._first, self._second = (
             [self._compressor(dictionaries[lang], level) for lang in self.languages] for level in LEVELS
         )
 
@@ -72,20 +98,19 @@ class Classifier:
     def _sizes(compressors: list, blocks: list[bytes]) -> np.ndarray:
         return np.array([sum(len(c.compress(block)) for block in blocks) for c in compressors])
 
-    def __call__(self, text: str | None) -> tuple[str, float, int]:
-        """Language, score (1 for a clear case, shared out among equals), margin in bytes."""
+    def __call__(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score (1 for a clear case, shared out among equals), margin as a share of the smallest size."""
         if not text or not self.languages or not LETTER.search(text):
-            return UNKNOWN, 0.0, 0
+            return UNKNOWN, 0.0, 0.0
         raw = text.lower().encode()
         blocks = [raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)]
-        first, second = (self._short, self._long) if len(raw) < SHORT else (self._long, self._short)
-        sizes = self._sizes(first, blocks)
+        sizes = self._sizes(self._first, blocks)
         if (sizes == sizes.min()).sum() > 1:
-            sizes = sizes + self._sizes(second, blocks)
+            sizes = sizes + self._sizes(self._second, blocks)
         best = int(sizes.argmin())
         over = sizes - sizes[best]
         score = 1.0 / float(np.exp2(-np.minimum(over, 60)).sum())
-        margin = int(np.partition(over, 1)[1]) if len(over) > 1 else MARGIN
+        margin = int(np.partition(over, 1)[1]) / int(sizes[best]) if len(over) > 1 else 1.0
         return self.languages[best], score, margin
 
 
@@ -97,7 +122,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ..
 
     Only text is looked at.  Null texts and texts without a letter are ``und`` with score 0, as is
     everything where nothing was learned; they and texts whose two smallest encodings differ by
-    less than ``MARGIN`` bytes are not accepted.  Languages that tie are
+    less than ``MARGIN`` of the smallest are not accepted; where only one language is known, texts with letters are.  Languages that tie are
     compressed at the other level too; of those that still tie the first by name is told.  One row for each input row; an empty table gives none.
     """
     # a bounded number of dictionaries of bounded size
@@ -112,7 +137,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ..
                 batch.column("_text"),
                 pa.array([t[0] for t in told], pa.string()),
                 pa.array([t[1] for t in told], pa.float64()),
-                pa.array([t[0] != UNKNOWN and t[2] >= MARGIN for t in told], pa.bool_()),
+                pa.array([t[0] != UNKNOWN and t[2] >= MARGIN and t[2] > 0 for t in told], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["given", "_text", "lang_pred", "score", "accepted"])
 
