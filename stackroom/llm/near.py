@@ -1,20 +1,21 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document is the set of its shingles (runs of five words, A-Z lowered); each weighs 1, however
-often it occurs, as links are judged by sets.  ProbMinHash lets every shingle arrive again and again as a Poisson
-process whose rate is its weight; each arrival hits one register of the sketch, which
-keeps its first visitor.  A shingle stops once its next arrival is later than every
-register's first.  Two sketches agree in a register with the probability Jaccard
-similarity of the weights, which for weights of 1 is the Jaccard similarity of the sets.
+A document is the set of its shingles (runs of five words, A-Z lowered).  ProbMinHash lets every
+shingle arrive again and again as a Poisson process whose rate is its weight; each arrival hits one
+register of the sketch, which keeps its first visitor.  A shingle stops once its next arrival is later
+than every register's first.  Two sketches agree in a register with the probability Jaccard
+similarity of the weights.  Links are judged by sets, so most bands come of sketches in which each
+shingle weighs 1, where this is the Jaccard similarity of the sets; further bands come of sketches
+in which it weighs as often as it occurs.
 
 Documents of equal words are one class from the start.  The others meet in buckets of
-four equal registers; a bucket links each member with its first member and with the one
-before it, never all with all.  Links hold if the shingle sets have a Jaccard similarity of
-0.8 or more.  Where a bucket still holds several classes, all its pairs of different classes
-are met in rounds, until none is left untried.  A pair goes without reading texts only where it
-cannot hold: by the numbers of shingles and by outlines, bits that say which of ``CELLS`` cells a
-document's shingles fall into.  A round tries each document with the most similar of each other
-class, the next with ``WIDER`` times as many, so that classes that do join need few tries.
+four equal registers.  Links hold if the shingle sets have a Jaccard similarity of 0.8 or more.
+A document is first tried with the smallest of the first members of its buckets, then with the other
+first members outside its class.  Where a bucket still holds several classes, all its pairs of different
+classes are met: the nearest of two classes first, then each document's nearest of each other class, then what is
+left.  Classes join between these steps, and what has become one class is not tried
+any more.  A pair goes without reading texts only where it cannot hold: by the numbers of
+shingles and by outlines, bits that say which of ``CELLS`` cells a document's shingles fall into.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stackroom.llm.arrays import WORDS_BASE, mix, pieces, prefix_sums, run_hash, signed, split_words
 from stackroom.llm.common import ready, written
@@ -33,10 +34,9 @@ from stackroom.operators.skew import lookup_join
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
+WEIGHTED_BANDS = 4  # further ones, of sketches weighted by counts
 ROWS = 4
 CELLS = 1024  # of an outline
-WIDER = 16  # times as many documents of each other class in the next round
-SIDES = [("doc_id", ""), ("class_id", "class_"), ("size", "size_"), ("outline", "outline_")]
 CHUNK = 32  # pairs that share one copy of their first document's text
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
@@ -93,9 +93,10 @@ def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, te
 SKETCH = "doc_id bigint, content_a bigint, content_b bigint, bands array<bigint>, size int, outline array<bigint>"
 
 
-def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Two hashes of each text's words, the hash of each band of its sketch (none without words),
+def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: int = WEIGHTED_BANDS) -> DataFrame:
+    """Two hashes of each text's words, the hash of each band of its sketches (none without words),
     the number of its shingles, and which of ``CELLS`` cells they fall into, as bits."""
+    every = bands + weighted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,13 +108,16 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                     run_hash(prefix_sums(values, WORDS_BASE), words.at[:-1], words.at[1:], WORDS_BASE)
                     for values in (hashes, mix(hashes + STEP))
                 ]
-                owner, element, _ = shingles(part.column(1))
+                owner, element, count = shingles(part.column(1))
                 seen = prob_min_hash(owner, element, np.ones(len(owner)), n, bands * rows)
-                keys = np.zeros((n, bands), U) + mix(np.arange(1, bands + 1, dtype=U) * STEP)
+                if weighted:
+                    heavy = prob_min_hash(owner, mix(element + STEP), count.astype(np.float64), n, weighted * rows)
+                    seen = np.concatenate([seen, heavy], axis=1)
+                keys = np.zeros((n, every), U) + mix(np.arange(1, every + 1, dtype=U) * STEP)
                 for i in range(rows):
                     keys = mix(keys + seen[:, i::rows])
                 keys = keys[words.counts > 0]
-                offsets = np.concatenate(([0], np.cumsum(np.where(words.counts > 0, bands, 0))))
+                offsets = np.concatenate(([0], np.cumsum(np.where(words.counts > 0, every, 0))))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(keys.ravel())))
                 cells = np.zeros((n, CELLS), bool)
                 cells[owner, (mix(element + STEP) % U(CELLS)).astype(np.int64)] = True
@@ -193,89 +197,140 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def candidates(own: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a bucket that are in different classes and whose outlines allow a link.
+def _only(mine: str, theirs: str) -> Column:
+    """How many cells the first outline has and the other has not."""
+    parts = [(F.get(mine, F.lit(i)), F.get(theirs, F.lit(i))) for i in range(CELLS // 64)]
+    return reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in parts])
+
+
+ONLY_A, ONLY_B = ("outline_a", "outline_b"), ("outline_b", "outline_a")
+
+
+def may_hold(similarity: float) -> Column:
+    """What sizes and outlines of a and b allow.
 
     A cell that only one document has holds a shingle that only it has, so the cells bound the
-    shingles in common from above: what is left out here cannot hold.  ``class_b`` is b's class,
-    ``apart`` the number of cells that one of the two has.
+    shingles in common from above: what is left out here cannot hold.
     """
-    one, other = (own.select("band", *[F.col(c).alias(n + e) for c, n in SIDES]) for e in "ab")
-    own_a, own_b = [], []
-    for i in range(CELLS // 64):
-        cells_a, cells_b = F.get("outline_a", F.lit(i)), F.get("outline_b", F.lit(i))
-        own_a.append(F.bit_count(cells_a.bitwiseAND(F.bitwise_not(cells_b))))
-        own_b.append(F.bit_count(cells_b.bitwiseAND(F.bitwise_not(cells_a))))
-    only_a, only_b = (reduce(lambda x, y: x + y, counts) for counts in (own_a, own_b))
     least = (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    near = one.join(other, "band").where("a < b and class_a <> class_b").where(F.least("size_a", "size_b") >= least)
-    near = near.where(F.col("size_a") - only_a >= least).where(F.col("size_b") - only_b >= least)
-    return near.select("a", "b", "class_b", (only_a + only_b).alias("apart")).distinct()
+    few = F.least("size_a", "size_b") >= least
+    return few & (F.col("size_a") - _only(*ONLY_A) >= least) & (F.col("size_b") - _only(*ONLY_B) >= least)
+
+
+def _side(about: DataFrame, side: str) -> DataFrame:
+    """Columns named for one side of a pair, ``doc_id`` for the side itself."""
+    return about.select(*[F.col(n).alias({"doc_id": side, "band": "band"}.get(n, f"{n}_{side}")) for n in about.columns])
+
+
+def classed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) whose documents are in different classes, with ``class_a`` and ``class_b``."""
+    for side in "ab":
+        pairs = lookup_join(pairs.drop(f"class_{side}"), labels.toDF(side, f"class_{side}"), [side], "left")
+        pairs = pairs.withColumn(f"class_{side}", F.coalesce(f"class_{side}", side))
+    return pairs.where("class_a <> class_b")
+
+
+def tie(links: DataFrame, labels: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and labels after these pairs (a, b) have made one class of two each; one link is kept for two classes."""
+    pair = [F.least("class_a", "class_b").alias("low"), F.greatest("class_a", "class_b").alias("high")]
+    ties = classed(held, labels).groupBy(*pair).agg(F.min(F.struct("a", "b")).alias("link"))
+    ties = written(ties.select("low", "high", "link.a", "link.b"), "links")
+    moved = components(ties.select(F.col("low").alias("a"), F.col("high").alias("b")))
+    own = labels.union(moved.select("doc_id", "doc_id")).distinct()
+    found = lookup_join(own, moved.toDF("class_id", "_to"), ["class_id"], "left")
+    return links.union(ties.select("a", "b")), written(found.select("doc_id", F.coalesce("_to", "class_id").alias("class_id")), "labels")
+
+
+def candidates(placed: DataFrame, labels: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket that are in different classes and may hold, once each: a, b, classes, ``apart``.
+
+    ``apart`` is the number of cells that one of the two has.  In each bucket, a document outside its largest class
+    meets all of other classes; the largest class does not meet itself.  Of the buckets that two
+    share, the smallest counts.
+    """
+    own = lookup_join(placed, labels, ["doc_id"], "left").withColumn("class", F.coalesce("class_id", "doc_id")).drop("class_id")
+    counts = own.groupBy("band", "class").agg(F.count("*").alias("_size"))
+    largest = counts.groupBy("band").agg(F.max(F.struct("_size", "class")).alias("_top"), F.count("*").alias("_classes"))
+    own = lookup_join(own, largest.where("_classes > 1"), ["band"], "inner")
+    own = own.select("band", "doc_id", "class", (F.col("class") != F.col("_top.class")).alias("minor"))
+    own = written(lookup_join(own, about, ["doc_id"], "inner"), "mixed")
+    met = _side(own.where("minor"), "a").join(_side(own, "b"), "band")
+    met = met.where("class_a <> class_b").where("not minor_b or a < b").where(may_hold(similarity))
+    met = met.where(F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band"))
+    first = F.col("a") < F.col("b")
+    return met.select(
+        F.least("a", "b").alias("a"),
+        F.greatest("a", "b").alias("b"),
+        F.when(first, F.col("class_a")).otherwise(F.col("class_b")).alias("class_a"),
+        F.when(first, F.col("class_b")).otherwise(F.col("class_a")).alias("class_b"),
+        (_only(*ONLY_A) + _only(*ONLY_B)).alias("apart"),
+    )
+
+
+def nearest(pairs: DataFrame, of: list[str]) -> DataFrame:
+    """The pair with the fewest cells apart of each ``of``."""
+    return pairs.groupBy(*of).agg(F.min(F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
 
 
 def classes(
-    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: int = WEIGHTED_BANDS
 ) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, n_links, kept.
 
-    n_links counts the verified links of the document's words to others that
-    differ; kept is true for rows whose doc_id is the class_id.  Needs doc_id and text;
-    other columns are ignored.  Texts without words (null, empty, blank) are classes of
+    n_links counts the verified links by which the document's words came into its class; no more
+    are looked for than tie the classes together.  kept is true for rows whose doc_id is the class_id.
+    Needs doc_id and text; other columns are ignored.  Texts without words (null, empty, blank) are classes of
     their own, as are rows without doc_id (class_id null, kept).  Rows of equal doc_id
     share a class only if their words make them; their class is the smaller one.
     An empty table gives no rows.
     """
     ready(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketches = written(sketch(given, bands, rows), "sketches")
+    sketches = written(sketch(given, bands, rows, weighted), "sketches")
     worded = sketches.where((F.size("bands") > 0) & F.col("doc_id").isNotNull())
     contents = worded.groupBy("content_a", "content_b").agg(F.min("doc_id").alias("rep"))
-    members = written(lookup_join(worded, contents, ["content_a", "content_b"], "inner").select("doc_id", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "size", "outline")]), "contents")
-
-    in_bucket = Window.partitionBy("band").orderBy("doc_id")
-    placed = members.where(F.col("bands").isNotNull()).select("doc_id", F.explode("bands").alias("band"))
-    met = placed.select(
-        "band",
-        "doc_id",
-        F.lag("doc_id").over(in_bucket).alias("before"),
-        F.lead("doc_id").over(in_bucket).alias("after"),
-        F.first("doc_id").over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
-    ).where("before is not null or after is not null")
-    met = written(met.drop("after"), "buckets")
-    texts = given.join(met.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = written(texts, "texts")
-
-    starred = met.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    chained = met.select(F.col("before").alias("a"), F.col("doc_id").alias("b"))
-    tried = written(starred.union(chained).where("a < b").distinct(), "pairs")
-    links = written(verified(tried, texts, similarity), "held")
+    columns = [F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "size", "outline")]
+    members = written(lookup_join(worded, contents, ["content_a", "content_b"], "inner").select("doc_id", "rep", *columns), "contents")
+
+    # one row for each distinct text; of equal doc_ids with other texts one is tried
+    about = members.where(F.col("bands").isNotNull()).select("doc_id", "bands", "size", "outline").dropDuplicates(["doc_id"])
+    in_bands = about.select("doc_id", F.explode("bands").alias("band"))
+    firsts = in_bands.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("_size")).where("_size > 1").drop("_size")
+    placed = written(lookup_join(in_bands, firsts, ["band"], "inner"), "buckets")
+    met = placed.select("doc_id").distinct()
+    about = written(lookup_join(about, met, ["doc_id"], "inner"), "met")
+    texts = written(lookup_join(given.dropDuplicates(["doc_id"]), met, ["doc_id"], "inner"), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        for side in "ab":
+            pairs = lookup_join(pairs, _side(about.select("doc_id", "size", "outline"), side), [side], "inner")
+        worth = written(pairs.where(may_hold(similarity)).select("a", "b"), "pairs")
+        return written(verified(worth, texts, similarity), "held")
+
+    stars = written(placed.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    tried = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = verify(tried)
     labels = components(links)
-    outlines = members.where(F.col("bands").isNotNull()).select("doc_id", "size", "outline").dropDuplicates(["doc_id"])
-    mixed, take = met.select("band", "doc_id"), 1
-    while True:
-        own = lookup_join(mixed, labels, ["doc_id"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-        several = own.groupBy("band").agg(F.min("class_id").alias("_least"), F.max("class_id").alias("_most")).where("_least <> _most")
-        own = lookup_join(own, several.select("band"), ["band"], "inner")
-        own = written(lookup_join(own, outlines, ["doc_id"], "inner"), "mixed")
-        mixed = own.select("band", "doc_id")
-        left = written(candidates(own, similarity).join(tried, ["a", "b"], "left_anti"), "left")
+    others = classed(stars.join(tried, ["a", "b"], "left_anti"), labels)
+    links, labels = tie(links, labels, verify(others.select("a", "b")))
+
+    left = written(candidates(placed.select("band", "doc_id"), labels, about, similarity).join(stars, ["a", "b"], "left_anti"), "candidates")
+    for of in (["class_a", "class_b"], ["a", "class_b"], None):
         if left.isEmpty():
             break
-        nearest = Window.partitionBy("a", "class_b").orderBy("apart", "b")
-        more = left.withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= take).select("a", "b")
-        more = written(more, "pairs")
-        links = links.union(written(verified(more, texts, similarity), "held"))
-        tried, take = tried.union(more), take * WIDER
-        labels = components(links)
+        turn = left.select("a", "b") if of is None else written(nearest(left, of), "turn")
+        links, labels = tie(links, labels, verify(turn))
+        if of is not None:
+            left = written(classed(left.join(turn, ["a", "b"], "left_anti"), labels), "candidates")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    about = lookup_join(members.select("doc_id", "rep"), labels.withColumnRenamed("doc_id", "rep"), ["rep"], "left")
-    about = lookup_join(about, degree, ["rep"], "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    about = written(about, "classes")
-    sizes = about.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    about = lookup_join(about, sizes, ["class_id"], "inner")
+    told = lookup_join(members.select("doc_id", "rep"), labels.withColumnRenamed("doc_id", "rep"), ["rep"], "left")
+    told = lookup_join(told, degree, ["rep"], "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    told = written(told, "classes")
+    sizes = told.groupBy("class_id").agg(F.count("*").alias("class_size"))
+    told = lookup_join(told, sizes, ["class_id"], "inner")
     apart = sketches.where((F.size("bands") == 0) | F.col("doc_id").isNull()).select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("class_size")
     )
     names = ["doc_id", "class_id", "class_size", "n_links"]
-    return about.select(*names).union(apart.select(*names)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return told.select(*names).union(apart.select(*names)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

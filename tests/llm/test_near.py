@@ -136,3 +136,43 @@ def test_line_repeated_another_number_of_times(make_docs):
     expected = brute(rows)
     assert len(set(expected.values())) == 12
     assert result(make_docs(rows)) == expected
+
+
+def test_hundreds_of_classes_at_the_default_bands(make_docs):
+    """1000 pairs of edited copies on one template, beside a large group of near copies."""
+    generator = random.Random(9)
+    rows = of_one_template(1000, 3)
+    base = [f"h{i}" for i in range(120)]
+    for _ in range(300):
+        words = list(base)
+        words[generator.randrange(120)] = f"y{generator.random()}"
+        rows.append((len(rows), " ".join(words)))
+    assert result(make_docs(rows)) == brute(rows)
+
+
+def test_links_are_few(make_docs):
+    """A group of many near copies is tied together by about as many links as it has texts."""
+    generator = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(generator.randint(1, 4)):
+            words[generator.randrange(200)] = f"x{generator.random()}"
+        rows.append((i, " ".join(words)))
+    found = near.classes(make_docs(rows)).collect()
+    assert {r.doc_id: r.class_id for r in found} == brute(rows)
+    assert sum(r.n_links for r in found) <= 2 * 2 * len(rows)
+
+
+def test_each_step_leaves_the_rest_to_the_next(make_docs, monkeypatch):
+    """Classes that only a later pair of members ties together."""
+    base = [f"b{i}" for i in range(100)]
+
+    def edited(first, last):
+        return " ".join(f"e{i}" if first <= i < last else w for i, w in enumerate(base))
+
+    rows = list(enumerate([edited(0, 5), edited(50, 55), edited(0, 9), edited(45, 55), " ".join(base), edited(3, 12), edited(90, 100)]))
+    for bands, size in ((32, 4), (8, 1), (4, 1)):
+        got = {r.doc_id: r.class_id for r in near.classes(make_docs(rows), bands=bands, rows=size).collect()}
+        assert size == 4 or got == brute(rows)
