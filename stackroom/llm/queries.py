@@ -40,14 +40,43 @@ def op6_substring_dedup(docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @query
 def op10_near_dedup(docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.classes(docs)
+    return near.classes(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
+ORACLE_SQL["op10_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), starts AS (
+  SELECT doc_id, w, UNNEST(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM starts
+), sizes AS (
+  SELECT doc_id, count(*) AS size FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+  WHERE 5 * n >= 4 * (s.size + t.size - n)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT doc_id, b FROM reached JOIN both_ways ON a = other
+), classes AS (
+  SELECT doc_id, min(other) AS class_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM classes
+"""
 
 
 @query
 def op9_line_dedup(docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = lines.drop_runs(docs)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
-    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", digest)
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", digest)
 
 
 ORACLE_SQL["op9_line_dedup"] = r"""
@@ -58,19 +87,34 @@ WITH lines AS (
   SELECT doc_id, i, line, lead(line, 1) OVER d AS second, lead(line, 2) OVER d AS third
   FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), copies AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, i) AS copy
+  SELECT doc_id, i, 3 AS length, row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, i) AS copy
   FROM runs WHERE third IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i, 2, row_number() OVER (PARTITION BY line, second ORDER BY doc_id, i)
+  FROM runs WHERE length(line) + length(second) >= 120
+  UNION ALL
+  SELECT doc_id, i, 1, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) FROM runs WHERE length(line) >= 120
+  UNION ALL
+  SELECT doc_id, 1, len(string_split(text, chr(10))), row_number() OVER (PARTITION BY text ORDER BY doc_id)
+  FROM documents WHERE text <> '' AND len(string_split(text, chr(10))) < 3
 ), gone AS (
-  SELECT DISTINCT doc_id, i + k AS i FROM copies, (VALUES (0), (1), (2)) AS steps(k) WHERE copy > 1
+  SELECT DISTINCT doc_id, i + UNNEST(range(length)) AS i FROM copies WHERE copy > 1
 ), marked AS (
   SELECT lines.doc_id, lines.i, line, gone.i IS NOT NULL AS removed,
          coalesce(lag(gone.i) OVER (PARTITION BY lines.doc_id ORDER BY lines.i) IS NOT NULL, FALSE) AS removed_before
   FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.i = lines.i
+), stretches AS (
+  SELECT doc_id, count(*) AS length
+  FROM (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS stretch FROM gone)
+  GROUP BY doc_id, stretch
+), longest AS (
+  SELECT doc_id, max(length) AS length FROM stretches GROUP BY doc_id
 )
 SELECT documents.doc_id, count(marked.i) AS n_lines, count(*) FILTER (removed) AS n_removed,
-       count(*) FILTER (removed AND NOT removed_before) AS n_runs,
+       count(*) FILTER (removed AND NOT removed_before) AS n_runs, coalesce(any_value(longest.length), 0) AS longest_run,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY marked.i) FILTER (NOT removed), '')) AS kept_sha256
 FROM documents LEFT JOIN marked ON marked.doc_id = documents.doc_id
+LEFT JOIN longest ON longest.doc_id = documents.doc_id
 GROUP BY documents.doc_id
 """
 
