@@ -29,6 +29,13 @@ def with_payload(requests: DataFrame) -> DataFrame:
     )
 
 
+def payload_of(body_text: Column) -> Column:
+    """``payload`` of :func:`with_payload` as one expression, for SQL functions."""
+    digest = F.md5(body_text.cast("binary"))
+    pair = F.try_parse_json(F.concat(F.lit("["), body_text, F.lit(',"'), digest, F.lit('"]')))
+    return F.when(F.try_variant_get(pair, "$[1]", "string") == digest, pair)
+
+
 def body(payload: Column) -> Column:
     """The whole body as VARIANT."""
     return F.try_variant_get(payload, "$[0]", "variant")

@@ -36,33 +36,42 @@ def _with_caller(requests: DataFrame, users: DataFrame) -> DataFrame:
     return lookup_join(requests, callers, ["caller_uid"])
 
 
-def _ladder(requests: DataFrame, checks: list[tuple[Column, int, str]]) -> DataFrame:
-    """First failing check gives status and reason; 200 when none fails."""
-    has_bearer = F.coalesce(F.startswith(F.col("auth_header"), F.lit(BEARER)), F.lit(False))
+def outcome(header: Column, maintainer: Column, payload: Column, checks: list[tuple[Column, int, str]]) -> Column:
+    """Status and reason of a request as a struct: those of the first check that fails; 200 when none does."""
+    has_bearer = F.coalesce(F.startswith(header, F.lit(BEARER)), F.lit(False))
     steps = [
         (~has_bearer, 401, "no bearer header"),
-        (F.col("_maintainer").isNull(), 500, "invalid token"),
-        (~F.col("_maintainer"), 403, "maintainers only"),
-        (F.col("payload").isNull(), 500, "malformed body"),
-        (P.is_json_null(P.body(F.col("payload"))), 500, "body is null"),
+        (maintainer.isNull(), 500, "invalid token"),
+        (~maintainer, 403, "maintainers only"),
+        (payload.isNull(), 500, "malformed body"),
+        (P.is_json_null(P.body(payload)), 500, "body is null"),
         *checks,
     ]
-    outcome = F.struct(F.lit(200).alias("status"), F.lit("ok").alias("reason"))
+    found = F.struct(F.lit(200).alias("status"), F.lit("ok").alias("reason"))
     for failed, status, reason in reversed(steps):
         rejected = F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
-        outcome = F.when(failed, rejected).otherwise(outcome)
-    return requests.withColumn("_outcome", outcome).select(
+        found = F.when(failed, rejected).otherwise(found)
+    return found
+
+
+def _ladder(requests: DataFrame, checks: list[tuple[Column, int, str]]) -> DataFrame:
+    """Adds status and reason; the columns that were looked up for them go."""
+    found = outcome(F.col("auth_header"), F.col("_maintainer"), F.col("payload"), checks)
+    return requests.withColumn("_outcome", found).select(
         *[name for name in requests.columns if not name.startswith("_")],
         F.col("_outcome.status").alias("status"),
         F.col("_outcome.reason").alias("reason"),
     )
 
 
+def upload_checks(payload: Column) -> list[tuple[Column, int, str]]:
+    return [(~P.is_array(P.body_field(payload, "files")), 400, "files is not an array")]
+
+
 def gate_uploads(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Upload requests: the body must hold an array ``files`` (which may be empty)."""
     known = _with_caller(P.with_payload(requests), users)
-    files = P.body_field(F.col("payload"), "files")
-    return _ladder(known, [(~P.is_array(files), 400, "files is not an array")])
+    return _ladder(known, upload_checks(F.col("payload")))
 
 
 def gate_edits(requests: DataFrame, users: DataFrame, catalog: DataFrame | None = None) -> DataFrame:

@@ -177,6 +177,10 @@ _LISTED = "SELECT * FROM catalog WHERE created_at IS NOT NULL"
 SELECTS: dict[str, str] = {
     "catalog_recent": _LISTED,
     "catalog_search": _LISTED + " AND contains(lower(title), lower('É'))",
+    "catalog_search_indexed": _LISTED + " AND contains(lower(title), 'the')",
+    "catalog_page": _LISTED + " ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100",
+    "lookup_few": "SELECT * FROM catalog WHERE id IN (SELECT CAST(r_regionkey AS VARCHAR) FROM region)",
+    "snapshot_split": "SELECT id, title, created_at, CAST(1 AS BIGINT) AS damaged FROM catalog",
     "catalog_search_flagged": """
         SELECT id, title, url, created_at, id IN (SELECT id FROM saved WHERE user_id = 7) AS is_saved
         FROM catalog WHERE created_at IS NOT NULL AND contains(lower(title), 'the')""",
@@ -285,5 +289,9 @@ SELECTS: dict[str, str] = {
 }
 
 SELECTS["upload_append"] = SELECTS["upload_register"]
+SELECTS["sql_search"] = SELECTS["catalog_search_indexed"]
+SELECTS["sql_object_listing"] = SELECTS["object_listing"]
+SELECTS["sql_upload_register"] = SELECTS["upload_register"]
+SELECTS["sql_upload_gate"] = "SELECT 'upload' AS kind, request_id, status, reason FROM upload_gate"
 
 ORACLE_SQL = {name: VIEWS + select for name, select in SELECTS.items()}

@@ -13,13 +13,14 @@ from stackroom.functions import payload as P
 from stackroom.functions.naming import viewer_link
 from stackroom.operators import browse, edits, gate, ingest, reconcile, roles, saved
 from stackroom.operators.skew import lookup_join, one_row
-from stackroom.plans import views
+from stackroom.plans import sql, views
 from stackroom.schemas import CATALOG
 from stackroom.session import kept, new_run_dir, prepare
+from stackroom.sources import listing, title_index
 from stackroom.sources.catalog import append_batch, read_catalog
 from stackroom.sources.objects import read_inventory
 from stackroom.sources.outcomes import read_outcomes, write_outcomes
-from stackroom.sources.snapshots import read_snapshot, save_keyed, write_snapshot
+from stackroom.sources.snapshots import read_snapshot, save_keyed, split_snapshot, write_snapshot
 from stackroom.sources.store import list_objects, put_objects
 from stackroom.streaming import backfill as backfill_runs
 from stackroom.streaming import saved_state as saved_state_runs
@@ -32,6 +33,7 @@ SEARCH_TERM = "É"
 FLAGSHIP_TERM = "the"
 READER = 7  # whose list the flagged pages show
 AS_OF = dt.datetime(2024, 6, 1)
+PAGE, SLICES = 50, 64  # documents of a page, slices of the stored listing
 
 
 class Library:
@@ -250,6 +252,61 @@ def point_lookup(lib: Library) -> DataFrame:
     return browse.lookup_many(lib.catalog, wanted)
 
 
+@query
+def lookup_few(lib: Library) -> DataFrame:
+    """The documents of a handful of ids, from a table with Bloom filters."""
+
+    def store() -> str:
+        path = lib.run_dir("by_id")
+        listing.write_by_id(lib.catalog, path, int(lib.spark.conf.get("spark.sql.shuffle.partitions")))
+        return path
+
+    path = kept(lib.spark, f"by_id of {lib.sf_dir}", store)
+    ids = [row.id for row in lib.table("region").select(F.col("r_regionkey").cast("string").alias("id")).collect()]
+    return listing.read_by_id(lib.spark, path, ids)
+
+
+@query
+def catalog_search_indexed(lib: Library) -> DataFrame:
+    """Search in the listing by the index of titles."""
+
+    def store() -> str:
+        path = lib.run_dir("title_index")
+        title_index.index_titles(lib.catalog, path, 0)
+        return path
+
+    path = kept(lib.spark, f"title_index of {lib.sf_dir}", store)
+    return browse.catalog_recent(title_index.find_titles(lib.catalog, path, FLAGSHIP_TERM))
+
+
+@query
+def catalog_page(lib: Library) -> DataFrame:
+    """The third page of the listing, found behind the last row of the second."""
+
+    def store() -> str:
+        path = lib.run_dir("listing")
+        listing.write_listing(lib.catalog, path, SLICES)
+        return path
+
+    path, after = kept(lib.spark, f"listing of {lib.sf_dir}", store), None
+    for _ in range(2):
+        last = listing.page(lib.spark, path, PAGE, after).select("created_at", "id").tail(1)
+        after = tuple(last[0]) if last else after
+    return listing.page(lib.spark, path, PAGE, after)
+
+
+@query
+def snapshot_split(lib: Library) -> DataFrame:
+    """The good rows of a snapshot into which half a line more was written for each document."""
+    path = lib.run_dir("snapshot_split")
+    write_snapshot(lib.catalog, path)
+    broken = lib.catalog.select(F.concat(F.lit('{"id": "'), "id", F.lit('", "title": ')).alias("value"))
+    broken.write.mode("append").text(path)
+    good, damaged = split_snapshot(lib.spark, path, CATALOG, lib.run_dir("split"))
+    counts = damaged.groupBy(F.get_json_object(F.concat("line", F.lit("0}")), "$.id").alias("id")).agg(F.count("*").alias("damaged"))
+    return good.select("id", "title", "created_at").join(counts, "id")
+
+
 @query
 def is_empty(lib: Library) -> DataFrame:
     lists = {
@@ -338,6 +395,40 @@ def upload_content(lib: Library) -> DataFrame:
     return found.select("storage_path", "content_type", "content", "put_at", "file_key")
 
 
+# --- the same in SQL -----------------------------------------------------------
+
+
+def _sql(lib: Library, statement: str) -> DataFrame:
+    """A statement over the library's views, by the functions made for SQL users."""
+    views_ = {
+        "catalog": lib.catalog, "objects": lib.objects, "requests": views.uploads(lib.table("orders")), "users": lib.users,
+    }
+    for name, rows in views_.items():
+        rows.createOrReplaceTempView(f"library_{name}")
+    sql.create_functions(lib.spark, **{name: f"library_{name}" for name in views_})
+    return lib.spark.sql(statement)
+
+
+@query
+def sql_search(lib: Library) -> DataFrame:
+    return _sql(lib, f"SELECT * FROM find_titles('{FLAGSHIP_TERM}') ORDER BY created_at DESC, id DESC")
+
+
+@query
+def sql_object_listing(lib: Library) -> DataFrame:
+    return _sql(lib, "SELECT * FROM uploaded_objects()")
+
+
+@query
+def sql_upload_gate(lib: Library) -> DataFrame:
+    return _sql(lib, "SELECT 'upload' AS kind, request_id, status, reason FROM gated_uploads()")
+
+
+@query
+def sql_upload_register(lib: Library) -> DataFrame:
+    return _sql(lib, "SELECT * FROM registered_uploads()")
+
+
 # --- edits ---------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from typing import Any, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,7 @@ REQUIRED_SQL_SETTINGS = {
     # conditions on names reach the listing of a store
     "spark.sql.python.filterPushdown.enabled": "true",
 }
+T = TypeVar("T")
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -84,21 +86,34 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-_kept: dict[tuple[str, str], DataFrame] = {}
+_kept: dict[tuple[str, str], Any] = {}
 
 
-def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What ``build`` stores, stored once in an application: for tables that are there before a query."""
+def kept(spark: SparkSession, name: str, build: Callable[[], T]) -> T:
+    """What ``build`` stores (a table, or its path), stored once in an application: for what is there before a query."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _kept:
         _kept[key] = build()
     return _kept[key]
 
 
-def remove_run_dirs(spark: SparkSession) -> None:
-    """Remove the folders of this application's runs, once nothing reads their results any more."""
-    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
-        del _kept[key]
-    for name in _made.pop(spark.sparkContext.applicationId, []):
+def run_dirs(spark: SparkSession) -> int:
+    """How many folders this application's runs have made so far: a mark for :func:`remove_run_dirs`."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def remove_run_dirs(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Remove the folders of this application's runs, once nothing reads their results any more.
+
+    Those made since a mark, all but the last ``but`` of them: a stage's own tables when its output is written.
+    """
+    application = spark.sparkContext.applicationId
+    made = _made.get(application, [])
+    gone = made[since : len(made) - but]
+    made[since : len(made) - but] = []
+    if since == 0:
+        for key in [k for k in _kept if k[0] == application]:
+            del _kept[key]
+    for name in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

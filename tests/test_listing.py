@@ -1,0 +1,125 @@
+"""Search by index, lookups by Bloom filter, pages by slices."""
+
+import random
+import re
+
+import pytest
+from helpers import at, catalog, rows
+from pyspark.sql import functions as F
+
+from stackroom.operators import browse
+from stackroom.sources import listing, title_index
+
+
+def folders(frame, name):
+    """How many folders the scan is narrowed to."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    several = re.search(rf"PartitionFilters: \[[^\]]*{name}#\d+ IN \(([^)]*)\)", plan)
+    return len(several[1].split(",")) if several else int(re.search(rf"PartitionFilters: \[[^\]]*\({name}#\d+ = \d+\)", plan) is not None) or 999
+
+
+def titles(spark, *names):
+    return catalog(spark, *[{"id": str(i), "title": t, "url": "u", "created_at": at(i)} for i, t in enumerate(names)])
+
+
+def test_search_by_index_finds_what_a_scan_finds(spark, tmp_path):
+    draw = random.Random(1)
+    words = ["garden", "Gärten", "THE", "theatre", "é", "İstanbul", "ab", "100%", "a_b", "", "straße", "\U0001f600smile"]
+    library = titles(spark, None, "", *[" ".join(draw.choice(words) for _ in range(draw.randint(1, 4))) for _ in range(120)])
+    path = str(tmp_path / "index")
+    title_index.index_titles(library, path, 0)
+    for term in ("the", "THE", "gar", "ÄRT", "i̇stanbul", "istanbul", "aße", "100%", "a_b", "%", "", "ab", "é", "zzz", "\U0001f600sm", "theatre gar", "aaaa"):
+        assert rows(title_index.find_titles(library, path, term), "id") == rows(browse.title_matches(library, term), "id"), term
+
+
+def test_a_search_reads_the_folders_of_its_grams(spark, tmp_path):
+    library = titles(spark, *[f"title number {i:05}" for i in range(2000)])
+    path = str(tmp_path / "index")
+    title_index.index_titles(library, path, 0)
+    ids = title_index.may_hold(spark, path, "number 01234")
+    assert rows(ids) == [("1234",)]
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ IN \(", plan) and "PushedFilters: [In(gram" in plan
+    assert 0 < folders(ids, "part") <= title_index.RAREST
+
+
+def test_new_and_edited_titles_are_added(spark, tmp_path):
+    path = str(tmp_path / "index")
+    before = titles(spark, "old garden", "harbour")
+    title_index.index_titles(before, path, 0)
+    after = titles(spark, "new harbour", "harbour", "garden party")
+    for _ in range(2):
+        title_index.index_titles(after.where("id in ('0', '2')"), path, 1)
+        for term in ("garden", "harbour", "new", "old", "party"):
+            assert rows(title_index.find_titles(after, path, term), "id") == rows(browse.title_matches(after, term), "id"), term
+
+
+def library(spark, count):
+    return catalog(spark, *[{"id": f"d{i}", "title": f"t{i}", "url": "u", "created_at": at(i * 37 % 101)} for i in range(count)])
+
+
+def test_lookups_pass_over_row_groups_without_the_id(spark, tmp_path):
+    documents = spark.range(40_000).select(
+        *[
+            F.concat(F.lit("d"), "id").alias("id") if name == "id" else F.lit(None).cast(kind).alias(name)
+            for name, kind in ((f.name, f.dataType) for f in listing.CATALOG)
+        ]
+    )
+    path, plain = str(tmp_path / "by_id"), str(tmp_path / "plain")
+    listing.write_by_id(documents, path, 16)
+    documents.repartition(16, F.xxhash64("id")).write.parquet(plain)
+
+    def scanned(frame):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan()
+        leaves = (plan.finalPhysicalPlan() if "Adaptive" in plan.toString().split("\n")[0] else plan).collectLeaves()
+        scan = next(leaves.apply(i) for i in range(leaves.size()))
+        while not scan.metrics().contains("numFiles"):
+            scan = scan.plan()
+            inner = scan.collectLeaves()
+            scan = inner.apply(0)
+        return scan.metrics().apply("numOutputRows").value()
+
+    for key in ("d7", "d39999"):
+        found = spark.read.schema(listing.CATALOG).parquet(path).where(F.col("id") == key)
+        without = spark.read.schema(listing.CATALOG).parquet(plain).where(F.col("id") == key)
+        assert rows(found, "id") == [(key,)]
+        assert scanned(found) <= 2 * 40_000 / 16 < 10 * 40_000 / 16 <= scanned(without)
+    assert rows(listing.read_by_id(spark, path, ["d1"]), "id") == [("d1",)]
+    assert rows(listing.read_by_id(spark, path, ["d1", "d30000", "none", "d1"]), "id") == [("d1",), ("d30000",)]
+    assert listing.read_by_id(spark, path, []).isEmpty()
+
+
+def test_an_id_that_occurs_twice_gives_its_first_row(spark, tmp_path):
+    path = str(tmp_path / "by_id")
+    listing.write_by_id(library(spark, 5).union(library(spark, 5).withColumn("created_at", F.lit(at(999)))), path, 2)
+    assert {r.created_at for r in listing.read_by_id(spark, path, ["d1", "d2"]).collect()} == {at(999)}
+
+
+@pytest.mark.parametrize("count,slices,size", [(100, 7, 9), (100, 7, 40), (30, 50, 4), (0, 3, 5), (5, 1, 5)])
+def test_pages_make_up_the_listing(spark, tmp_path, count, slices, size):
+    documents = library(spark, count).union(catalog(spark, {"id": "never", "title": "t", "url": "u"}))
+    path = str(tmp_path / "listing")
+    listing.write_listing(documents, path, slices)
+    wanted = [(r.created_at, r.id) for r in browse.catalog_recent(documents).collect()]
+    found, after = [], None
+    while True:
+        one = [(r.created_at, r.id) for r in listing.page(spark, path, size, after).collect()]
+        found += one
+        if len(one) < size:
+            break
+        after = one[-1]
+    assert found == wanted
+
+
+def test_a_page_reads_the_slices_it_overlaps(spark, tmp_path):
+    documents = library(spark, 300)
+    path = str(tmp_path / "listing")
+    listing.write_listing(documents, path, 10)
+    order = [(r.created_at, r.id) for r in browse.catalog_recent(documents).collect()]
+    slices = len(list((tmp_path / "listing" / "rows").glob("slice=*")))
+    assert slices >= 8
+    for k in (0, 5, 14):
+        page = listing.page(spark, path, 20, order[20 * k - 1] if k else None)
+        assert [(r.created_at, r.id) for r in page.collect()] == order[20 * k : 20 * k + 20]
+        assert folders(page, "slice") <= 3
