@@ -10,10 +10,9 @@ in which it weighs as often as it occurs.
 
 Documents of equal words are one class from the start.  The others meet in buckets of
 four equal registers.  Links hold if the shingle sets have a Jaccard similarity of 0.8 or more.
-A document is first tried with the smallest of the first members of its buckets, then with the other
-first members outside its class.  Where a bucket still holds several classes, all its pairs of different
-classes are met: the nearest of two classes first, then each document's nearest of each other class, then what is
-left.  Classes join between these steps, and what has become one class is not tried
+A document is first tried with the nearest (by outlines, see below) of the first members of its buckets.  Where a
+bucket then holds several classes, all its pairs of different classes are met: the nearest pair of each
+class first, as long as classes join by it, then what is left.  What has become one class is not tried
 any more.  A pair goes without reading texts only where it cannot hold: by the numbers of
 shingles and by outlines, bits that say which of ``CELLS`` cells a document's shingles fall into.
 """
@@ -37,6 +36,7 @@ BANDS = 32
 WEIGHTED_BANDS = 4  # further ones, of sketches weighted by counts
 ROWS = 4
 CELLS = 1024  # of an outline
+ROUNDS = 2  # in which each class tries its nearest pair, before all pairs that are left
 CHUNK = 32  # pairs that share one copy of their first document's text
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
@@ -177,24 +177,43 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return dealt_rows.mapInArrow(_verify(similarity), "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Smallest document (``class_id``) that each linked document reaches, by passing labels on.
+def rooted(parents: DataFrame) -> DataFrame:
+    """The root (``class_id``) of each document of a forest (doc_id, parent), whose parents are smaller.
 
-    Each round takes the smallest label of the neighbours and then the label of that
-    label; long chains shorten by half a round.  Rounds end when nothing changes.
+    Each round goes twice as far up.
     """
-    both = written(links.union(links.select("b", "a")).toDF("doc_id", "other").distinct(), "links")
-    labels = written(both.groupBy("doc_id").agg(F.least(F.min("other"), F.col("doc_id")).alias("class_id")), "labels")
+    labels = written(parents.select("doc_id", F.col("parent").alias("class_id")), "labels")
     while True:
-        seen = lookup_join(both, labels.withColumnRenamed("doc_id", "other"), ["other"], "inner")
-        near = seen.groupBy("doc_id").agg(F.min("class_id").alias("_near"))
-        moved = labels.join(near, "doc_id").select("doc_id", F.least("class_id", "_near").alias("class_id"), F.col("class_id").alias("_old"))
-        jump = labels.select(F.col("doc_id").alias("class_id"), F.col("class_id").alias("_next"))
-        moved = lookup_join(moved, jump, ["class_id"], "left").select("doc_id", F.coalesce("_next", "class_id").alias("class_id"), "_old")
-        moved = written(moved, "labels")
-        labels = moved.drop("_old")
-        if moved.where("class_id <> _old").isEmpty():
-            return labels
+        up = labels.select(F.col("doc_id").alias("class_id"), F.col("class_id").alias("_up"))
+        labels = written(lookup_join(labels, up, ["class_id"], "left").select("doc_id", F.coalesce("_up", "class_id").alias("class_id"), "_up"), "labels")
+        if labels.where("_up is not null").isEmpty():
+            return labels.select("doc_id", "class_id")
+        labels = labels.select("doc_id", "class_id")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Smallest document (``class_id``) that each linked document reaches.
+
+    In each round every document with a smaller neighbour hangs on to the smallest; trees become one document
+    each, and links between trees are what is left for the next round.
+    """
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    links = written(links.select(low.alias("a"), high.alias("b")).where("a < b").distinct(), "links")
+    labels = None
+    while not links.isEmpty():
+        moved = rooted(links.groupBy("b").agg(F.min("a").alias("parent")).select(F.col("b").alias("doc_id"), "parent"))
+        labels = moved if labels is None else relabelled(labels, moved)
+        links = classed(links.select("a", "b"), moved)
+        links = written(links.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct(), "links")
+    if labels is None:
+        return links.toDF("doc_id", "class_id")
+    return labels.union(labels.select("class_id", "class_id")).distinct()
+
+
+def relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """Labels (doc_id, class_id) after classes have moved to others: those of ``moved`` (doc_id, class_id)."""
+    found = lookup_join(labels, moved.toDF("class_id", "_to"), ["class_id"], "left").select("doc_id", F.coalesce("_to", "class_id").alias("class_id"))
+    return written(found.unionByName(moved.join(labels, "doc_id", "left_anti")), "labels")
 
 
 def _only(mine: str, theirs: str) -> Column:
@@ -230,17 +249,6 @@ def classed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("class_a <> class_b")
 
 
-def tie(links: DataFrame, labels: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and labels after these pairs (a, b) have made one class of two each; one link is kept for two classes."""
-    pair = [F.least("class_a", "class_b").alias("low"), F.greatest("class_a", "class_b").alias("high")]
-    ties = classed(held, labels).groupBy(*pair).agg(F.min(F.struct("a", "b")).alias("link"))
-    ties = written(ties.select("low", "high", "link.a", "link.b"), "links")
-    moved = components(ties.select(F.col("low").alias("a"), F.col("high").alias("b")))
-    own = labels.union(moved.select("doc_id", "doc_id")).distinct()
-    found = lookup_join(own, moved.toDF("class_id", "_to"), ["class_id"], "left")
-    return links.union(ties.select("a", "b")), written(found.select("doc_id", F.coalesce("_to", "class_id").alias("class_id")), "labels")
-
-
 def candidates(placed: DataFrame, labels: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of a bucket that are in different classes and may hold, once each: a, b, classes, ``apart``.
 
@@ -267,18 +275,19 @@ def candidates(placed: DataFrame, labels: DataFrame, about: DataFrame, similarit
     )
 
 
-def nearest(pairs: DataFrame, of: list[str]) -> DataFrame:
-    """The pair with the fewest cells apart of each ``of``."""
-    return pairs.groupBy(*of).agg(F.min(F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
+def nearest(pairs: DataFrame) -> DataFrame:
+    """For each class the pair with the fewest cells apart that leads out of it: no more pairs than classes."""
+    pair = F.struct("apart", "a", "b")
+    ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class"), pair.alias("pair"))
+    return ends.groupBy("class").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
 
 
 def classes(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: int = WEIGHTED_BANDS
 ) -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, n_links, kept.
+    """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, kept.
 
-    n_links counts the verified links by which the document's words came into its class; no more
-    are looked for than tie the classes together.  kept is true for rows whose doc_id is the class_id.
+    kept is true for rows whose doc_id is the class_id.
     Needs doc_id and text; other columns are ignored.  Texts without words (null, empty, blank) are classes of
     their own, as are rows without doc_id (class_id null, kept).  Rows of equal doc_id
     share a class only if their words make them; their class is the smaller one.
@@ -299,38 +308,34 @@ def classes(
     placed = written(lookup_join(in_bands, firsts, ["band"], "inner"), "buckets")
     met = placed.select("doc_id").distinct()
     about = written(lookup_join(about, met, ["doc_id"], "inner"), "met")
-    texts = written(lookup_join(given.dropDuplicates(["doc_id"]), met, ["doc_id"], "inner"), "texts")
+    texts = written(given.join(about.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = lookup_join(pairs, _side(about.select("doc_id", "size", "outline"), side), [side], "inner")
-        worth = written(pairs.where(may_hold(similarity)).select("a", "b"), "pairs")
-        return written(verified(worth, texts, similarity), "held")
-
-    stars = written(placed.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    tried = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verify(tried)
-    labels = components(links)
-    others = classed(stars.join(tried, ["a", "b"], "left_anti"), labels)
-    links, labels = tie(links, labels, verify(others.select("a", "b")))
-
-    left = written(candidates(placed.select("band", "doc_id"), labels, about, similarity).join(stars, ["a", "b"], "left_anti"), "candidates")
-    for of in (["class_a", "class_b"], ["a", "class_b"], None):
+        return written(verified(pairs, texts, similarity), "held")
+
+    stars = placed.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    for side in "ab":
+        stars = lookup_join(stars, _side(about.select("doc_id", "size", "outline"), side), [side], "inner")
+    stars = stars.where(may_hold(similarity)).select("b", F.struct((_only(*ONLY_A) + _only(*ONLY_B)).alias("apart"), "a").alias("star"))
+    held = verify(written(stars.groupBy("b").agg(F.min("star").alias("star")).select("star.a", "b"), "stars"))
+    labels = rooted(held.select(F.col("b").alias("doc_id"), F.col("a").alias("parent")))
+
+    left = written(candidates(placed.select("band", "doc_id"), labels, about, similarity), "candidates")
+    for last in [False] * ROUNDS + [True]:
         if left.isEmpty():
             break
-        turn = left.select("a", "b") if of is None else written(nearest(left, of), "turn")
-        links, labels = tie(links, labels, verify(turn))
-        if of is not None:
+        turn = left.select("a", "b") if last else written(nearest(left), "turn")
+        ties = classed(verify(turn), labels).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+        labels = relabelled(labels, components(ties))
+        if not last:
             left = written(classed(left.join(turn, ["a", "b"], "left_anti"), labels), "candidates")
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     told = lookup_join(members.select("doc_id", "rep"), labels.withColumnRenamed("doc_id", "rep"), ["rep"], "left")
-    told = lookup_join(told, degree, ["rep"], "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    told = written(told, "classes")
+    told = told.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"))
     sizes = told.groupBy("class_id").agg(F.count("*").alias("class_size"))
     told = lookup_join(told, sizes, ["class_id"], "inner")
     apart = sketches.where((F.size("bands") == 0) | F.col("doc_id").isNull()).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("class_size")
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size")
     )
-    names = ["doc_id", "class_id", "class_size", "n_links"]
+    names = ["doc_id", "class_id", "class_size"]
     return told.select(*names).union(apart.select(*names)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
