@@ -17,7 +17,6 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from stackroom.llm.common import ready, shape_of, together
-from stackroom.operators.skew import lookup_join
 
 DICTIONARY_BYTES = 128 << 10  # of one language at most
 ALL_BYTES = 4 << 20  # of all dictionaries together, about
@@ -48,14 +47,14 @@ def learn(labelled: DataFrame, own_bytes: int | None = None) -> dict[str, bytes]
     totals = totals.select("lang", "total").toPandas()
     own_bytes = own_bytes or dictionary_bytes(len(totals))
     spark = labelled.sparkSession
-    # a number for each language
+    # a number for each language, whose whole dictionary every worker gets later on
     shares = spark.createDataFrame(
         [(lang, SAMPLED * own_bytes / total) for lang, total in zip(totals["lang"], totals["total"])], "lang string, share double"
     )
     shape = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / PIECE).cast("int"))
     place = F.xxhash64("doc_id", "text")
     drawn = lambda i: (F.xxhash64(place, i).bitwiseAND((1 << 52) - 1)) / float(1 << 52) < F.col("share")
-    chosen = lookup_join(usable, shares, ["lang"], "inner").withColumn("pieces", F.filter(shape, drawn)).where(F.size("pieces") > 0)
+    chosen = usable.join(F.broadcast(shares), "lang").withColumn("pieces", F.filter(shape, drawn)).where(F.size("pieces") > 0)
     pieces = chosen.select("lang", place.alias("place"), F.transform("pieces", lambda i: F.substr("text", i * PIECE + 1, F.lit(PIECE))).alias("pieces"))
     lines: dict[str, dict[str, None]] = {lang: {} for lang in sorted(totals["lang"])}
     for row in pieces.orderBy("lang", "place").collect():
@@ -65,7 +64,7 @@ def learn(labelled: DataFrame, own_bytes: int | None = None) -> dict[str, bytes]
     missing = [lang for lang, found in lines.items() if not found]
     if missing:
         names = spark.createDataFrame([(lang,) for lang in missing], "lang string")
-        first = lookup_join(usable, names, ["lang"], "inner").groupBy("lang").agg(F.min_by(F.substr("text", F.lit(1), F.lit(PIECE)), place).alias("piece"))
+        first = usable.join(F.broadcast(names), "lang").groupBy("lang").agg(F.min_by(F.substr("text", F.lit(1), F.lit(PIECE)), place).alias("piece"))
         for row in first.collect():
             lines[row.lang].update(dict.fromkeys(row.piece.lower().split("\n")))
     owners: dict[str, int] = {}
