@@ -13,10 +13,12 @@ POSTINGS = "gram string, id string, batch bigint, part int"
 
 
 def grams(lowered: Column) -> Column:
-    """The distinct runs of three characters."""
-    at = F.sequence(F.lit(1), F.char_length(lowered) - (GRAM - 1))
-    found = F.transform(at, lambda i: F.substr(lowered, i, F.lit(GRAM)))
-    return F.when(F.char_length(lowered) >= GRAM, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+    """The runs of three characters, as often as they occur."""
+    # taken apart once: a place in a long text is found from its start, each time
+    letters = F.split(lowered, "")
+    at = F.sequence(F.lit(0), F.size(letters) - GRAM)
+    found = F.transform(at, lambda i: F.array_join(F.slice(letters, i + 1, GRAM), ""))
+    return F.when(F.char_length(lowered) >= GRAM, found).otherwise(F.array().cast("array<string>"))
 
 
 def _part(gram: Column) -> Column:
@@ -29,7 +31,8 @@ def index_titles(catalog: DataFrame, path: str, batch: int) -> None:
     Writing a batch again replaces it.  Titles that a document no longer has stay in the index; a
     search reads titles from the catalog itself, so they find nothing.
     """
-    posted = catalog.select(F.explode(grams(F.lower("title"))).alias("gram"), "id").withColumn("part", _part(F.col("gram")))
+    # a title may be very long: repeated grams fall away in an aggregate, which combines before the shuffle
+    posted = catalog.select(F.explode(grams(F.lower("title"))).alias("gram"), "id").distinct().withColumn("part", _part(F.col("gram")))
     # a folder's postings in order of their gram, so that a gram is in few row groups
     dealt = posted.hint("rebalance", "part").sortWithinPartitions("part", "gram", "id")
     dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings/batch={batch}")
@@ -42,7 +45,7 @@ def may_hold(spark: SparkSession, path: str, term: str) -> DataFrame | None:
     """Ids whose title may hold the term, from the folders of its rarest grams; None if it is too short to tell."""
     wanted = spark.range(1).select(F.explode(grams(F.lower(F.lit(term)))).alias("gram")).select("gram", _part(F.col("gram")).alias("part"))
     # no more rows than the term has grams
-    wanted = [(row.gram, row.part) for row in wanted.collect()]
+    wanted = sorted({(row.gram, row.part) for row in wanted.collect()})
     if not wanted:
         return None
     counts = spark.read.schema("gram string, documents bigint, batch bigint, part int").parquet(f"{path}/counts")
