@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from stackroom.operators.saved import KEY
@@ -68,30 +68,29 @@ class Membership(StatefulProcessor):
         if toggles:  # a put or delete alone takes no more room than what it settles to
             self._handle.registerTimer(max(toggles[-1][0], ts or 0) // 1000 + 1)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         member = self._known()
-        for steps in rows:
-            times = steps["ts"].astype("datetime64[us]").astype("int64")
-            for ts, seq, op in zip(times.tolist(), steps["seq"].tolist(), steps["op"]):
-                last = (member[1], member[2]) if member[1] is not None else None
-                if last is not None and (ts, seq) <= last:
-                    continue
-                if op == "toggle":
-                    member[4].append((ts, seq))
-                else:
-                    member[1:4] = ts, seq, op == "put"
-                    member[4] = [t for t in member[4] if t > (ts, seq)]
+        for step in rows:
+            ts, seq, op = step.at, step.seq, step.op
+            last = (member[1], member[2]) if member[1] is not None else None
+            if last is not None and (ts, seq) <= last:
+                continue
+            if op == "toggle":
+                member[4].append((ts, seq))
+            else:
+                member[1:4] = ts, seq, op == "put"
+                member[4] = [t for t in member[4] if t > (ts, seq)]
         member[4].sort()
         settled, ts, _, saved, toggles = member
         now = (settled if ts is None else saved) != (len(toggles) % 2 == 1)
         self._store(member, timerValues.getCurrentWatermarkInMs() * 1000)
-        yield pd.DataFrame({"user_id": [key[0]], "id": [key[1]], "saved": [now]})
+        yield Row(user_id=key[0], id=key[1], saved=now)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self._store(self._known(), timerValues.getCurrentWatermarkInMs() * 1000)
         return iter(())
 
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
         self._member.update((True, None, None, None, []))
 
     def close(self) -> None:
@@ -105,16 +104,18 @@ def membership_changes(events: DataFrame, delay: str = DELAY, initial: DataFrame
     behind the newest step seen; what is later is dropped, as are steps without key or time.
     ``initial`` holds the keys (user_id, id) that are saved before the first batch.  Steps that
     others of their task make void go before the shuffle, so that a key with very many
-    steps sends few.
+    steps sends few.  Keys come and go as plain rows: a pandas frame for each key costs more than
+    its state does.
     """
     has_key = F.col("user_id").isNotNull() & F.col("id").isNotNull() & F.col("ts").isNotNull()
     steps = events.where(has_key & F.col("op").isin("put", "delete", "toggle"))
     thin = steps.select("user_id", "id", F.col("ts").cast("timestamp"), F.col("seq").cast("bigint"), "op").mapInPandas(_thin, _STEPS)
+    thin = thin.withColumn("at", F.unix_micros("ts"))
     start = None if initial is None else initial.select(*KEY).distinct().groupBy(*KEY)
     return (
         thin.withWatermark("ts", delay)
         .groupBy(*KEY)
-        .transformWithStateInPandas(Membership(), CHANGES, "Update", "eventTime", initialState=start)
+        .transformWithState(Membership(), CHANGES, "Update", "eventTime", initialState=start)
     )
 
 

@@ -2,13 +2,14 @@ import datetime as dt
 
 import pytest
 from helpers import at, catalog, rows
+from pyspark.sql import Row
 from test_saved import events, keys, random_steps, replay
 
 from stackroom.operators.reconcile import backfill
 from stackroom.schemas import CATALOG, OBJECTS, SAVED_EVENTS
 from stackroom.sources.objects import stream_objects
 from stackroom.streaming.backfill import backfill_stream
-from stackroom.streaming.saved_state import members, saved_state_stream
+from stackroom.streaming.saved_state import Membership, members, saved_state_stream
 
 AS_OF = dt.datetime(2024, 6, 1)
 
@@ -84,6 +85,32 @@ def test_steps_of_a_hot_key_are_thinned_before_the_shuffle(spark, tmp_path):
     assert report.stateOperators[0].numRowsUpdated <= 2
 
 
+def test_a_key_s_steps_are_folded_as_plain_rows():
+    """A pandas frame for each key, in and out, took most of the time."""
+    kept = {}
+
+    class Value:
+        get = lambda self: kept.get("member")
+        update = lambda self, value: kept.update(member=value)
+        clear = lambda self: kept.pop("member", None)
+
+    class Handle:
+        timers = []
+        getValueState = lambda self, name, schema: Value()
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    member = Membership()
+    member.init(Handle())
+    fold = lambda *steps: list(member.handleInputRows((1, "a"), (Row(at=at, seq=seq, op=op) for at, seq, op in steps), Times()))
+    assert fold((9000, 3, "toggle"), (5000, 1, "put")) == [Row(user_id=1, id="a", saved=False)]
+    assert kept["member"] == (False, 5000, 1, True, [(9000, 3)]) and Handle.timers == [10]
+    assert fold((7000, 2, "delete"), (5000, 0, "toggle")) == [Row(user_id=1, id="a", saved=True)]
+    assert kept["member"] == (False, 7000, 2, False, [(9000, 3)])
+
+
 def test_a_name_in_three_batches_is_registered_once(spark, tmp_path):
     source, path, checkpoint = (str(tmp_path / name) for name in ("listing", "rows", "checkpoint"))
     known = catalog(spark, {"id": "k", "gcs_path": "uploads/known"}, {"id": "n"})
