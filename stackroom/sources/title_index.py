@@ -13,12 +13,8 @@ POSTINGS = "gram string, id string, batch bigint, part int"
 
 
 def grams(lowered: Column) -> Column:
-    """The runs of three characters, as often as they occur."""
-    # taken apart once: a place in a long text is found from its start, each time
-    letters = F.split(lowered, "")
-    at = F.sequence(F.lit(0), F.size(letters) - GRAM)
-    found = F.transform(at, lambda i: F.array_join(F.slice(letters, i + 1, GRAM), ""))
-    return F.when(F.char_length(lowered) >= GRAM, found).otherwise(F.array().cast("array<string>"))
+    """The different runs of three characters, in one pass: no run is looked for from the start of the text."""
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1)))
 
 
 def _part(gram: Column) -> Column:
@@ -31,12 +27,14 @@ def index_titles(catalog: DataFrame, path: str, batch: int) -> None:
     Writing a batch again replaces it.  Titles that a document no longer has stay in the index; a
     search reads titles from the catalog itself, so they find nothing.
     """
-    # a title may be very long: repeated grams fall away in an aggregate, which combines before the shuffle
-    posted = catalog.select(F.explode(grams(F.lower("title"))).alias("gram"), "id").distinct().withColumn("part", _part(F.col("gram")))
+    # grams are told apart title by title, so a posting is shuffled once; an id that occurs twice may be posted twice
+    posted = catalog.select(F.explode(grams(F.lower("title"))).alias("gram"), "id").withColumn("part", _part(F.col("gram")))
     # a folder's postings in order of their gram, so that a gram is in few row groups
     dealt = posted.hint("rebalance", "part").sortWithinPartitions("part", "gram", "id")
     dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings/batch={batch}")
-    counts = posted.groupBy("gram", "part").agg(F.count("*").alias("documents"))
+    # counted as stored: titles are taken apart once
+    stored = posted.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings").where(F.col("batch") == batch)
+    counts = stored.groupBy("gram", "part").agg(F.count("*").alias("documents"))
     counts = counts.hint("rebalance", "part").sortWithinPartitions("part", "gram")
     counts.write.mode("overwrite").partitionBy("part").parquet(f"{path}/counts/batch={batch}")
 

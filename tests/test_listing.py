@@ -2,9 +2,10 @@
 
 import random
 import re
+import time
 
 import pytest
-from helpers import at, catalog, rows
+from helpers import at, catalog, column, rows
 from pyspark.sql import functions as F
 
 from stackroom.operators import browse
@@ -54,6 +55,16 @@ def test_new_and_edited_titles_are_added(spark, tmp_path):
             assert rows(title_index.find_titles(after, path, term), "id") == rows(browse.title_matches(after, term), "id"), term
 
 
+def test_grams_of_a_long_title_are_told_apart_in_one_pass(spark):
+    """Was a look from the start of the text for each gram: minutes for this title."""
+    long = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(60_000))
+    started = time.monotonic()
+    found = column(spark, ["aaaa", "ab", "", None, "a\n\U0001f600b\U0001f600", long], title_index.grams)
+    assert time.monotonic() - started < 30
+    assert found[:4] == [["aaa"], [], [], None] and found[4] == ["a\n\U0001f600", "\n\U0001f600b", "\U0001f600b\U0001f600"]
+    assert found[5] == list(dict.fromkeys(long[i : i + 3] for i in range(len(long) - 2)))
+
+
 def library(spark, count):
     return catalog(spark, *[{"id": f"d{i}", "title": f"t{i}", "url": "u", "created_at": at(i * 37 % 101)} for i in range(count)])
 
