@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stackroom.functions import wording as W
 from stackroom.functions.naming import LOCAL_PREFIX
-from stackroom.operators.skew import lookup_join, one_row
+from stackroom.operators.skew import lookup_join, one_wide_row
 from stackroom.session import written
 
 KEY = ("user_id", "id")
@@ -145,11 +145,11 @@ def content_resolve(opens: DataFrame, catalog: DataFrame, saved: DataFrame) -> D
     opening, however often the catalog or the saved table repeats a row: of an id that occurs twice
     the row that comes first in the listing counts, of a saved record any that has bytes.
     """
-    documents = one_row(catalog.select("id", "created_at", "title", "url"), ["id"]).drop("created_at")
+    documents = one_wide_row(catalog.select("id", "created_at", "title", "url"), ["id"]).drop("created_at")
     copies = saved.where(F.col("size").isNotNull()).select(*KEY).distinct().withColumn("copy", F.lit(True))
-    resolved = lookup_join(
-        lookup_join(opens, documents, ["id"], how="inner"), copies, KEY
-    )
+    # titles, which may be long, are attached last and move once
+    marked = lookup_join(opens, copies, KEY)
+    resolved = lookup_join(marked, documents, ["id"], how="inner")
     local = F.col("copy").isNotNull()
     return resolved.select(
         *opens.columns,

@@ -117,6 +117,11 @@ class Library:
         """The saved table as stored, bucketed by its key."""
         return self.stored("saved", lambda: self.saved, list(saved.KEY))
 
+    @property
+    def saved_sizes(self) -> DataFrame:
+        """The saved table's keys and sizes as stored, for what reads neither titles nor bytes."""
+        return self.stored("saved_sizes", lambda: self.saved.select(*saved.KEY, "size"), list(saved.KEY))
+
     @property
     def puts(self) -> DataFrame:
         return views.puts(self.table("events"), self.table("documents"))
@@ -503,7 +508,7 @@ def content_store(lib: Library) -> DataFrame:
 
 @query
 def content_resolve(lib: Library) -> DataFrame:
-    return saved.content_resolve(lib.opens, lib.catalog, lib.saved_table).drop("ts")
+    return saved.content_resolve(lib.opens, lib.catalog, lib.saved_sizes).drop("ts")
 
 
 # --- roles ---------------------------------------------------------------------

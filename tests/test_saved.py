@@ -1,4 +1,5 @@
 import random
+import re
 import uuid
 
 import pytest
@@ -6,6 +7,7 @@ from helpers import at, catalog, rows
 from pyspark.sql import functions as F
 
 from stackroom.operators import saved
+from stackroom.plans import views
 from stackroom.schemas import CONTENTS
 from stackroom.sources.snapshots import save_keyed
 
@@ -191,3 +193,18 @@ def test_fetching_leaves_the_bytes_in_their_buckets(spark, tmp_path):
         assert "content" in scan or "FileScan" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_resolving_moves_titles_once_and_no_bytes(spark):
+    """Titles were folded, joined and then shuffled again with the openings; sizes came with all bytes of their documents."""
+    opens = keys(spark, (1, "a")).withColumn("seq", F.lit(1))
+    documents = catalog(spark, {"id": "a", "title": "t", "url": "u", "created_at": at(1)})
+    kept = keys(spark, (1, "a")).withColumn("size", F.lit(1))
+    plan = saved.content_resolve(opens, documents, kept)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join (\w+)", plan)[1] == "Inner" and "greatest" not in plan
+    steps = spark.createDataFrame([(1, '{"k": 1}', "signup", at(0), 0)], "user_id bigint, props string, event_type string, ts timestamp, event_id bigint")
+    texts = spark.createDataFrame([(1, "t\nx", "en"), (1, "t\nxyz", "en"), (2, "u", "de"), (None, "v", "en")], "doc_id bigint, text string, lang string")
+    for twice, size in ((texts, 5), (texts.where("text <> 't\nxyz'"), 3)):
+        sizes = views.saved(steps, twice).select("user_id", "id", "size")
+        assert rows(sizes) == [(1, "1", size)]
+    assert "encode(" not in sizes._jdf.queryExecution().optimizedPlan().toString()
