@@ -9,8 +9,12 @@ an object whose key, with a ``/`` behind it, begins another's.
 from __future__ import annotations
 
 import bisect
+import heapq
+import itertools
+import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,37 +70,50 @@ class Store:
     def __init__(self, root: str):
         self._files, folder = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", root))
         self._root = folder.rstrip("/")
-        self._seen: dict[str, list[tuple[str, fs.FileInfo]]] = {}
 
     def path(self, key: str) -> str:
         *folders, last = key.split("/")
         return "/".join([self._root, *[_spelled(part, folder=True) for part in folders], _spelled(last)])
 
-    def _folder(self, folder: str) -> list[tuple[str, fs.FileInfo]]:
-        """Its entries by key; what is a folder itself has a key that ends in ``/``.  One call of the file system."""
-        if folder not in self._seen:
-            place = self.path(folder).rpartition("/")[0]
-            found = self._files.get_file_info(fs.FileSelector(place, allow_not_found=True))
-            named = [(folder + _read(x.base_name) + "/" * (x.type == fs.FileType.Directory), x) for x in found if folder or x.base_name != STAGED]
-            self._seen[folder] = sorted(named, key=lambda x: x[0])
-        return self._seen[folder]
-
-    def entries(self, after: str = "", upto: str | None = None, folder: str = "") -> Iterator[Entry]:
-        """Objects with keys from ``after`` on and below ``upto``, in order; folders without any are not looked into."""
-        entries = self._folder(folder)
-        # the folder that holds ``after`` sorts before it
-        first = max(0, bisect.bisect_left(entries, after, key=lambda x: x[0]) - 1)
-        for key, info in entries[first:]:
-            if upto is not None and key >= upto:
+    def _names(self, folder: str) -> Iterator[tuple[str, bool, fs.FileInfo | None]]:
+        """Its entries by key, in no order, whether they are folders, and what is known of them; a folder's key ends in ``/``.
+
+        One call of the file system; a local one hands over names one by one, and nothing else.
+        """
+        place = self.path(folder).rpartition("/")[0]
+        found: Iterator[tuple[str, bool, fs.FileInfo | None]]
+        if isinstance(self._files, fs.LocalFileSystem):
+            try:
+                found = ((x.name, x.is_dir(), None) for x in os.scandir(place))
+            except FileNotFoundError:
                 return
-            if info.type == fs.FileType.Directory:
-                if key >= after or after.startswith(key):
-                    yield from self.entries(after, upto, key)
-            elif key >= after:
-                yield Entry(key, info.size, info.mtime)
+        else:
+            infos = self._files.get_file_info(fs.FileSelector(place, allow_not_found=True))
+            found = ((x.base_name, x.type == fs.FileType.Directory, x) for x in infos)
+        for name, is_folder, info in found:
+            if folder or name != STAGED:
+                yield folder + (_read(name) if "%" in name else name) + "/" * is_folder, is_folder, info
+
+    def _within(self, folder: str, after: str, upto: str | None) -> Iterator[tuple[str, bool, fs.FileInfo | None]]:
+        """Entries with keys from ``after`` on and below ``upto``, and folders that may hold such, in order: no others are held."""
+        found = (x for x in self._names(folder) if (x[0] >= after or x[1] and after.startswith(x[0])) and (upto is None or x[0] < upto))
+        return iter(sorted(found, key=lambda x: x[0]))
+
+    def _keys(self, after: str, upto: str | None, folder: str = "") -> Iterator[tuple[str, fs.FileInfo | None]]:
+        for key, is_folder, info in self._within(folder, after, upto):
+            if is_folder:
+                yield from self._keys(after, upto, key)
+            else:
+                yield key, info
+
+    def entries(self, after: str = "", upto: str | None = None) -> Iterator[Entry]:
+        """Objects with keys from ``after`` on and below ``upto``, in order; folders without any are not looked into."""
+        for key, info in self._keys(after, upto):
+            info = info or self._files.get_file_info(self.path(key))
+            yield Entry(key, info.size, info.mtime)
 
     def first(self, after: str) -> str | None:
-        return next((entry.key for entry in self.entries(after)), None)
+        return next((key for key, _ in self._keys(after, None)), None)
 
     def read(self, key: str) -> bytes:
         with self._files.open_input_stream(self.path(key)) as stream:
@@ -124,6 +141,34 @@ class Store:
         self._files.move(place, target)
 
 
+class Outline(Store):
+    """A store as the driver sees it that plans its ranges: of each folder, some thousand keys with the prefix at most.
+
+    Each folder is gone through once, and those whose keys have the least checksums are held.
+    """
+
+    def __init__(self, root: str, prefix: str = "", most: int = PROBES):
+        super().__init__(root)
+        self._prefix, self._most = prefix, most
+        self._seen: dict[str, list[tuple[str, bool, None]]] = {}
+
+    def _within(self, folder: str, after: str, upto: str | None) -> Iterator[tuple[str, bool, fs.FileInfo | None]]:
+        if folder not in self._seen:
+            below = ((key, is_folder, None) for key, is_folder, _ in self._names(folder) if key.startswith(self._prefix) or is_folder and self._prefix.startswith(key))
+            least = heapq.nsmallest(self._most, below, key=lambda x: zlib.crc32(x[0].encode("utf-8", "surrogateescape")))
+            if sum(map(len, self._seen.values())) > 16 * self._most:
+                self._seen.clear()
+            self._seen[folder] = sorted(least)
+        entries = self._seen[folder]
+        # the folder that holds ``after`` sorts before it
+        start = max(0, bisect.bisect_left(entries, after, key=lambda x: x[0]) - 1)
+        for key, is_folder, info in itertools.islice(entries, start, None):
+            if upto is not None and key >= upto:
+                return
+            if key >= after or is_folder and after.startswith(key):
+                yield key, is_folder, info
+
+
 # --- listing -------------------------------------------------------------------
 
 
@@ -152,7 +197,8 @@ def branches(store: Store, prefix: str, probes: int) -> list[str]:
 def cuts(store: Store, prefix: str, ranges: int = RANGES, probes: int = PROBES) -> list[str]:
     """Where to cut the keys with a prefix into ranges: at the branches of their tree, level by level.
 
-    No listing is read for it: the driver asks ``probes`` times at most for the first key from a place on.
+    The driver asks ``probes`` times at most for the first key from a place on, of an :class:`Outline`.
+    As each range goes through the names of the folders it is in, there are no more than ``ranges``.
     """
     level = [prefix]
     while len(level) < ranges and probes > 0:
@@ -164,7 +210,8 @@ def cuts(store: Store, prefix: str, ranges: int = RANGES, probes: int = PROBES)
         if below == level:
             break
         level = below
-    return sorted(set(level) - {prefix})
+    found = sorted(set(level) - {prefix})
+    return found[:: max(1, -(-len(found) // ranges))]
 
 
 @dataclass
@@ -206,7 +253,7 @@ class ListingReader(DataSourceReader):
                 yield condition
 
     def partitions(self) -> list[KeyRange]:
-        at = [c for c in cuts(Store(self.root), self.prefix, self.ranges) if c > self.after and (self.upto is None or c < self.upto)]
+        at = [c for c in cuts(Outline(self.root, self.prefix), self.prefix, self.ranges) if c > self.after and (self.upto is None or c < self.upto)]
         return [KeyRange(a, b) for a, b in zip([self.after, *at], [*at, self.upto])]
 
     def read(self, partition: KeyRange) -> Iterator[pa.RecordBatch]:

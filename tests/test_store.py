@@ -74,6 +74,27 @@ def test_ranges_cover_all_keys_of_random_stores(tmp_path):
             assert found == sorted(k for k in keys if k.startswith(prefix))
 
 
+def test_neither_driver_nor_task_holds_a_whole_folder(tmp_path):
+    """Each held every entry of a flat folder, with what the file system says of it."""
+    (tmp_path / "uploads").mkdir()
+    names = {f"uploads/{i:05}" for i in range(6000)}
+    for name in names:
+        (tmp_path / name).touch()
+    outline = S.Outline(str(tmp_path), "uploads/", most=500)
+    at = S.cuts(outline, "uploads/", 16)
+    assert 8 <= len(at) <= 16 and sum(len(found) for found in outline._seen.values()) <= 501
+    store, held = S.Store(str(tmp_path)), []
+    within = store._within
+    store._within = lambda *of: iter(held.append(found := list(within(*of))) or found)
+    found = []
+    for after, upto in zip(["", *at], [*at, None]):
+        held.clear()
+        part = [entry.key for entry in store.entries(after, upto)]
+        assert len(part) < 1500 and sum(len(h) for h in held) <= len(part) + 1
+        found += part
+    assert found == sorted(names)
+
+
 def test_an_empty_store_and_an_empty_put(spark, tmp_path):
     assert S.list_objects(spark, str(tmp_path / "none")).isEmpty()
     assert put(spark, tmp_path / "store", []).isEmpty()
