@@ -70,6 +70,7 @@ class Store:
     def __init__(self, root: str):
         self._files, folder = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", root))
         self._root = folder.rstrip("/")
+        self._made: set[str] = set()
 
     def path(self, key: str) -> str:
         *folders, last = key.split("/")
@@ -133,12 +134,17 @@ class Store:
     def publish(self, staged: str, key: str) -> None:
         """Move staged bytes to their key, in place of what is there; where that is done already, nothing happens."""
         place, target = f"{self._root}/{staged}", self.path(key)
-        if self._files.get_file_info(place).type == fs.FileType.NotFound:
+        folder = target.rpartition("/")[0]
+        if folder not in self._made:
+            self._files.create_dir(folder, recursive=True)
+            self._made.add(folder)
+        try:
+            self._files.move(place, target)
+        except OSError:
+            if self._files.get_file_info(place).type != fs.FileType.NotFound:
+                raise
             if self._files.get_file_info(target).type == fs.FileType.NotFound:
-                raise FileNotFoundError(f"neither staged nor published: {key}")
-            return
-        self._files.create_dir(target.rpartition("/")[0], recursive=True)
-        self._files.move(place, target)
+                raise FileNotFoundError(f"neither staged nor published: {key}") from None
 
 
 class Outline(Store):

@@ -134,3 +134,23 @@ def test_an_aborted_task_is_removed(tmp_path):
     message = writer.write(iter([pa.RecordBatch.from_pydict({"name": ["k"], "content": [b"x"]})]))
     writer.abort([message, None])
     assert not [p for p in (tmp_path / S.STAGED).rglob("*") if p.is_file()]
+
+
+def test_a_put_object_is_moved_without_asking_about_it(tmp_path):
+    """Two questions and a new folder for each object were most of the second job."""
+    store, asked = S.Store(str(tmp_path)), []
+
+    class Files:
+        def __getattr__(self, name, files=store._files):
+            asked.append(name)
+            return getattr(files, name)
+
+    staged = [store.stage("s", n, b"x") for n in range(20)]
+    store._files = Files()
+    for n, place in enumerate(staged):
+        store.publish(place, f"uploads/{n}")
+    assert asked.count("move") == 20 and asked.count("create_dir") == 1 and "get_file_info" not in asked
+    store.publish(staged[0], "uploads/0")
+    with pytest.raises(FileNotFoundError):
+        store.publish(staged[0], "uploads/none")
+    assert len(list(S.Store(str(tmp_path)).entries())) == 20
